@@ -52,7 +52,7 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     e = write_shared(e.distinct(), name)
     seen = None
     for _ in range(max_rounds):
-        state = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum((F.col("b") >> 8) % 1000003).alias("s")).first()
+        state = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.col("b") % 1000003).alias("s")).first()
         if state["n"] == 0 or (state["n"], state["x"], state["s"]) == seen:
             break
         seen = (state["n"], state["x"], state["s"])
