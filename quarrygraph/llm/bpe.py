@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -103,6 +105,10 @@ def merge_symbols(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]])
     return [x for x in ids if x >= 0]
 
 
+#: Ids as text joined by commas, their number, the bytes that decoding them gives, and the ids as packed int32.
+Piece = tuple[str, int, bytes, bytes]
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary file (JSON) with its merges. ``pieces`` are pre-tokens; their encodings are
     kept in a cache of two generations of at most ``cache_size`` entries each, which changes speed only."""
@@ -126,8 +132,8 @@ class ByteBpe:
             self.bytes_of[i] = token.encode()
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.path, self.cache_size, self._library = path, cache_size, None
-        self.young: dict[str, tuple[str, int, bytes]] = {}
-        self.old: dict[str, tuple[str, int, bytes]] = {}
+        self.young: dict[str, Piece] = {}
+        self.old: dict[str, Piece] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         if not _UNSAFE.search(text):
@@ -142,12 +148,10 @@ class ByteBpe:
         start = self.start
         return merge_symbols([start[b] for b in piece.encode()], self.pairs)
 
-    def _known(self, piece: str) -> tuple[str, int, bytes]:
-        """Ids as text, their number, and the bytes that decoding these ids gives."""
+    def _known(self, piece: str) -> Piece:
         made = self.old.get(piece)
         if made is None:
-            ids = self.encode_piece(piece)
-            made = (",".join(map(str, ids)), len(ids), self.decode_bytes(ids))
+            made = self._piece(self.encode_piece(piece))
         if len(self.young) >= self.cache_size:
             self.old = dict(self.young)
             self.young.clear()
@@ -155,19 +159,25 @@ class ByteBpe:
             self.young[piece] = made
         return made
 
+    def _piece(self, ids: list[int]) -> Piece:
+        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids), array("i", ids).tobytes()
+
     def parts(self, text: str) -> list[str]:
         return self.split_special.split(text) if self.split_special and "<" in text else [text]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def pieces(self, text: str) -> list[Piece]:
+        """The encoded pre-tokens and special strings of ``text``, in order."""
+        known, make, out = self.young, self._known, []
         for k, part in enumerate(self.parts(text)):
             if k % 2:
-                out.append(self.special[part])
+                out.append(self._piece([self.special[part]]))
             else:
-                for piece in self.pre_tokens(part):
-                    out += self.encode_piece(piece)
+                out += [known.get(piece) or make(piece) for piece in self.pre_tokens(part)]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return array("i", b"".join([p[3] for p in self.pieces(text)])).tolist()
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -176,22 +186,10 @@ class ByteBpe:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text decoded from the ids."""
-        known, make = self.young, self._known
-        ids, count, back = [], 0, []
-        for k, part in enumerate(self.parts(text)):
-            if k % 2:
-                i = self.special[part]
-                ids.append(str(i))
-                back.append(self.bytes_of[i])
-                count += 1
-                continue
-            for piece in self.pre_tokens(part):
-                hit = known.get(piece) or make(piece)
-                ids.append(hit[0])
-                count += hit[1]
-                back.append(hit[2])
-        decoded = b"".join(back).decode("utf-8", "replace").encode()
-        return count, hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        pieces = self.pieces(text)
+        ids = ",".join([p[0] for p in pieces])
+        decoded = b"".join([p[2] for p in pieces]).decode("utf-8", "replace").encode()
+        return sum([p[1] for p in pieces]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -204,16 +202,26 @@ def load(path: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids ARRAY<INT>)``: the token ids of every whole text. A null text is empty: no ids. Rows repeat
-    as given, other columns are dropped, an empty table gives no rows. No shuffle."""
+    """``(doc_id, n_tokens, ids ARRAY<INT>, round_trip)``: the token ids of every whole text, and whether decoding
+    them gives the text again. A null text is empty: no ids. Rows repeat as given, other columns are dropped, an empty
+    table gives no rows. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            n, packed, same = [], [], []
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                pieces = bpe.pieces(text)
+                n.append(sum([p[1] for p in pieces]))
+                packed.append(b"".join([p[3] for p in pieces]))
+                same.append(b"".join([p[2] for p in pieces]) == text.encode())
+            ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return docs.selectExpr(f"cast({id_col} as bigint) as doc_id", f"{text_col} as text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    source = docs.selectExpr(f"cast({id_col} as bigint) as doc_id", f"{text_col} as text")
+    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -226,6 +226,39 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mod
 _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _judge(texts: list[bytes], m: Model, keep_at: float) -> tuple[np.ndarray, ...]:
+    c = analyse(texts)
+    n, p = c.base["n_words"], m.probability(c)
+    failed = (n < MIN_WORDS) | (100 * c.base["n_repeat_words"] > REPEAT_PERCENT * n)
+    return (*(c.base[x].astype(np.int64) for x in _COLUMNS), failed, ~failed & (p >= keep_at), p)
+
+
+def _judge_array(texts: pa.Array, m: Model, keep_at: float, chunk_bytes: int) -> list[pa.Array]:
+    """The result columns for an array of binary texts, chunk by chunk."""
+    parts, held, size = [_judge([b""], m, keep_at)], [], 0  # the first part gives the types and is dropped
+    for text in texts:
+        held.append(text.as_py() or b"")
+        size += len(held[-1])
+        if size >= chunk_bytes:
+            parts.append(_judge(held, m, keep_at))
+            held, size = [], 0
+    if held:
+        parts.append(_judge(held, m, keep_at))
+    return [pa.array(np.concatenate(x)[1:]) for x in zip(*parts, strict=True)]
+
+
+def keep_good(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, chunk_bytes: int = 512 << 10) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`quality_rules` keeps. No shuffle; only the text goes
+    to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def kept(text: pa.Array) -> pa.Array:
+        return _judge_array(text, shared.value, keep_at, chunk_bytes)[-2]
+
+    return docs.where(kept(F.col("text").cast("binary")))
+
+
 def quality_rules(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, chunk_bytes: int = 512 << 10) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability)`` of
     every whole text. A null text has no words and so fails the base rule; a null doc_id stays null; repeated rows
@@ -233,26 +266,9 @@ def quality_rules(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, chunk
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            parts, held, size = [], [], 0
-            for text in batch.column(1):
-                held.append(text.as_py() or b"")
-                size += len(held[-1])
-                if size >= chunk_bytes:
-                    parts.append(judge(held, m))
-                    held, size = [], 0
-            if held:
-                parts.append(judge(held, m))
-            if parts:
-                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", *_COLUMNS, "base_failed", "kept", "probability"])
-
-    def judge(texts: list[bytes], m: Model) -> tuple[np.ndarray, ...]:
-        c = analyse(texts)
-        n, p = c.base["n_words"], m.probability(c)
-        failed = (n < MIN_WORDS) | (100 * c.base["n_repeat_words"] > REPEAT_PERCENT * n)
-        return (*(c.base[x].astype(np.int64) for x in _COLUMNS), failed, ~failed & (p >= keep_at), p)
+            columns = _judge_array(batch.column(1), shared.value, keep_at, chunk_bytes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *_COLUMNS, "base_failed", "kept", "probability"])
 
     schema = "doc_id bigint, " + ", ".join(f"{x} bigint" for x in _COLUMNS) + ", base_failed boolean, kept boolean, probability double"
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as binary) as text").mapInArrow(run, schema)

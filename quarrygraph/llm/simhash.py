@@ -135,3 +135,12 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     links = connected_components(near_links(known, radius, tile), "simhash-cc")
     named = known.join(links, known.id == links.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with its own columns, of each component only the document of the smallest doc_id, once. Rows without
+    a doc_id can't be named as copies of each other and stay."""
+    found = simhash_components(docs, radius, shingle)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    rows = docs.join(stay, F.col("doc_id").cast("bigint") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null"))
