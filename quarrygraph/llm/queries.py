@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, simhash, token_counts
+from . import bpe, mixing, pii, quality, simhash, token_counts, warc
 from .common import read_table
 
 
@@ -35,6 +35,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(warc.read_archive(*warc.write_archive(read_table(spark, sf_dir, "pages"))))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
@@ -51,10 +55,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.oracle(),
+    "op7_warc": warc.ORACLE,
 }
