@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, mixing, pii, quality, simhash, suffix_dedup, token_counts, warc
+from . import bpe, chat, embedding_dedup, mixing, pii, quality, simhash, suffix_dedup, token_counts, warc
 from .common import read_table
 
 
@@ -39,6 +39,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
