@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,49 +70,52 @@ def merge_symbols(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]])
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
 
-    def put(i: int, value: int) -> None:
-        k = width + i
-        tree[k] = value
-        while k > 1:
-            k >>= 1
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                break
-            tree[k] = low
-
     following = list(range(1, n + 1))
     previous = list(range(-1, n - 1))
     while (low := tree[1]) < _NONE:
         i = low & mask
         j = following[i]
-        ids[i] = get((ids[i], ids[j]))[1]
+        ids[i] = merged = pairs[ids[i], ids[j]][1]
         ids[j] = -1
         k = following[i] = following[j]
-        if j < n - 1:
-            put(j, _NONE)
+        value = _NONE
         if k < n:
             previous[k] = i
-            hit = get((ids[i], ids[k]))
-            put(i, hit[0] << bits | i if hit is not None else _NONE)
-        else:
-            put(i, _NONE)
+            if (hit := get((merged, ids[k]))) is not None:
+                value = hit[0] << bits | i
+        tree[width + i] = value
+        left, right = width + i, width + (j if j < n - 1 else i)
+        tree[right] = _NONE if right != left else value
         h = previous[i]
         if h >= 0:
-            hit = get((ids[h], ids[i]))
-            put(h, hit[0] << bits | h if hit is not None else _NONE)
+            hit = get((ids[h], merged))
+            left = width + h
+            tree[left] = hit[0] << bits | h if hit is not None else _NONE
+        middle = width + i
+        while left > 1:  # the three leaves' ancestors, until they meet
+            left >>= 1
+            middle >>= 1
+            right >>= 1
+            a, b = tree[2 * left], tree[2 * left + 1]
+            tree[left] = a if a < b else b
+            if middle != left:
+                a, b = tree[2 * middle], tree[2 * middle + 1]
+                tree[middle] = a if a < b else b
+            if right != middle and right != left:
+                a, b = tree[2 * right], tree[2 * right + 1]
+                tree[right] = a if a < b else b
     return [x for x in ids if x >= 0]
 
 
-#: Ids as text joined by commas, their number, the bytes that decoding them gives, and the ids as packed int32.
-Piece = tuple[str, int, bytes, bytes]
+#: Ids as text joined by commas, their number, and the bytes that decoding them gives.
+Piece = tuple[str, int, bytes]
 
 
 class ByteBpe:
     """A byte-level BPE vocabulary file (JSON) with its merges. ``pieces`` are pre-tokens; their encodings are
     kept in a cache of two generations of at most ``cache_size`` entries each, which changes speed only."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 250_000):
         spec = json.load(open(path, encoding="utf-8"))
         model, kind = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or spec["normalizer"] or model["byte_fallback"] or model["ignore_merges"] or model["end_of_word_suffix"]:
@@ -160,7 +162,7 @@ class ByteBpe:
         return made
 
     def _piece(self, ids: list[int]) -> Piece:
-        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids), array("i", ids).tobytes()
+        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
 
     def parts(self, text: str) -> list[str]:
         return self.split_special.split(text) if self.split_special and "<" in text else [text]
@@ -176,7 +178,11 @@ class ByteBpe:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return array("i", b"".join([p[3] for p in self.pieces(text)])).tolist()
+        return self.ids(self.pieces(text)).tolist()
+
+    @staticmethod
+    def ids(pieces: list[Piece]) -> np.ndarray:
+        return np.fromstring(",".join([p[0] for p in pieces]), np.int32, sep=",")
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -214,10 +220,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 text = text.as_py() or ""
                 pieces = bpe.pieces(text)
                 n.append(sum([p[1] for p in pieces]))
-                packed.append(b"".join([p[3] for p in pieces]))
+                packed.append(bpe.ids(pieces))
                 same.append(b"".join([p[2] for p in pieces]) == text.encode())
             ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*packed, np.empty(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     source = docs.selectExpr(f"cast({id_col} as bigint) as doc_id", f"{text_col} as text")

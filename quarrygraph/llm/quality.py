@@ -42,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            step = np.full(2 * n, base, np.uint64)
+            step = np.full(n + n // 4, base, np.uint64)
             step[0] = 1
             _powers[k] = np.cumprod(step, dtype=np.uint64)
     return _powers[0][:n], _powers[1][:n]
@@ -134,6 +134,15 @@ def analyse(texts: list[bytes]) -> Chunk:
     return Chunk(k, base, char_hi - char_lo, char_at, char_lo, char_hi, (words >> np.uint64(64 - BITS)).astype(np.int64), word_lo, word_lo + n_words, (pair >> np.uint64(64 - BITS)).astype(np.int64), word_doc[mate])
 
 
+def _chunks(texts: list[bytes], chunk_bytes: int = 256 << 10) -> Iterator[tuple[int, Chunk]]:
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= chunk_bytes or k == len(texts) - 1:
+            yield first, analyse(texts[first : k + 1])
+            first, size = k + 1, 0
+
+
 @dataclass
 class Model:
     """Fixed-point weights of the three feature families, bias, and the calibration's slope and offset."""
@@ -164,15 +173,15 @@ def fit(texts: list[bytes], good: np.ndarray, rounds: int = 120, rate: float = 0
     n = len(texts)
     if n == 0 or good.min() == good.max():
         return KEEP_ALL
-    c = analyse(texts)
     docs, ats, values = [], [], []
-    families = ((np.repeat(np.arange(n), c.char_hi - c.char_lo), np.concatenate([c.char_at[a:b] for a, b in zip(c.char_lo, c.char_hi, strict=True)])), (np.repeat(np.arange(n), c.word_hi - c.word_lo), c.word_at), (c.pair_doc, c.pair_at))
-    for family, (doc, at) in enumerate(families):
-        cell, times = np.unique(doc.astype(np.int64) << BITS | at.astype(np.int64), return_counts=True)
-        doc = cell >> BITS
-        docs.append(doc)
-        ats.append((cell & ((1 << BITS) - 1)) + (family << BITS))
-        values.append(times * SCALE / np.maximum(np.bincount(doc, times, minlength=n), 1)[doc])
+    for first, c in _chunks(texts):
+        families = ((np.repeat(np.arange(c.n), c.char_hi - c.char_lo), np.concatenate([c.char_at[a:b] for a, b in zip(c.char_lo, c.char_hi, strict=True)])), (np.repeat(np.arange(c.n), c.word_hi - c.word_lo), c.word_at), (c.pair_doc, c.pair_at))
+        for family, (doc, at) in enumerate(families):
+            cell, times = np.unique(doc.astype(np.int64) << BITS | at.astype(np.int64), return_counts=True)
+            doc = cell >> BITS
+            docs.append((doc + first).astype(np.int32))
+            ats.append(((cell & ((1 << BITS) - 1)) + (family << BITS)).astype(np.int32))
+            values.append((times * SCALE / np.maximum(np.bincount(doc, times, minlength=c.n), 1)[doc]).astype(np.float32))
     doc, at, value = np.concatenate(docs), np.concatenate(ats), np.concatenate(values)
     held = np.arange(n) % 4 == 3
     if good[held].min(initial=1) == good[held].max(initial=0) or good[~held].min() == good[~held].max():
@@ -247,7 +256,7 @@ def _judge_array(texts: pa.Array, m: Model, keep_at: float, chunk_bytes: int) ->
     return [pa.array(np.concatenate(x)[1:]) for x in zip(*parts, strict=True)]
 
 
-def keep_good(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, chunk_bytes: int = 512 << 10) -> DataFrame:
+def keep_good(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, chunk_bytes: int = 256 << 10) -> DataFrame:
     """The rows of ``docs``, with all their columns, that :func:`quality_rules` keeps. No shuffle; only the text goes
     to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -259,7 +268,7 @@ def keep_good(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, chunk_byt
     return docs.where(kept(F.col("text").cast("binary")))
 
 
-def quality_rules(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, chunk_bytes: int = 512 << 10) -> DataFrame:
+def quality_rules(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, chunk_bytes: int = 256 << 10) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability)`` of
     every whole text. A null text has no words and so fails the base rule; a null doc_id stays null; repeated rows
     are judged each; an empty table gives no rows; other columns are ignored. No shuffle."""
