@@ -18,7 +18,7 @@ VIEWS = {
     "symbols": f"""
       SELECT concat('geo/', r_name, '#region', r_regionkey) AS id, concat('region', r_regionkey) AS name, 'module' AS kind, concat('geo/', r_name) AS path, 'sql' AS language FROM region
       UNION ALL SELECT concat({_NATION_PATH}, '#nation', n_nationkey), concat('nation', n_nationkey), 'class', {_NATION_PATH}, 'sql' FROM nation JOIN region ON r_regionkey = n_regionkey
-      UNION ALL SELECT concat('crm/', c_mktsegment, '/tests#customer', c_custkey), concat('customer', c_custkey), 'class', concat('crm/', c_mktsegment, '/tests'), 'go' FROM customer WHERE c_custkey % 5 = 0
+      UNION ALL SELECT concat('crm/', c_mktsegment, '/tests/case#customer', c_custkey), concat('customer', c_custkey), 'class', concat('crm/', c_mktsegment, '/tests/case'), 'go' FROM customer WHERE c_custkey % 5 = 0
       UNION ALL SELECT concat('crm/', c_mktsegment, '/main#customer', c_custkey), concat('customer', c_custkey), 'class', concat('crm/', c_mktsegment, '/main'), 'go' FROM customer WHERE c_custkey % 5 <> 0
       UNION ALL SELECT concat('supply/s', s_suppkey % 7, '#supplier', s_suppkey), concat('supplier', s_suppkey), 'class', concat('supply/s', s_suppkey % 7), 'java' FROM supplier
       UNION ALL SELECT concat('catalog/', p_brand, '/', p_size, '#part', p_partkey), concat('part', p_partkey), 'function', concat('catalog/', p_brand, '/', p_size), 'python' FROM part
@@ -48,7 +48,7 @@ VIEWS = {
     "current_files": """
       SELECT id, path, CASE WHEN doc_id % 11 = 0 THEN concat(body, '!') ELSE body END AS text, CASE WHEN doc_id % 11 = 0 THEN length(body) + 1 ELSE length(body) END AS size FROM docs WHERE doc_id % 5 <> 0""",
     "commits": """
-      SELECT concat('h', event_id % 4000) AS hash, ts AS at, concat('user', user_id) AS author, concat('user', user_id, '@example.com') AS email, event_type AS area FROM events""",
+      SELECT concat('h', event_id % 4000) AS hash, ts AS made_at, concat('user', user_id) AS author, concat('user', user_id, '@example.com') AS email, event_type AS area FROM events""",
     "scored": """
       SELECT concat(name, '/', doc_id % 50) AS id, scope, min(path) AS path, max(CAST(length(body) % 997 AS DOUBLE) / 997 + doc_id % 13) AS score FROM docs GROUP BY concat(name, '/', doc_id % 50), scope""",
 }
