@@ -15,9 +15,10 @@ MIN_SYMBOLS, MAX_DEPTH = 5, 2
 
 def prefixes(paths: DataFrame, path: str = "path") -> DataFrame:
     """``(path, prefix)``: each path with all its directory prefixes and the root ''."""
-    parts = F.split(path, "/")
-    ends = F.sequence(F.lit(0), F.size(parts) - 1)
-    return paths.select(F.col(path).alias("path"), F.explode(F.transform(ends, lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("prefix"))
+    plain = paths.select(F.col(path).alias("path"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return plain.select("path", F.explode(above).alias("prefix"))
 
 
 def assign_scope(paths: DataFrame, scopes: DataFrame) -> DataFrame:

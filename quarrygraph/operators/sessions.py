@@ -78,9 +78,9 @@ def audit(turns: DataFrame) -> DataFrame:
 def nearest_rank(values: DataFrame, value: str, p: float) -> DataFrame:
     """The ``ceil(n * p)``-th smallest value, exactly: counts of the distinct values are summed, not the values sorted
     in one array."""
-    n = values.groupBy(value).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    run = n.withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    n = values.groupBy(value).agg(F.count("*").alias("__n"))
+    total = n.agg(F.sum("__n").alias("total"))
+    run = n.withColumn("upto", F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     return run.crossJoin(F.broadcast(total)).where(F.col("upto") >= F.ceil(F.col("total") * p)).agg(F.min(value).alias("value"))
 
 

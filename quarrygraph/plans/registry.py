@@ -1,5 +1,5 @@
 """All queries and oracles of the engine's own operators."""
 
-from . import catalog
+from . import catalog, catalog_more  # noqa: F401  (each adds its queries)
 
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
