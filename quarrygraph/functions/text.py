@@ -115,7 +115,7 @@ def slice_span(text: Column, start: Column, end: Column, cap: int = 80) -> Colum
 
 def first_prose(body: Column) -> Column:
     """First line that isn't blank, a heading, a comment or a list item."""
-    return F.try_element_at(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: (x != "") & ~x.rlike(r"^(#|<!--|[-*+] |>)")), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(#|<!--|[-*+] |>)")), F.lit(1))
 
 
 def humanize_test_name(x: Column) -> Column:

@@ -130,7 +130,8 @@ def _by_lines(path: str, text: str, language: str) -> tuple[list[tuple], list[tu
                 break
         if (pattern := IMPORTS.get(language)) and (m := re.match(pattern, line)):
             raw.append((path, "imports", path, language, None, m[1], None, False, None, None))
-    for (start, kind, name, line), following in zip(found, [*(f[0] for f in found[1:]), len(lines) + 1], strict=True):
+    for k, (start, kind, name, line) in enumerate(found):
+        following = found[k + 1][0] if k + 1 < len(found) else len(lines) + 1
         end = max(start, following - 1)
         me = ids.mint(f"{path}#{name}")
         body = lines[start - 1 : end]

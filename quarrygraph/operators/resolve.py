@@ -76,7 +76,7 @@ def _normal(path: Column) -> Column:
 
 def relative_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
     """``(edge, target)``: the first of the import's possible spellings that is a file. ``files(path)``."""
-    some = raw.where(F.col("specifier").startswith(".")).select("edge", F.concat_ws("/", F.regexp_replace("file", "[^/]*$", "."), "specifier").alias("joined"))
+    some = raw.where(F.col("specifier").startswith(".")).select("edge", F.concat_ws("/", F.regexp_replace("file", "[^/]+$", "."), "specifier").alias("joined"))
     tries = some.select("edge", F.posexplode(F.transform(F.array(*map(F.lit, PROBES)), lambda p: F.concat(_normal(F.col("joined")), p))).alias("place", "path"))
     return tries.join(files.select("path").distinct(), "path").groupBy("edge").agg(F.min_by("path", "place").alias("target"))
 
@@ -106,7 +106,7 @@ def java_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
 def c_includes(raw: DataFrame, files: DataFrame) -> DataFrame:
     """A file relative to the including one, else the only file of that tail."""
     some = raw.where("language in ('c', 'cpp') and specifier is not null")
-    near = some.select("edge", _normal(F.concat_ws("/", F.regexp_replace("file", "[^/]*$", "."), "specifier")).alias("path")).join(files.select("path").distinct(), "path").select("edge", F.col("path").alias("target"))
+    near = some.select("edge", _normal(F.concat_ws("/", F.regexp_replace("file", "[^/]+$", "."), "specifier")).alias("path")).join(files.select("path").distinct(), "path").select("edge", F.col("path").alias("target"))
     return near.unionByName(unique_suffixes(some.join(near, "edge", "left_anti"), files, F.col("specifier")))
 
 

@@ -24,10 +24,11 @@ LANGUAGES = {
 def scan_tree(spark: SparkSession, root: str, include: list[str] | None = None) -> DataFrame:
     """``(path, size, mtime, content)`` of the files below ``root`` that may be sources: at most 1 MiB, in no hidden or
     build directory, and with ``include`` below one of these prefixes."""
-    base = root.rstrip("/") + "/"
+    import re
+
+    base = root.rstrip("/").split("://")[-1] + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
-    marker = "/" + base.rsplit("/", 2)[-2] + "/"
-    rel = F.regexp_replace(F.col("path"), "^.*?" + F_escape(base.split("://")[-1]), "") if marker else F.col("path")
+    rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(base), "")
     out = raw.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
     out = out.where(~F.exists(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda d: d.startswith(".") | d.isin(*SKIPPED)))
     if include:
@@ -38,12 +39,6 @@ def scan_tree(spark: SparkSession, root: str, include: list[str] | None = None)
     return out
 
 
-def F_escape(text: str) -> str:  # noqa: N802
-    import re
-
-    return re.escape(text)
-
-
 def decode(content: Column) -> Column:
     """UTF-8, or UTF-16 little endian by its mark; null for UTF-16 big endian."""
     mark = F.hex(F.substring(content, 1, 3))
@@ -59,7 +54,7 @@ def language_of(path: Column) -> Column:
 def classify(path: Column, prefix: Column) -> Column:
     """native, container, perl, generic or null: by extension, else by the first line of the file."""
     language = language_of(path)
-    shebang = F.regexp_extract(F.substring_index(prefix, "\n", 1), r"^#!\s*\S*?(python|perl|node|bash|sh)\b", 1)
+    shebang = F.regexp_extract(F.substring_index(prefix, "\n", 1), r"^#!.*?\b(python|perl|node|bash|sh)[0-9.]*\b", 1)
     return (
         F.when(language == "vue", "container")
         .when((language == "perl") | (shebang == "perl"), "perl")
@@ -96,7 +91,7 @@ def keep_newest(entries: DataFrame, key: str, mtime: str, keep: int = 2) -> Data
 
 def read_concepts(spark: SparkSession, root: str) -> DataFrame:
     """``(slug, name, type, summary, body)`` of the markdown files below ``root`` but for the index."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).select(F.input_file_name().alias("file"), "value")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.input_file_name().alias("file"), "value")
     head = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1)
     field = lambda name: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{name}:\s*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
     slug = F.regexp_extract("file", r"([^/]+)\.md$", 1)
