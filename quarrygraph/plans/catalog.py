@@ -27,10 +27,10 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def scalars(name: str, source: str, columns: dict[str, tuple], key: str = "doc_id") -> None:
-    """A query that only computes scalar functions: a Column of ours against an SQL expression each."""
+    """A query that only computes scalar functions: a Column of ours, made when it runs, against an SQL expression."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return view(spark, sf_dir, source).select(key, *[c.alias(n) if not callable(c) else c().alias(n) for n, (c, _) in columns.items()])
+        return view(spark, sf_dir, source).select(key, *[make().alias(n) for n, (make, _) in columns.items()])
 
     QUERIES[name] = run
     ORACLES[name] = oracle(f"SELECT {key}, " + ", ".join(f"{e} AS {n}" for n, (_, e) in columns.items()) + f" FROM {source}")

@@ -10,53 +10,51 @@ from quarrygraph.operators import concepts, drift, intervals, retrieval, scopes,
 from quarrygraph.plans.catalog import docs, hashed, register, scalars, tokens
 from quarrygraph.plans.views import view
 
-body = F.col("body")
-
 # scalar functions
 
 scalars("f1_tokenize", "docs", {
-    "n": (F.size(T.tokenize(body)).cast("bigint"), f"len({tokens('body')})"),
-    "digest": (F.md5(F.array_join(T.tokenize(body), " ").cast("binary")), f"md5(array_to_string({tokens('body')}, ' '))"),
+    "n": (lambda: F.size(T.tokenize(F.col("body"))).cast("bigint"), f"len({tokens('body')})"),
+    "digest": (lambda: F.md5(F.array_join(T.tokenize(F.col("body")), " ").cast("binary")), f"md5(array_to_string({tokens('body')}, ' '))"),
 })
 scalars("f2_plural_terms", "docs", {
-    "thes": (T.has_term(T.tokenize(body), F.lit("thes")), f"list_has_any({tokens('body')}, ['thes', 'thess', 'the'])"),
-    "ation": (T.has_term(T.tokenize(body), F.lit("ation")), f"list_has_any({tokens('body')}, ['ation', 'ations'])"),
+    "thes": (lambda: T.has_term(T.tokenize(F.col("body")), F.lit("thes")), f"list_has_any({tokens('body')}, ['thes', 'thess', 'the'])"),
+    "ation": (lambda: T.has_term(T.tokenize(F.col("body")), F.lit("ation")), f"list_has_any({tokens('body')}, ['ation', 'ations'])"),
 })
-scalars("f7_clamp", "scored", {"clamped": (T.clamp01(F.col("score") / 10 - 0.2), "CASE WHEN score / 10 - 0.2 <= 0 THEN 0 ELSE least(1, score / 10 - 0.2) END")}, "id")
-scalars("f8_decay", "commits", {"weight": (F.round(T.decay(F.hour("made_at").cast("double"), 24.0), 6), "round(pow(0.5, hour(made_at) / 24.0), 6)")}, "hash")
-scalars("f9_digests", "docs", {"full": (F.sha2("body", 256), "sha256(body)"), "short": (F.substring(F.sha2("path", 256), 1, 16), "substr(sha256(path), 1, 16)")})
-scalars("f10_normalize_name", "docs", {"name": (T.normalize_name(F.substring("body", 1, 60)), "lower(regexp_replace(trim(substr(body, 1, 60)), '\\s+', ' ', 'g'))")})
-scalars("f11_slugify", "docs", {"slug": (T.slugify(F.substring("body", 1, 40)), "coalesce(nullif(regexp_replace(regexp_replace(lower(substr(body, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'node')")})
-scalars("f12_paths", "docs", {"posix": (T.posix_path(F.concat(F.lit("\\"), F.col("path"), F.lit("//x/"))), "concat('/', path, '/x')")})
+scalars("f7_clamp", "scored", {"clamped": (lambda: T.clamp01(F.col("score") / 10 - 0.2), "CASE WHEN score / 10 - 0.2 <= 0 THEN 0 ELSE least(1, score / 10 - 0.2) END")}, "id")
+scalars("f8_decay", "commits", {"weight": (lambda: F.round(T.decay(F.hour("made_at").cast("double"), 24.0), 6), "round(pow(0.5, hour(made_at) / 24.0), 6)")}, "hash")
+scalars("f9_digests", "docs", {"full": (lambda: F.sha2("body", 256), "sha256(body)"), "short": (lambda: F.substring(F.sha2("path", 256), 1, 16), "substr(sha256(path), 1, 16)")})
+scalars("f10_normalize_name", "docs", {"name": (lambda: T.normalize_name(F.substring("body", 1, 60)), "lower(regexp_replace(trim(substr(body, 1, 60)), '\\s+', ' ', 'g'))")})
+scalars("f11_slugify", "docs", {"slug": (lambda: T.slugify(F.substring("body", 1, 40)), "coalesce(nullif(regexp_replace(regexp_replace(lower(substr(body, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'node')")})
+scalars("f12_paths", "docs", {"posix": (lambda: T.posix_path(F.concat(F.lit("\\"), F.col("path"), F.lit("//x/"))), "concat('/', path, '/x')")})
 scalars("f13_path_parts", "docs", {
-    "top": (T.dir_key(F.col("path"), 1), "split_part(path, '/', 1)"),
-    "two": (T.dir_key(F.col("path"), 2), "concat(split_part(path, '/', 1), '/', split_part(path, '/', 2))"),
-    "dir": (T.dirname(F.col("path")), "regexp_replace(path, '/[^/]*$', '')"),
-    "base": (T.basename(F.col("path")), "regexp_extract(path, '([^/]*)$', 1)"),
+    "top": (lambda: T.dir_key(F.col("path"), 1), "split_part(path, '/', 1)"),
+    "two": (lambda: T.dir_key(F.col("path"), 2), "concat(split_part(path, '/', 1), '/', split_part(path, '/', 2))"),
+    "dir": (lambda: T.dirname(F.col("path")), "regexp_replace(path, '/[^/]*$', '')"),
+    "base": (lambda: T.basename(F.col("path")), "regexp_extract(path, '([^/]*)$', 1)"),
 })
-scalars("f14_short_label", "docs", {"n": (F.length(T.short_label(F.substring_index("body", "\n", 1))) <= 30, "true")})
-scalars("f16_humanize", "docs", {"words": (T.humanize_test_name(F.concat(F.lit("test_"), F.regexp_replace(F.substring("body", 1, 24), "[^A-Za-z]+", "_"))), "CASE WHEN len(string_split(lower(trim(regexp_replace(regexp_replace(regexp_replace(concat('test_', regexp_replace(substr(body, 1, 24), '[^A-Za-z]+', '_', 'g')), '^(test|it|should)[_ ]*', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\s]+', ' ', 'g'))), ' ')) >= 3 THEN lower(trim(regexp_replace(regexp_replace(regexp_replace(concat('test_', regexp_replace(substr(body, 1, 24), '[^A-Za-z]+', '_', 'g')), '^(test|it|should)[_ ]*', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\s]+', ' ', 'g'))) END")})
-scalars("f17_first_prose", "docs", {"prose": (T.first_prose(body), "list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|<!--|[-*+] |>)'))[1]")})
+scalars("f14_short_label", "docs", {"n": (lambda: F.length(T.short_label(F.substring_index("body", "\n", 1))) <= 30, "true")})
+scalars("f16_humanize", "docs", {"words": (lambda: T.humanize_test_name(F.concat(F.lit("test_"), F.regexp_replace(F.substring("body", 1, 24), "[^A-Za-z]+", "_"))), "CASE WHEN len(string_split(lower(trim(regexp_replace(regexp_replace(regexp_replace(concat('test_', regexp_replace(substr(body, 1, 24), '[^A-Za-z]+', '_', 'g')), '^(test|it|should)[_ ]*', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\s]+', ' ', 'g'))), ' ')) >= 3 THEN lower(trim(regexp_replace(regexp_replace(regexp_replace(concat('test_', regexp_replace(substr(body, 1, 24), '[^A-Za-z]+', '_', 'g')), '^(test|it|should)[_ ]*', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\s]+', ' ', 'g'))) END")})
+scalars("f17_first_prose", "docs", {"prose": (lambda: T.first_prose(F.col("body")), "list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|<!--|[-*+] |>)'))[1]")})
 scalars("f18_buckets", "docs", {
-    "files": (T.files_bucket(F.col("doc_id")), "CASE WHEN doc_id <= 0 THEN '0' WHEN doc_id < 50 THEN '1-49' WHEN doc_id < 200 THEN '50-199' WHEN doc_id < 1000 THEN '200-999' WHEN doc_id < 5000 THEN '1000-4999' ELSE '5000+' END"),
-    "count": (T.count_bucket(F.col("doc_id") % 300), "CASE WHEN doc_id % 300 <= 0 THEN '0' WHEN doc_id % 300 < 5 THEN '1-4' WHEN doc_id % 300 < 20 THEN '5-19' WHEN doc_id % 300 < 50 THEN '20-49' WHEN doc_id % 300 < 200 THEN '50-199' ELSE '200+' END"),
-    "duration": (T.duration_bucket(F.length(body) * 100), "CASE WHEN length(body) < 10 THEN '<1s' WHEN length(body) < 50 THEN '1-5s' WHEN length(body) < 300 THEN '5-30s' WHEN length(body) < 1200 THEN '30s-2m' WHEN length(body) < 6000 THEN '2-10m' ELSE '10m+' END"),
-    "saved": (T.saved_tokens_bucket(F.length(body)), "CASE WHEN length(body) <= 0 THEN '0' WHEN length(body) < 1000 THEN '<1k' WHEN length(body) < 5000 THEN '1-5k' WHEN length(body) < 20000 THEN '5-20k' WHEN length(body) < 100000 THEN '20-100k' ELSE '100k+' END"),
+    "files": (lambda: T.files_bucket(F.col("doc_id")), "CASE WHEN doc_id <= 0 THEN '0' WHEN doc_id < 50 THEN '1-49' WHEN doc_id < 200 THEN '50-199' WHEN doc_id < 1000 THEN '200-999' WHEN doc_id < 5000 THEN '1000-4999' ELSE '5000+' END"),
+    "count": (lambda: T.count_bucket(F.col("doc_id") % 300), "CASE WHEN doc_id % 300 <= 0 THEN '0' WHEN doc_id % 300 < 5 THEN '1-4' WHEN doc_id % 300 < 20 THEN '5-19' WHEN doc_id % 300 < 50 THEN '20-49' WHEN doc_id % 300 < 200 THEN '50-199' ELSE '200+' END"),
+    "duration": (lambda: T.duration_bucket(F.length(F.col("body")) * 100), "CASE WHEN length(body) < 10 THEN '<1s' WHEN length(body) < 50 THEN '1-5s' WHEN length(body) < 300 THEN '5-30s' WHEN length(body) < 1200 THEN '30s-2m' WHEN length(body) < 6000 THEN '2-10m' ELSE '10m+' END"),
+    "saved": (lambda: T.saved_tokens_bucket(F.length(F.col("body"))), "CASE WHEN length(body) <= 0 THEN '0' WHEN length(body) < 1000 THEN '<1k' WHEN length(body) < 5000 THEN '1-5k' WHEN length(body) < 20000 THEN '5-20k' WHEN length(body) < 100000 THEN '20-100k' ELSE '100k+' END"),
 })
-scalars("f19_langs", "docs", {"langs": (T.langs_value(F.array(F.col("scope"), F.lit(" Go "), F.upper("scope"), F.lit("c++"), F.lit("bad lang"), F.col("source"))), "array_to_string(list_sort(list_distinct(list_filter([scope, 'go', lower(scope), 'c++', 'bad lang', lower(source)], lambda x: regexp_matches(x, '^[a-z0-9+#._-]{1,24}$'))))[1:8], ',')")})
-scalars("f22_numbers", "docs", {"n": (T.number_with_suffix(F.concat(F.lit("saved "), (F.col("doc_id") % 97).cast("string"), F.lit(".5k tokens"))), "(doc_id % 97 + 0.5)::DOUBLE * 1000")})
-scalars("f23_tokens", "docs", {"tokens": (T.to_tokens(F.length(body)), "floor(length(body) / 4.0 + 0.5)::BIGINT")})
-scalars("f25_handles", "docs", {"handle": (T.github_handle(F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("+"))).otherwise(F.lit("")), F.col("source"), F.when(F.col("doc_id") % 3 == 0, F.lit("@x.org")).otherwise(F.lit("@users.noreply.github.com")))), "CASE WHEN doc_id % 3 <> 0 THEN source END")})
-scalars("f26_search_body", "docs", {"n": (F.length(T.search_body(body)), "length(substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 5000))"), "digest": (F.md5(T.search_body(body, 200).cast("binary")), "md5(substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 200))")})
-scalars("f28_slice_span", "docs", {"digest": (F.md5(T.slice_span(body, F.lit(2), F.lit(4)).cast("binary")), "md5(CASE WHEN 2 > len(string_split(body, chr(10))) THEN '' ELSE array_to_string(string_split(body, chr(10))[2:4], chr(10)) END)")})
-scalars("f29_reference_line", "docs", {"line": (T.reference_line(body, "the", F.lit(1), F.lit(9)), "trim(list_filter(string_split(body, chr(10))[1:9], lambda x: regexp_matches(x, '\\bthe\\b'))[1])")})
-scalars("f31_ordinals", "nodes", {"plain": (T.strip_ordinals(F.concat(F.col("id"), F.lit("~2.run~3"))), "concat(id, '.run')"), "owner": (T.owner_of_method(F.concat_ws(".", "id", F.lit("run"))), "nullif(regexp_extract(id, '#([^.]*)', 1), '')")}, "id")
-scalars("f34_subject_words", "docs", {"words": (F.array_join(T.subject_words(F.substring("body", 1, 50)), " "), "array_to_string(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(substr(body, 1, 50), '[\\p{L}\\p{N}_.]+')), lambda w: {'n': -length(w), 'w': w})), lambda s: s.w), ' ')")})
-scalars("p6_test_paths", "nodes", {"test": (T.is_test_path(F.col("path")), "path LIKE '%/tests/%'"), "factor": (T.test_factor(F.col("path")), "CASE WHEN path LIKE '%/tests/%' THEN 0.35 ELSE 1.0 END::DOUBLE")}, "id")
-scalars("p1_path_under", "docs", {"under": (T.path_under(F.col("path"), F.lit("en/src1")), "path = 'en/src1' OR starts_with(path, 'en/src1/')")})
-
-
-scalars("p12_span_bounds", "spans", {"lo": (T.span_bounds(F.concat(F.lit("L"), F.col("span_start").cast("string"), F.lit("-L"), F.col("span_end").cast("string")))[0], "span_start::INT"), "hi": (T.span_bounds(F.concat(F.lit("x"), F.col("span_start").cast("string")))[1], "CAST(NULL AS INT)")}, "id")
+scalars("f19_langs", "docs", {"langs": (lambda: T.langs_value(F.array(F.col("scope"), F.lit(" Go "), F.upper("scope"), F.lit("c++"), F.lit("bad lang"), F.col("source"))), "array_to_string(list_sort(list_distinct(list_filter([scope, 'go', lower(scope), 'c++', 'bad lang', lower(source)], lambda x: regexp_matches(x, '^[a-z0-9+#._-]{1,24}$'))))[1:8], ',')")})
+scalars("f22_numbers", "docs", {"n": (lambda: T.number_with_suffix(F.concat(F.lit("saved "), (F.col("doc_id") % 97).cast("string"), F.lit(".5k tokens"))), "(doc_id % 97 + 0.5)::DOUBLE * 1000")})
+scalars("f23_tokens", "docs", {"tokens": (lambda: T.to_tokens(F.length(F.col("body"))), "floor(length(body) / 4.0 + 0.5)::BIGINT")})
+scalars("f25_handles", "docs", {"handle": (lambda: T.github_handle(F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("+"))).otherwise(F.lit("")), F.col("source"), F.when(F.col("doc_id") % 3 == 0, F.lit("@x.org")).otherwise(F.lit("@users.noreply.github.com")))), "CASE WHEN doc_id % 3 <> 0 THEN source END")})
+scalars("f26_search_body", "docs", {"n": (lambda: F.length(T.search_body(F.col("body"))), "length(substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 5000))"), "digest": (lambda: F.md5(T.search_body(F.col("body"), 200).cast("binary")), "md5(substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 200))")})
+scalars("f28_slice_span", "docs", {"digest": (lambda: F.md5(T.slice_span(F.col("body"), F.lit(2), F.lit(4)).cast("binary")), "md5(CASE WHEN 2 > len(string_split(body, chr(10))) THEN '' ELSE array_to_string(string_split(body, chr(10))[2:4], chr(10)) END)")})
+scalars("f29_reference_line", "docs", {"line": (lambda: T.reference_line(F.col("body"), "the", F.lit(1), F.lit(9)), "trim(list_filter(string_split(body, chr(10))[1:9], lambda x: regexp_matches(x, '\\bthe\\b'))[1])")})
+scalars("f31_ordinals", "nodes", {"plain": (lambda: T.strip_ordinals(F.concat(F.col("id"), F.lit("~2.run~3"))), "concat(id, '.run')"), "owner": (lambda: T.owner_of_method(F.concat_ws(".", "id", F.lit("run"))), "nullif(regexp_extract(id, '#([^.]*)', 1), '')")}, "id")
+scalars("f34_subject_words", "docs", {"words": (lambda: F.array_join(T.subject_words(F.substring("body", 1, 50)), " "), "array_to_string(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(substr(body, 1, 50), '[\\p{L}\\p{N}_.]+')), lambda w: {'n': -length(w), 'w': w})), lambda s: s.w), ' ')")})
+scalars("p6_test_paths", "nodes", {"test": (lambda: T.is_test_path(F.col("path")), "path LIKE '%/tests/%'"), "factor": (lambda: T.test_factor(F.col("path")), "CASE WHEN path LIKE '%/tests/%' THEN 0.35 ELSE 1.0 END::DOUBLE")}, "id")
+scalars("p1_path_under", "docs", {"under": (lambda: T.path_under(F.col("path"), F.lit("en/src1")), "path = 'en/src1' OR starts_with(path, 'en/src1/')")})
+
+
+scalars("p12_span_bounds", "spans", {"lo": (lambda: T.span_bounds(F.concat(F.lit("L"), F.col("span_start").cast("string"), F.lit("-L"), F.col("span_end").cast("string")))[0], "span_start::INT"), "hi": (lambda: T.span_bounds(F.concat(F.lit("x"), F.col("span_start").cast("string")))[1], "CAST(NULL AS INT)")}, "id")
 
 
 @register("f36_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
