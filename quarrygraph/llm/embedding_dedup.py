@@ -228,3 +228,21 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, expected: float =
     alone = F.col("vec_id").isNull() | F.col("component_id").isNull()
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
     return joined.select("vec_id", F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), sound AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}
+), reach AS (
+  SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, b FROM reach JOIN links ON r = a
+), parts AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id
+), counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN parts USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""

@@ -76,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_dedup": embedding_dedup.ORACLE,
     "op6_mixing": mixing.oracle(),
     "op7_warc": warc.ORACLE,
 }
