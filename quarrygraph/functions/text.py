@@ -18,12 +18,19 @@ NAME_WEIGHT, PATH_WEIGHT, GRAPH_WEIGHT, RESCUE_FLOOR, TEST_PENALTY = 3, 2, 0.5,
 TEST_PATH = r"(?i)(^|/)(tests?|__tests__|spec)/|(_test|\.test|\.spec)\.[a-z]+$|(^|/)(test_[^/]+|conftest)\.py$"
 
 
+def raw_tokens(text: Column) -> Column:
+    """Lower-case pieces: camel case is split, then everything that isn't a letter a-z or a digit."""
+    return F.split(F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+")
+
+
+def is_token(piece: Column) -> Column:
+    return (F.length(piece) > 1) & ~piece.isin(*STOP_WORDS)
+
+
 def tokenize(text: Column) -> Column:
-    """Lower-case tokens: camel case is split, then everything that isn't a letter a-z or a digit; tokens of one
-    character and stop words go."""
-    spaced = F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
+    """Pieces of more than one character that aren't stop words."""
     stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.split(spaced, "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(raw_tokens(text), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
 def idf(docs: Column, df: Column) -> Column:

@@ -70,7 +70,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int | None = 2, direction: s
     """
     keys = [group] if group else []
     near, far = ("target", "source") if direction == "in" else ("source", "target")
-    steps = edges.where(walks()).select(F.col(near).alias("near"), F.col(far).alias("id"), "relation").distinct()
+    steps = cut(edges.where(walks()).select(F.col(near).alias("near"), F.col(far).alias("id"), "relation"), "steps")
     frontier = cut(seeds.select(*keys, "id").distinct(), "walk")
     seen = frontier
     found = None
@@ -103,33 +103,36 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     in one loop. Ranks are rounded to ``digits`` after each step.
     """
     key = partition or "__all"
-    ids = nodes.select("id", (F.col(partition) if partition else F.lit(0)).alias(key)).distinct()
-    ends = edges.where(walks()).select("source", "target")
-    ends = ends.join(ids.select(F.col("id").alias("source"), F.col(key).alias("a")), "source").join(ids.select(F.col("id").alias("target"), F.col(key).alias("b")), "target")
-    ends = ends.where(F.col("a").eqNullSafe(F.col("b"))).select(F.col("a").alias(key), "source", "target")
-    both = ends.unionByName(ends.select(key, F.col("target").alias("source"), F.col("source").alias("target")))
-    steps = cut(both.groupBy(key, "source", "target").agg(F.count("*").alias("n")), "steps")
-    degree = cut(steps.groupBy(key, "source").agg(F.sum("n").alias("degree")), "degree")
-    start = seeds.withColumn(key, F.col(partition) if partition else F.lit(0)).where("weight > 0").groupBy(key, "id").agg(F.sum("weight").alias("weight"))
-    start = start.join(ids, [key, "id"], "left_semi")
+    of = F.col(partition) if partition else F.lit(0)
+    # numbers stand for ids in the loop; written, because they must not change
+    ids = cut(nodes.select("id", of.alias(key)).distinct().withColumn("num", F.monotonically_increasing_id()), "ids")
+    a = ids.select(F.col("id").alias("source"), F.col(key).alias("ka"), F.col("num").alias("a"))
+    b = ids.select(F.col("id").alias("target"), F.col(key).alias("kb"), F.col("num").alias("b"))
+    ends = edges.where(walks()).select("source", "target").join(a, "source").join(b, "target").where(F.col("ka").eqNullSafe(F.col("kb"))).groupBy("a", "b").agg(F.count("*").alias("n"))
+    ends = cut(ends, "ends")
+    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    degree = cut(both.groupBy(F.col("a").alias("num")).agg(F.sum("n").alias("degree")), "degree")
+    start = seeds.withColumn(key, of).where("weight > 0").groupBy(key, "id").agg(F.sum("weight").alias("weight")).join(ids, [key, "id"])
     total = start.groupBy(key).agg(F.sum("weight").alias("total"))
-    restart = start.join(total, key).select(key, "id", (F.col("weight") / F.col("total")).alias("r"))
+    restart = start.join(total, key).join(degree, "num", "left").select(key, "num", (F.col("weight") / F.col("total")).alias("r"), F.col("degree").isNull().alias("alone"))
     # mass arrives over edges both ways, so only seeds can lack neighbours, and what they hold follows from their share
-    alone = restart.join(degree, (restart[key].eqNullSafe(degree[key])) & (restart.id == degree.source), "left_anti")
-    alone = alone.groupBy(key).agg(F.sum("r").alias("alone"))
-    restart = cut(restart.join(alone, key, "left").select(key, "id", "r", ((1 - alpha) * F.coalesce("alone", F.lit(0.0))).alias("q")), "restart")
-    moves = cut(steps.join(degree, [key, "source"]).select(key, F.col("source").alias("id"), "target", ((1 - alpha) * F.col("n") / F.col("degree")).alias("p")), "moves")
-    rank = restart.select(key, "id", F.col("r").alias("rank"))
+    alone = restart.where("alone").groupBy(key).agg(F.sum("r").alias("lost"))
+    restart = cut(restart.join(alone, key, "left").select("num", "r", ((1 - alpha) * F.coalesce("lost", F.lit(0.0))).alias("q")), "restart")
+    moves = both.join(degree, both.a == degree.num).select("num", F.col("b").alias("to"), ((1 - alpha) * F.col("n") / F.col("degree")).alias("p"))
+    moves = moves.repartition("num").persist()  # dealt once; a lost part comes again from the tables above
+    rank = restart.select("num", F.col("r").alias("rank"))
     for k in range(1, iterations + 1):
         q = F.pow("q", F.lit(k - 1))
         held = q + alpha * (1 - q) / (1 - F.col("q"))  # of a seed without neighbours after k - 1 steps, in units of r
-        back = restart.select(key, "id", (F.col("r") * (alpha + F.col("q") * held)).alias("rank"))
-        moved = rank.join(moves, [key, "id"]).select(key, F.col("target").alias("id"), (F.col("rank") * F.col("p")).alias("rank"))
-        rank = moved.unionByName(back).groupBy(key, "id").agg(F.round(F.sum("rank"), digits).alias("rank"))
+        back = restart.select("num", (F.col("r") * (alpha + F.col("q") * held)).alias("rank"))
+        moved = moves.join(rank, "num").select(F.col("to").alias("num"), (F.col("rank") * F.col("p")).alias("rank"))
+        rank = moved.unionByName(back).groupBy("num").agg(F.round(F.sum("rank"), digits).alias("rank"))
         if k % cut_every == 0 or k == iterations:
             rank = cut(rank, "rank")
-    top = rank.groupBy(key).agg(F.max("rank").alias("top"))
-    out = rank.join(F.broadcast(top) if partition is None else top, key).where("top > 0").select(key, "id", (F.col("rank") / F.col("top")).alias("rank"))
+    moves.unpersist()
+    named = rank.join(ids, "num")
+    top = named.groupBy(key).agg(F.max("rank").alias("top"))
+    out = named.join(F.broadcast(top) if partition is None else top, key).where("top > 0").select(key, "id", (F.col("rank") / F.col("top")).alias("rank"))
     return out if partition else out.drop(key)
 
 

@@ -24,6 +24,7 @@ class Index:
     postings: DataFrame
     df: DataFrame
     stats: DataFrame
+    lengths: DataFrame
 
     def save(self, path: str) -> None:
         """Postings lie in buckets of their token, so that a query reads few files."""
@@ -31,20 +32,24 @@ class Index:
         self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.df.write.mode("overwrite").parquet(f"{path}/df")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @staticmethod
     def load(spark, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/df"), spark.read.parquet(f"{path}/stats"))
+        return Index(spark.read.parquet(f"{path}/postings").drop("bucket"), *(spark.read.parquet(f"{path}/{name}") for name in ("df", "stats", "lengths")))
 
 
 def build_index(docs: DataFrame, fields: tuple[str, ...] = ("name", "path", "body")) -> Index:
-    """Term frequencies by field, document frequencies over all fields, and the average length of bodies."""
-    bags = docs.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.tokenize(F.coalesce(F.col(f), F.lit(""))).alias("tokens")) for f in fields])).alias("b"))
-    postings = bags.select("id", "b.field", F.explode("b.tokens").alias("token")).groupBy("id", "field", "token").agg(F.count("*").alias("tf"))
-    union = F.array_distinct(F.flatten(F.array(*[T.tokenize(F.coalesce(F.col(f), F.lit(""))) for f in fields])))
-    df = docs.select(F.explode(union).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("docs"), F.avg(F.size(T.tokenize(F.coalesce("body", F.lit("")))).cast("double")).alias("average"))
-    return Index(postings, df, stats)
+    """Term frequencies by field, document frequencies over all fields, lengths of bodies and their average. Tokens are
+    filtered after they are exploded, in compiled code; a query's terms filter them there too."""
+    raw = F.array(*[F.struct(F.lit(f).alias("field"), T.raw_tokens(F.coalesce(F.col(f), F.lit(""))).alias("tokens")) for f in fields])
+    bags = docs.select("id", F.explode(raw).alias("b")).select("id", "b.field", F.explode("b.tokens").alias("token")).where(T.is_token(F.col("token")))
+    postings = bags.groupBy("id", "field", "token").agg(F.count("*").alias("tf"))
+    union = F.array_distinct(F.flatten(F.array(*[T.raw_tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])))
+    df = docs.select(F.explode(union).alias("token")).where(T.is_token(F.col("token"))).groupBy("token").agg(F.count("*").alias("df"))
+    lengths = docs.select("id", F.size(T.tokenize(F.coalesce("body", F.lit("")))).cast("bigint").alias("length"))
+    stats = lengths.agg(F.count("*").alias("docs"), F.avg(F.col("length").cast("double")).alias("average"))
+    return Index(postings, df, stats, lengths)
 
 
 def query_terms(query: str) -> list[str]:
@@ -68,9 +73,8 @@ def lexical(index: Index, query: str, paths: DataFrame | None = None) -> DataFra
     ``paths(id, path)`` test paths are penalised unless the query asks for tests."""
     terms = query_terms(query)
     hit = index.postings.where(F.col("token").isin(terms))
-    lengths = index.postings.where("field = 'body'").groupBy("id").agg(F.sum("tf").alias("length"))
     df = index.df.where(F.col("token").isin(terms))  # at most the query's terms
-    scored = hit.join(F.broadcast(df), "token").crossJoin(F.broadcast(index.stats)).join(lengths, "id", "left")
+    scored = hit.join(F.broadcast(df), "token").crossJoin(F.broadcast(index.stats)).join(index.lengths, "id", "left")
     idf = T.idf(F.col("docs"), F.col("df"))
     part = F.when(F.col("field") == "name", T.NAME_WEIGHT * F.col("tf") * idf).when(F.col("field") == "path", T.PATH_WEIGHT * F.col("tf") * idf).otherwise(T.bm25(F.col("tf"), idf, F.coalesce("length", F.lit(0)), F.col("average")))
     out = scored.groupBy("id").agg(F.sum(part).alias("lexical"), F.array_sort(F.collect_set("token")).alias("terms"))

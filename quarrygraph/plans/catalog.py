@@ -99,7 +99,7 @@ def f3_idf(spark, sf_dir):
 @register("f5_bm25", f"WITH {LEXICAL} SELECT id, round(sum(s), 6) AS bm25 FROM (SELECT p.id, ln(1 + docs / (1 + df.df)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * lens.n / average)) AS s FROM postings p JOIN df USING (token) JOIN lens USING (id) CROSS JOIN stats WHERE field = 'body' AND p.token IN ({TERMS})) GROUP BY id")
 def f5_bm25(spark, sf_dir):
     x = retrieval.build_index(docs(spark, sf_dir))
-    return retrieval.lexical(retrieval.Index(x.postings.where("field = 'body'"), x.df, x.stats), QUERY).select("id", F.round("lexical", 6).alias("bm25"))
+    return retrieval.lexical(retrieval.Index(x.postings.where("field = 'body'"), x.df, x.stats, x.lengths), QUERY).select("id", F.round("lexical", 6).alias("bm25"))
 
 
 @register("g11_lexical", f"WITH {LEXICAL} SELECT id, round(lexical, 6) AS lexical, array_to_string(terms, ',') AS terms FROM lex")

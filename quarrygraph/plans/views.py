@@ -14,26 +14,31 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 _NATION_PATH = "concat('geo/', r_name, '/', n_name)"
 
+
+def _entity(name: str, key: str, kind: str, path: str, language: str, source: str) -> str:
+    return f"""
+      SELECT {key} AS k, concat({path}, '#{name}', {key}) AS id, concat('{name}', {key}) AS name, '{kind}' AS kind, {path} AS path, '{language}' AS language FROM {source}"""
+
+
 VIEWS = {
-    "symbols": f"""
-      SELECT concat('geo/', r_name, '#region', r_regionkey) AS id, concat('region', r_regionkey) AS name, 'module' AS kind, concat('geo/', r_name) AS path, 'sql' AS language FROM region
-      UNION ALL SELECT concat({_NATION_PATH}, '#nation', n_nationkey), concat('nation', n_nationkey), 'class', {_NATION_PATH}, 'sql' FROM nation JOIN region ON r_regionkey = n_regionkey
-      UNION ALL SELECT concat('crm/', c_mktsegment, '/tests/case#customer', c_custkey), concat('customer', c_custkey), 'class', concat('crm/', c_mktsegment, '/tests/case'), 'go' FROM customer WHERE c_custkey % 5 = 0
-      UNION ALL SELECT concat('crm/', c_mktsegment, '/main#customer', c_custkey), concat('customer', c_custkey), 'class', concat('crm/', c_mktsegment, '/main'), 'go' FROM customer WHERE c_custkey % 5 <> 0
-      UNION ALL SELECT concat('supply/s', s_suppkey % 7, '#supplier', s_suppkey), concat('supplier', s_suppkey), 'class', concat('supply/s', s_suppkey % 7), 'java' FROM supplier
-      UNION ALL SELECT concat('catalog/', p_brand, '/', p_size, '#part', p_partkey), concat('part', p_partkey), 'function', concat('catalog/', p_brand, '/', p_size), 'python' FROM part
-      UNION ALL SELECT concat('sales/', o_orderstatus, '/', o_orderkey % 16, '#order', o_orderkey), concat('order', o_orderkey), 'method', concat('sales/', o_orderstatus, '/', o_orderkey % 16), 'python' FROM orders""",
+    "region_ids": _entity("region", "r_regionkey", "module", "concat('geo/', r_name)", "sql", "region"),
+    "nation_ids": _entity("nation", "n_nationkey", "class", _NATION_PATH, "sql", "nation JOIN region ON r_regionkey = n_regionkey"),
+    "customer_ids": _entity("customer", "c_custkey", "class", "concat('crm/', c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN '/tests/case' ELSE '/main' END)", "go", "customer"),
+    "supplier_ids": _entity("supplier", "s_suppkey", "class", "concat('supply/s', s_suppkey % 7)", "java", "supplier"),
+    "part_ids": _entity("part", "p_partkey", "function", "concat('catalog/', p_brand, '/', p_size)", "python", "part"),
+    "order_ids": _entity("order", "o_orderkey", "method", "concat('sales/', o_orderstatus, '/', o_orderkey % 16)", "python", "orders"),
+    "symbols": " UNION ALL ".join(f"SELECT id, name, kind, path, language FROM {e}_ids" for e in ("region", "nation", "customer", "supplier", "part", "order")),
     "nodes": """
       SELECT id, name, kind, path, language, CAST(NULL AS BIGINT) AS chars FROM symbols
       UNION ALL SELECT path AS id, path AS name, 'file' AS kind, path, min(language) AS language, CAST(sum(length(id)) AS BIGINT) AS chars FROM symbols GROUP BY path""",
     "edges": """
-      SELECT n.id AS source, r.id AS target, 'extends' AS relation FROM nation JOIN symbols n ON n.name = concat('nation', n_nationkey) JOIN symbols r ON r.name = concat('region', n_regionkey)
-      UNION ALL SELECT c.id, n.id, 'references' FROM customer JOIN symbols c ON c.name = concat('customer', c_custkey) JOIN symbols n ON n.name = concat('nation', c_nationkey)
-      UNION ALL SELECT s.id, n.id, 'references' FROM supplier JOIN symbols s ON s.name = concat('supplier', s_suppkey) JOIN symbols n ON n.name = concat('nation', s_nationkey)
-      UNION ALL SELECT o.id, c.id, 'imports' FROM orders JOIN symbols o ON o.name = concat('order', o_orderkey) JOIN symbols c ON c.name = concat('customer', o_custkey)
-      UNION ALL SELECT DISTINCT o.id, p.id, 'calls' FROM lineitem JOIN symbols o ON o.name = concat('order', l_orderkey) JOIN symbols p ON p.name = concat('part', l_partkey)
-      UNION ALL SELECT DISTINCT o.id, s.id, 'calls' FROM lineitem JOIN symbols o ON o.name = concat('order', l_orderkey) JOIN symbols s ON s.name = concat('supplier', l_suppkey)
-      UNION ALL SELECT DISTINCT o.id, concat('ext:', l_returnflag), 'imports' FROM lineitem JOIN symbols o ON o.name = concat('order', l_orderkey) WHERE l_returnflag = 'R'
+      SELECT n.id AS source, r.id AS target, 'extends' AS relation FROM nation JOIN nation_ids n ON n.k = n_nationkey JOIN region_ids r ON r.k = n_regionkey
+      UNION ALL SELECT c.id, n.id, 'references' FROM customer JOIN customer_ids c ON c.k = c_custkey JOIN nation_ids n ON n.k = c_nationkey
+      UNION ALL SELECT s.id, n.id, 'references' FROM supplier JOIN supplier_ids s ON s.k = s_suppkey JOIN nation_ids n ON n.k = s_nationkey
+      UNION ALL SELECT o.id, c.id, 'imports' FROM orders JOIN order_ids o ON o.k = o_orderkey JOIN customer_ids c ON c.k = o_custkey
+      UNION ALL SELECT o.id, p.id, 'calls' FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l JOIN order_ids o ON o.k = l_orderkey JOIN part_ids p ON p.k = l_partkey
+      UNION ALL SELECT o.id, s.id, 'calls' FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) l JOIN order_ids o ON o.k = l_orderkey JOIN supplier_ids s ON s.k = l_suppkey
+      UNION ALL SELECT o.id, 'ext:R', 'imports' FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') l JOIN order_ids o ON o.k = l_orderkey
       UNION ALL SELECT path, id, 'contains' FROM symbols""",
     "docs": """
       SELECT doc_id, concat(lang, '/', source, '/doc', doc_id) AS path, concat(lang, '/', source, '/doc', doc_id) AS id, source AS name, lang AS scope, source, text AS body FROM documents""",
