@@ -141,3 +141,47 @@ def format_chats(messages: DataFrame) -> DataFrame:
         by_quote.alias("by_quote"),
         F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("\n<|end|>\n")).alias("formatted"),
     )
+
+
+ORACLE = r"""
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, lower(trim(coalesce(role, ''))) AS said, coalesce(text, '') AS text FROM conversations
+), split AS (
+  SELECT rid, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS k FROM base
+), marked AS (
+  SELECT rid, k, length(regexp_replace(regexp_extract(line, '^[ \t]{0,3}((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]{0,3}((?:>[ \t]?)+)', '') AS body FROM split
+), told AS (
+  SELECT *, coalesce(lead(level) OVER (PARTITION BY rid ORDER BY k), 0) AS following FROM marked
+), kept AS (
+  SELECT * FROM told WHERE NOT (following > level AND regexp_matches(body, '(?i)^\s*(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió)\s*:\s*$'))
+), own AS (
+  SELECT b.rid, conv_id, turn, CASE said WHEN 'human' THEN 'user' WHEN 'prompter' THEN 'user' WHEN 'bot' THEN 'assistant' WHEN 'gpt' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE said END AS role,
+    trim(regexp_replace(CASE WHEN contains(text, '>') THEN coalesce((SELECT string_agg(body, chr(10) ORDER BY k) FROM kept WHERE kept.rid = b.rid AND level = 0), '') ELSE text END, '^\s+|\s+$', '', 'g')) AS content FROM base b
+), turned AS (
+  SELECT *, sum(CASE WHEN level = before THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY k) AS run FROM (SELECT *, coalesce(lag(level) OVER (PARTITION BY rid ORDER BY k), 0) AS before FROM kept)
+), passages AS (
+  SELECT rid, level, run, string_agg(body, chr(10) ORDER BY k) AS body FROM turned WHERE level > 0 GROUP BY ALL
+), quoted AS (
+  SELECT DISTINCT rid, level, run, trim(lower(regexp_replace(part, '\s+', ' ', 'g'))) AS key FROM (SELECT rid, level, run, unnest(list_concat([body], string_split(body, chr(10)))) AS part FROM passages)
+), owned AS (
+  SELECT DISTINCT conv_id, turn, trim(lower(regexp_replace(part, '\s+', ' ', 'g'))) AS key FROM (SELECT conv_id, turn, unnest(list_concat([content], string_split(content, chr(10)))) AS part FROM own WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+), wanted AS (SELECT o.* FROM owned o WHERE length(key) >= 12 AND key IN (SELECT key FROM quoted)
+), first AS (SELECT key, conv_id AS oc, min(turn) AS ot FROM wanted GROUP BY ALL
+), earliest AS (SELECT key, min(oc) AS ec, arg_min(ot, oc) AS et FROM first GROUP BY key
+), votes AS (
+  SELECT q.rid, q.level, m.conv_id, coalesce(f.oc, CASE WHEN ec < m.conv_id THEN ec END) AS tc, CASE WHEN f.oc IS NOT NULL THEN f.ot WHEN ec < m.conv_id THEN et END AS tt, sum(length(q.key)) AS votes
+  FROM quoted q JOIN own m USING (rid) LEFT JOIN first f ON f.key = q.key AND f.oc = m.conv_id AND f.ot < m.turn LEFT JOIN earliest e ON e.key = q.key
+  WHERE length(q.key) >= 12 AND m.conv_id IS NOT NULL AND m.turn IS NOT NULL GROUP BY ALL
+), links AS (
+  SELECT rid, level, conv_id, first(tc ORDER BY votes DESC, (tc = conv_id) DESC, tc, tt) AS tc, first(tt ORDER BY votes DESC, (tc = conv_id) DESC, tc, tt) AS tt FROM votes WHERE tc IS NOT NULL GROUP BY ALL
+), direct AS (SELECT rid, arg_min(tc, level) AS tc, arg_min(tt, level) AS tt, count(*) AS n FROM links GROUP BY rid
+), across AS (SELECT DISTINCT conv_id AS a, tc AS b FROM links WHERE conv_id <> tc UNION SELECT DISTINCT tc, conv_id FROM links WHERE conv_id <> tc
+), reach AS (SELECT a AS conv_id, a AS r FROM across UNION SELECT conv_id, b FROM reach JOIN across ON r = a
+), threads AS (SELECT conv_id, min(r) AS thread FROM reach GROUP BY conv_id
+), turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM own WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+), numbers AS (SELECT rid, count(*) AS n FROM passages GROUP BY rid)
+SELECT CASE WHEN o.turn IS NOT NULL THEN coalesce(thread, o.conv_id) END AS thread_id, o.conv_id, o.turn, role, content, coalesce(numbers.n, 0) AS n_quotes, coalesce(d.n, 0) AS n_linked,
+  CASE WHEN d.rid IS NOT NULL THEN tc WHEN previous IS NOT NULL THEN o.conv_id END AS parent_conv, CASE WHEN d.rid IS NOT NULL THEN tt ELSE previous END AS parent_turn, d.rid IS NOT NULL AS by_quote,
+  concat('<|', role, '|>', chr(10), content, chr(10), '<|end|>', chr(10)) AS formatted
+FROM own o LEFT JOIN direct d USING (rid) LEFT JOIN threads ON threads.conv_id = o.conv_id LEFT JOIN turns t ON t.conv_id = o.conv_id AND t.turn = o.turn LEFT JOIN numbers USING (rid)
+"""

@@ -77,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_embedding_dedup": embedding_dedup.ORACLE,
+    "op5_chat_formatting": chat.ORACLE,
     "op6_mixing": mixing.oracle(),
     "op7_warc": warc.ORACLE,
 }

@@ -95,6 +95,14 @@ def test_random_threads_match_brute_force(spark):
             rows.append((c, t, "user", "\n".join(quote + own)))
             said.append(own)
     assert run(spark, rows) == brute(rows)
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    want = con.sql(chat.ORACLE)
+    got = chat.format_chats(spark.createDataFrame(rows, SCHEMA)).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
 def test_test_table_keeps_every_message(spark, sf_dir):
