@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a segment tree over adjacent pair ranks.
 
 Each pre-token's symbols are the leaves' neighbours: leaf ``i`` holds ``rank << bits | i`` of the pair that starts
-at symbol ``i``. The tree keeps minima, so its root is the leftmost pair of the lowest rank; a merge changes at most
-three leaves, each in logarithmic time. Merging goes on until the root says that no pair is mergeable.
+at symbol ``i``. The tree, 32 children to a node, keeps minima, so its root is the leftmost pair of the lowest rank; a
+merge changes at most three leaves and their ancestors, in logarithmic time. Merging goes on until the root says that no pair is mergeable.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame
 SAFE = "\x00-ԯ -⁯₠-₿"
 _UNSAFE = re.compile(f"[^{SAFE}]")
 _NONE = 1 << 62
+#: Children of a tree node: minima of so many are taken at once by a built-in.
+_SHIFT = 5
+_FAN = 1 << _SHIFT
 
 
 def _classes() -> tuple[str, str, str]:
@@ -51,59 +54,56 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def merge_symbols(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Applies the merges ``pairs[(left, right)] = (rank, merged)`` to ``ids``, lowest rank first, leftmost first."""
+def merge_symbols(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """Applies the merges to ``ids``, lowest rank first, leftmost first; ``pairs[left << 32 | right]`` is
+    ``rank << 32 | merged``."""
     n = len(ids)
     if n < 2:
         return ids
-    ids = list(ids)
     bits = n.bit_length()
     mask = (1 << bits) - 1
-    width = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [_NONE] * (2 * width)
     get = pairs.get
-    for i in range(n - 1):
-        hit = get((ids[i], ids[i + 1]))
-        if hit is not None:
-            tree[width + i] = hit[0] << bits | i
-    for k in range(width - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
+    found = [get(a << 32 | b) for a, b in zip(ids, ids[1:], strict=False)]
+    leaves = [_NONE if hit is None else (hit >> 32) << bits | i for i, hit in enumerate(found)]
+    tree = [leaves]
+    while len(tree) == 1 or len(tree[-1]) > 1:
+        below = tree[-1]
+        tree.append([min(below[k : k + _FAN]) for k in range(0, len(below), _FAN)])
+    root = tree[-1]
+    ids = list(ids)
     following = list(range(1, n + 1))
     previous = list(range(-1, n - 1))
-    while (low := tree[1]) < _NONE:
+    while (low := root[0]) < _NONE:
         i = low & mask
         j = following[i]
-        ids[i] = merged = pairs[ids[i], ids[j]][1]
+        ids[i] = merged = pairs[ids[i] << 32 | ids[j]] & 0xFFFFFFFF
         ids[j] = -1
         k = following[i] = following[j]
-        value = _NONE
+        leaves[i] = _NONE
         if k < n:
             previous[k] = i
-            if (hit := get((merged, ids[k]))) is not None:
-                value = hit[0] << bits | i
-        tree[width + i] = value
-        left, right = width + i, width + (j if j < n - 1 else i)
-        tree[right] = _NONE if right != left else value
+            leaves[j] = _NONE
+            if (hit := get(merged << 32 | ids[k])) is not None:
+                leaves[i] = (hit >> 32) << bits | i
+        else:
+            j = i
         h = previous[i]
         if h >= 0:
-            hit = get((ids[h], merged))
-            left = width + h
-            tree[left] = hit[0] << bits | h if hit is not None else _NONE
-        middle = width + i
-        while left > 1:  # the three leaves' ancestors, until they meet
-            left >>= 1
-            middle >>= 1
-            right >>= 1
-            a, b = tree[2 * left], tree[2 * left + 1]
-            tree[left] = a if a < b else b
-            if middle != left:
-                a, b = tree[2 * middle], tree[2 * middle + 1]
-                tree[middle] = a if a < b else b
-            if right != middle and right != left:
-                a, b = tree[2 * right], tree[2 * right + 1]
-                tree[right] = a if a < b else b
+            hit = get(ids[h] << 32 | merged)
+            leaves[h] = _NONE if hit is None else (hit >> 32) << bits | h
+        else:
+            h = i
+        below = leaves
+        for level in tree[1:]:  # the ancestors of the three changed leaves
+            h >>= _SHIFT
+            i >>= _SHIFT
+            j >>= _SHIFT
+            level[i] = min(below[i << _SHIFT : (i + 1) << _SHIFT])
+            if h != i:
+                level[h] = min(below[h << _SHIFT : (h + 1) << _SHIFT])
+            if j != i:
+                level[j] = min(below[j << _SHIFT : (j + 1) << _SHIFT])
+            below = level
     return [x for x in ids if x >= 0]
 
 
@@ -115,7 +115,7 @@ class ByteBpe:
     """A byte-level BPE vocabulary file (JSON) with its merges. ``pieces`` are pre-tokens; their encodings are
     kept in a cache of two generations of at most ``cache_size`` entries each, which changes speed only."""
 
-    def __init__(self, path: str, cache_size: int = 250_000):
+    def __init__(self, path: str, cache_size: int = 150_000):
         spec = json.load(open(path, encoding="utf-8"))
         model, kind = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or kind["type"] != "ByteLevel" or kind["add_prefix_space"] or spec["normalizer"] or model["byte_fallback"] or model["ignore_merges"] or model["end_of_word_suffix"]:
@@ -124,10 +124,10 @@ class ByteBpe:
         back = {c: b for b, c in alphabet.items()}
         vocab = model["vocab"]
         self.start = [vocab[alphabet[b]] for b in range(256)]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.pairs[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.pairs[vocab[left] << 32 | vocab[right]] = rank << 32 | vocab[left + right]
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in self.special.items():
@@ -198,22 +198,22 @@ class ByteBpe:
         return sum([p[1] for p in pieces]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[tuple[str, int], ByteBpe] = {}
 
 
-def load(path: str) -> ByteBpe:
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+def load(path: str, cache_size: int) -> ByteBpe:
+    if (path, cache_size) not in _loaded:
+        _loaded[path, cache_size] = ByteBpe(path, cache_size)
+    return _loaded[path, cache_size]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 150_000) -> DataFrame:
     """``(doc_id, n_tokens, ids ARRAY<INT>, round_trip)``: the token ids of every whole text, and whether decoding
     them gives the text again. A null text is empty: no ids. Rows repeat as given, other columns are dropped, an empty
     table gives no rows. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+        bpe = load(vocabulary, cache_size)
         for batch in batches:
             n, packed, same = [], [], []
             for text in batch.column(1):
@@ -234,7 +234,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``(doc_id, text)`` from ``(doc_id, ids)``; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+        bpe = load(vocabulary, 1)
         for batch in batches:
             texts = [bpe.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -242,13 +242,13 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 400_000) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every whole text, encoded and decoded piece by piece:
     what a run needs to be compared without moving the ids. A null text is empty (no ids, digests of nothing);
     rows repeat as given; an empty table gives no rows. No shuffle; memory is one text and the piece cache."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+        bpe = load(vocabulary, cache_size)
         for batch in batches:
             rows = [bpe.digest(t.as_py() or "") for t in batch.column(1)]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
