@@ -119,7 +119,9 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     alone = restart.where("alone").groupBy(key).agg(F.sum("r").alias("lost"))
     restart = cut(restart.join(alone, key, "left").select("num", "r", ((1 - alpha) * F.coalesce("lost", F.lit(0.0))).alias("q")), "restart")
     moves = both.join(degree, both.a == degree.num).select("num", F.col("b").alias("to"), ((1 - alpha) * F.col("n") / F.col("degree")).alias("p"))
-    moves = moves.repartition("num").persist()  # dealt once; a lost part comes again from the tables above
+    # dealt and sorted once, in as many parts as the loop's aggregates; a lost part comes again from the tables above
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moves = moves.repartition(parts, "num").sortWithinPartitions("num").persist()
     rank = restart.select("num", F.col("r").alias("rank"))
     for k in range(1, iterations + 1):
         q = F.pow("q", F.lit(k - 1))
