@@ -6,8 +6,9 @@ two sorted lists of partial products without looking at the others. Vectors that
 bucket, where all pairs are compared in double precision. A pair is counted only in the bucket of the smallest filter
 that both passed, so no pairs have to be gathered to remove repeats.
 
-The codes' size follows the number of vectors (buckets stay small), and the threshold is set so that two vectors at
-the linking cosine have ``EXPECTED`` filters of each code in common on average. There are ``CODES`` codes, each in
+The codes' size follows the number of vectors (buckets stay small), and the threshold is set from the exact tail of the
+sphere so that two vectors at the linking cosine have ``EXPECTED`` filters of each code in common on average, however
+large the codes are. There are ``CODES`` codes, each in
 another rotation, because the filters of one code are passed or missed together. Measured on pairs at exactly the
 linking cosine, fewer than one in a hundred have no filter in common; the tests hold that.
 """
@@ -31,40 +32,49 @@ from .simhash import forest
 COSINE, EXPECTED, CODES, TILE = 0.93, 10.0, 4, 2048
 #: Vectors and code words are rounded to this many steps, so that sums are exact whatever their order.
 STEPS = float(1 << 20)
-#: Inner products are near enough to normal below this threshold; vectors of so few components that it would be higher
-#: all pass one filter, that is, they are compared with all others of their label in tiles.
+#: Vectors of so few components that the threshold would be higher all pass one filter, that is, they are compared with
+#: all others of their label in tiles: the two halves of a filter then are too short to be independent of each other.
 MOST_LIMIT = 0.6
 
 
-def _tail(z: np.ndarray | float) -> np.ndarray:
-    return np.vectorize(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))(z)
-
-
-def both_tails(z: float, cosine: float) -> float:
-    """Probability that two standard normal values of the correlation both exceed ``z``."""
-    x = np.linspace(z, z + 8, 4001)
-    density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * _tail((z - cosine * x) / math.sqrt(1 - cosine * cosine))
-    return float(np.sum((density[1:] + density[:-1]) / 2) * (x[1] - x[0]))
+def both_exceed(limit: float, cosine: float, dim: int) -> float:
+    """Probability that the inner products of two unit vectors at ``cosine`` with a direction that is uniform on the
+    sphere of ``dim`` components (three at least) both exceed ``limit`` (0 to 1). Exact: in the vectors' plane the
+    direction's projection has length over r with probability (1 - r * r) ** (dim / 2 - 1), whatever its angle."""
+    half = math.acos(cosine) / 2
+    angle = np.linspace(half, max(half, math.acos(limit)), 4001)
+    beyond = np.maximum(0, 1 - (limit / np.maximum(np.cos(angle), 1e-300)) ** 2) ** (dim / 2 - 1)
+    return float(np.sum((beyond[1:] + beyond[:-1]) / 2) * (angle[1] - angle[0])) / math.pi
 
 
 @dataclass(frozen=True)
 class Code:
-    """``codes`` codes of ``words`` code words for each half, and the threshold in standard deviations of an inner
-    product."""
+    """``codes`` codes of ``words`` code words for each half; two vectors at ``cosine`` have ``expected`` filters of
+    each in common on average."""
 
     words: int
-    z: float
+    cosine: float = COSINE
+    expected: float = EXPECTED
     codes: int = CODES
     seed: int = 17
 
     @staticmethod
     def of(vectors: int, cosine: float = COSINE, expected: float = EXPECTED) -> Code:
-        words = min(4096, max(32, 1 << round(math.log2(max(1, vectors)) / 2)))
-        lo, hi = -2.0, 8.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if words * words * both_tails(mid, cosine) > expected else (lo, mid)
-        return Code(words, lo)
+        return Code(min(4096, max(32, 1 << round(math.log2(max(1, vectors)) / 2))), cosine, expected)
+
+
+@lru_cache(maxsize=64)
+def threshold(code: Code, dim: int) -> float:
+    """The inner product that a vector of ``dim`` components must exceed to pass a filter; 1, where none gives enough
+    common filters. A filter of a random rotation is uniform on the sphere for any one pair of vectors."""
+    share = code.expected / code.words**2
+    if dim < 3 or both_exceed(0.0, code.cosine, dim) <= share:
+        return 1.0
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if both_exceed(mid, code.cosine, dim) > share else (lo, mid)
+    return lo
 
 
 @lru_cache(maxsize=16)
@@ -84,9 +94,9 @@ def _words(code: Code, dim: int, number: int) -> tuple[np.ndarray, np.ndarray]:
 def filters(unit: np.ndarray, code: Code) -> list[np.ndarray]:
     """The numbers, in order, of all filters that each unit vector passes."""
     dim = unit.shape[1]
-    if code.z / math.sqrt(dim) > MOST_LIMIT:
+    if threshold(code, dim) > MOST_LIMIT:
         return [np.zeros(1, np.int64) for _ in unit]
-    limit = code.z / math.sqrt(dim) * STEPS * STEPS
+    limit = threshold(code, dim) * STEPS * STEPS
     x = np.rint(unit * STEPS)
     out: list[list[np.ndarray]] = [[] for _ in unit]
     for number in range(code.codes):

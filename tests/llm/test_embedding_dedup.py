@@ -74,3 +74,19 @@ def test_recall_at_the_linking_cosine():
         y = 0.93 * x + np.sqrt(1 - 0.93**2) * r
         pairs = zip(embedding_dedup.filters(x, code), embedding_dedup.filters(y, code), strict=True)
         assert np.mean([len(np.intersect1d(a, b)) == 0 for a, b in pairs]) < 0.01
+
+
+@pytest.mark.parametrize("vectors", [50_000, 1_000_000, 4_000_000, 16_000_000])
+def test_common_filters_and_recall_hold_on_large_tables(vectors):
+    rng = np.random.default_rng(3)
+    code = embedding_dedup.Code.of(vectors)
+    x = rng.standard_normal((500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = rng.standard_normal((500, 64))
+    r -= (r * x).sum(1, keepdims=True) * x
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * r
+    pairs = zip(embedding_dedup.filters(x, code), embedding_dedup.filters(y, code), strict=True)
+    common = np.array([len(np.intersect1d(a, b)) for a, b in pairs])
+    assert abs(common.mean() - embedding_dedup.EXPECTED * embedding_dedup.CODES) < 6
+    assert np.mean(common == 0) < 0.01
