@@ -4,9 +4,10 @@ Everything is DataFrame expressions. The patterns below accept exactly what the
 non-overlapping, but with possessive quantifiers and look-behinds, so that long runs of digits or letters take linear
 time and no deep recursion. Offsets come from the lengths of what ``split`` leaves between matches.
 
-Disclosure: for a protected value e and a term t near a mention of it, over all documents, P(e | t) = n(t, e) / n(t)
-and the pointwise mutual information log2(n(t, e) * N / (n(t) * n(e))). A term of enough support whose two figures
-reach the thresholds gives e away, and its occurrences around mentions of e are spans of kind ``term``.
+Disclosure: for a protected value e and a term t anywhere in a document that mentions it, over all documents,
+P(e | t) = n(t, e) / n(t) and the pointwise mutual information log2(n(t, e) * N / (n(t) * n(e))). A term whose two
+figures reach the thresholds gives e away, and all its occurrences in documents that mention e are spans of kind
+``term``. Terms are whole words of letters outside the base spans.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import write_shared
 
@@ -27,8 +29,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Production parameters: code points of context on each side, shortest term, support, and the two thresholds.
-CONTEXT, TERM_CHARS, SUPPORT, SHARE, BITS = 48, 3, 3, 0.5, 3.0
+#: Production parameters: the two thresholds.
+SHARE, BITS = 0.5, 3.0
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -109,44 +111,44 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), plain)
 
 
-def _terms(around: Column, offset: Column) -> Column:
-    """Lower-cased words of letters in ``around``, which begins at ``offset``, with their places."""
-    pieces = F.split(around, r"\P{L}", -1)
+def _bare(text: Column, base: Column) -> Column:
+    """``text`` with a blank for each code point inside a base span, so that places stay."""
 
-    def step(state: Column, word: Column) -> Column:
-        end = state["at"] + F.length(word)
-        one = F.array(F.struct(F.lower(word).alias("term"), state["at"].cast("int").alias("start"), end.cast("int").alias("end")))
-        return F.struct((end + 1).cast("int").alias("at"), F.when(F.length(word) >= TERM_CHARS, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def step(state: Column, span: Column) -> Column:
+        start = F.greatest(span["start"], state["at"])
+        more = F.array(F.substr(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), F.greatest(span["end"] - start, F.lit(0))))
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], more).alias("out"))
 
-    zero = F.struct(offset.cast("int").alias("at"), F.expr("cast(array() as array<struct<term:string,start:int,end:int>>)").alias("out"))
-    return F.aggregate(pieces, zero, step, lambda s: s["out"])
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    return F.aggregate(base, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text) + 1)))
 
 
-def _contexts(text: Column, base: Column) -> Column:
-    """``array<struct<entity, term, start, end>>`` of the terms within the context of each base span; words that the
-    context's edge cuts and words inside a base span are left out."""
+def _places(near: DataFrame) -> DataFrame:
+    """``(rid, term, start, end)`` of all words of letters, lower-cased, in the texts of ``near(rid, bare)``. A window
+    sums the lengths of one text's pieces; an array folded word by word would be copied for each."""
+    pieces = near.select("rid", F.posexplode(F.split("bare", r"\P{L}", -1)).alias("pos", "word"))
+    until = F.sum(F.length("word") + 1).over(Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    placed = pieces.withColumn("end", (until - 1).cast("int")).where("word <> ''")
+    return placed.select("rid", F.lower("word").alias("term"), (F.col("end") - F.length("word")).cast("int").alias("start"), "end")
 
-    def one(span: Column) -> Column:
-        lo = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        left = F.substr(text, lo + 1, span["start"] - lo)
-        right = F.substr(text, span["end"] + 1, F.lit(CONTEXT))
-        total = F.length(text)
-        words = F.concat(_terms(left, lo), _terms(right, span["end"]))
-        whole = F.filter(words, lambda w: ((w["start"] > lo) | (lo == 0)) & ((w["end"] < span["end"] + CONTEXT) | (w["end"] == total)) & ~F.exists(base, lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
-        return F.transform(whole, lambda w: F.struct(_entity(span).alias("entity"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))
 
-    return F.array_distinct(F.flatten(F.transform(base, one)))
+def _vocabulary(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.filter(F.split(text, r"\P{L}+"), lambda w: w != "")), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """``(entity, term, n_both, n_term, n_entity, share, bits)`` of the terms that give a protected value away.
-    ``found(rid, contexts, base)``. Counts are numbers of documents, over all of ``docs``; each is summed before its
-    shuffle, so a value or a word that is in a third of all documents is a few rows."""
-    both = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p"))
-    both = both.select("p.*").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entity = found.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"))).alias("term"))
-    term = words.where(F.length("term") >= TERM_CHARS).groupBy("term").agg(F.count("*").alias("n_term"))
+    ``found(entities, terms, hidden)`` has a row for each document with base spans: its distinct values, its distinct
+    terms outside the spans, and those that it has inside them only. Counts are numbers of documents, over all of
+    ``docs``; each is summed before its shuffle, so a value or a word that is in a third of all documents is a few
+    rows."""
+    both = found.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    both = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    words = docs.select(F.explode(_vocabulary(F.coalesce("text", F.lit("")))).alias("term"), F.lit(1).alias("k"))
+    words = words.unionByName(found.select(F.explode("hidden").alias("term"), F.lit(-1).alias("k")))
+    term = words.groupBy("term").agg(F.sum("k").alias("n_term"))
     total = docs.agg(F.count("*").alias("n"))
     scored = both.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # one row
     scored = scored.withColumn("share", F.col("n_both") / F.col("n_term")).withColumn("bits", F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))))
@@ -163,15 +165,21 @@ def find_pii(docs: DataFrame, keep: bool = False) -> DataFrame:
     """
     row = [F.struct(*docs.columns).alias("__row")] if keep else []
     rows = with_base_spans(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *row))
-    contexts = F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"))).otherwise(F.expr("cast(array() as array<struct<entity:string,term:string,start:int,end:int>>)"))
-    held = [F.when(F.size("base") > 0, F.col("__row")).alias("__row")] if keep else []
-    rows = rows.withColumn("contexts", contexts).select("doc_id", "base", "contexts", *held)
+    some = F.size("base") > 0
+    bare = F.when(some, _bare(F.col("text"), F.col("base")))
+    raw = F.when(some, _vocabulary(F.col("text")))
+    held = [F.when(some, F.col("__row")).alias("__row")] if keep else []
+    rows = rows.select("doc_id", "base", bare.alias("bare"), raw.alias("raw"), *held)
     found = write_shared(rows.withColumn("rid", F.monotonically_increasing_id()), "pii")
-    near = found.where(F.size("contexts") > 0)
-    telling = disclosing_terms(docs, found.select("rid", "contexts", "base").where(F.size("base") > 0))
-    hits = near.select("rid", F.explode("contexts").alias("c")).select("rid", "c.*").join(telling.select("entity", "term"), ["entity", "term"])
-    spans = hits.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")))).alias("terms"))
-    return found.join(spans, "rid", "left").withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() as {_SPAN})"))).drop("contexts")
+    entities = F.array_distinct(F.transform("base", _entity))
+    near = found.where(some).select("rid", entities.alias("entities"), _vocabulary(F.col("bare")).alias("terms"), "raw", "bare")
+    counted = near.select("rid", "entities", "terms", F.array_except("raw", "terms").alias("hidden"))
+    telling = disclosing_terms(docs, counted)
+    mine = counted.select("rid", F.explode("entities").alias("entity"), "terms").select("rid", "entity", F.explode("terms").alias("term"))
+    hits = mine.join(telling.select("entity", "term"), ["entity", "term"]).select("rid", "term").distinct()
+    places = _places(near).join(hits, ["rid", "term"])
+    spans = places.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value")))).alias("terms"))
+    return found.drop("bare", "raw").join(spans, "rid", "left").withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() as {_SPAN})")))
 
 
 NAMES = (*KINDS, "term")

@@ -91,6 +91,27 @@ def test_sanitised_text_and_untouched_columns(spark):
     assert rows[None, 1].text == "[EMAIL]" and rows[900, 2].text is None
 
 
+def test_terms_far_from_the_value_and_in_few_documents(spark):
+    far = "and then nothing of note " * 400
+    rows = [(i, f"Zorblat's page. {far} Bo Li writes from x.y@mail.example {far} Zorblat, {'Quindle' if i == 0 else 'nobody'} and nothing") for i in range(2)]
+    rows += [(100 + i, f"and then nothing of note writes from page nobody {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.find_pii(docs).collect():
+        text = dict(rows)[r.doc_id]
+        words = [w for w in re.finditer(r"[^\W\d_]+", text) if w[0].lower() in ("zorblat", "quindle", "bo", "li")]
+        assert [(s["start"], s["end"], s["value"]) for s in r["terms"] if s["value"] != "s"] == [(w.start(), w.end(), w[0].lower()) for w in words]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not re.search("Zorblat|Quindle|Bo Li", clean[0] + clean[1]) and clean[0].count("[TERM]") >= 5
+    assert clean[100] == dict(rows)[100]
+
+
+def test_words_inside_base_spans_count_for_nothing(spark):
+    rows = [(0, "smith writes"), *[(i, "smith@corp.example writes") for i in range(1, 4)], (9, "smith@corp.example is Smith"), *[(20 + i, "is writes") for i in range(80)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s["value"] for s in r["terms"]] for r in pii.find_pii(docs).collect()}
+    assert got[9] == ["smith"] and got[0] == [] and got[1] == []
+
+
 @pytest.mark.parametrize("text,want", [("mail a@b.cd, ip 1.2.3.4@x.y end", "mail [EMAIL], ip [EMAIL] end"), ("1.2.3.4", "[IP]"), ("no data", "no data"), ("", "")])
 def test_placeholders(spark, text, want):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
