@@ -46,7 +46,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     Returns ``(node, component)`` for every node of an edge between two different nodes; ``component`` is the
     smallest node reachable. Repeated and self edges are allowed, nulls are dropped, no edges give no rows. Minima
     are aggregated before the shuffle and joined back, so a star with very many leaves is a skewed join that AQE
-    splits, never one task's group. Each round is written to the shared folder.
+    splits, never one task's group. Each round is written to the shared folder. A round that changes nothing ends the
+    loop; if none of ``max_rounds`` does, that is an error.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
     e = write_shared(e.distinct(), name)
@@ -62,5 +63,7 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = write_shared(small.unionByName(low2.select("a", F.col("m").alias("b"))).distinct(), name)
+    else:
+        raise RuntimeError(f"components of {name} are still changing after {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

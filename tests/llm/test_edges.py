@@ -58,3 +58,14 @@ def test_pipeline_stages_keep_clashing_columns(docs):
         table = stage(docs.sparkSession, table, "/root/testdata/sf0.001")
         assert table.columns == clashing(docs).columns, name
     assert table.count() >= 0
+
+
+def test_unfinished_components_are_an_error(spark):
+    import pytest
+
+    from quarrygraph.llm.common import connected_components
+
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still changing"):
+        connected_components(path, max_rounds=1)
+    assert {r.component for r in connected_components(path).collect()} == {0}
