@@ -61,3 +61,41 @@ def test_empty_table_and_remaining_texts(spark):
     docs = spark.createDataFrame([(1, "q" * 60 + "abc"), (2, "start " + "q" * 60 + " end"), (3, None)], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
     assert {r.doc_id: r.text for r in suffix_dedup.remaining_texts(docs).collect()} == {1: "q" * 60 + "abc", 2: "start  end", 3: ""}
+
+
+def test_long_texts_are_worked_on_in_pieces(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 300)
+    text = "".join(rng.choice("abcdefgh") for _ in range(3_000))
+    rows = [(1, text), (2, text[:1200] + "x" + text[1200:]), (3, "y" * 1000), (4, "z" + text[7:2990]), (5, "y" * 51), (6, text[100:160])]
+    known = [suffix_dedup.Rounds(50, 4, 0)]
+    for block in (10_000, 1_000_000):
+        packed = next(suffix_dedup_blocks(rows, block))
+        b, _ = known[0].block(packed)
+        assert len(b.pieces) > 5 and (b.pieces[:, 1] - b.pieces[:, 0] < 350).all()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(docs) == brute(rows)
+
+
+def suffix_dedup_blocks(rows, block):
+    data = [(t or "").encode() for _, t in rows]
+    yield {"doc_ids": [i for i, _ in rows], "sizes": [len(d) for d in data], "text": b"".join(data)}
+
+
+def test_buckets_are_even():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    text = rng.integers(32, 127, 2_000_000, dtype=np.uint8).tobytes()
+    values, _, _ = suffix_dedup.Block(np.arange(200), np.full(200, 10_000), text, 50).first_entries()
+    for buckets in (32, 1024):
+        many = np.diff(suffix_dedup._buckets(values, buckets))
+        assert many.sum() == len(values) and many.max() < 2 * many.mean()
+
+
+def test_remaining_texts_of_repeated_rows(spark):
+    rows = [(5, "k" * 70), (5, "k" * 70), (None, "k" * 60 + "end"), (2, None), (1, "k" * 55)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in suffix_dedup.remaining_texts(docs).collect())
+    # the fifteen bytes of 5 after the shared fifty-five start no string of fifty that is in 1, but are covered by one
+    assert got == [("1", "k" * 55), ("2", ""), ("5", ""), ("5", ""), ("None", "end")]
