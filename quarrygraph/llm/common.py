@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,11 +16,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where a session names none (local
-    tests) one temporary folder is made for the session and set as its checkpoint folder."""
+    tests) one temporary folder is made for the session and set as its checkpoint folder; on a cluster, where each
+    machine would have its own, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     known = getattr(sc, "_quarry_shared", None)
     if known is None:
         known = sc._quarry_shared = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
@@ -28,7 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quarry/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/quarry/{name}-{uuid.uuid4().hex[:12]}"
+    sc = spark.sparkContext
+    sc._quarry_written = [*getattr(sc, "_quarry_written", ()), path]
+    return path
+
+
+def drop_shared(spark: SparkSession) -> int:
+    """Removes all tables that this session wrote to the shared folder, and says how many. For when the results that
+    read them have been written: until then a lost task may need them again."""
+    sc = spark.sparkContext
+    paths, sc._quarry_written = getattr(sc, "_quarry_written", []), []
+    for path in paths:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def write_shared(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -67,3 +85,29 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         raise RuntimeError(f"components of {name} are still changing after {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+#: Items folded at a time by :func:`scan`.
+SCAN_BLOCK = 128
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], state: str, out: str) -> Column:
+    """What ``step(state, item) -> (next state, emitted)`` emits, from first to last item, as an array of type ``out``.
+
+    An array that a fold appends to is copied at each step, so the items are folded in blocks, and the blocks' arrays
+    are put together once.
+    """
+    first = F.struct(zero.cast(state).alias("at"), F.expr(f"cast(array() as array<{out}>)").alias("out"))
+
+    def one(s: Column, item: Column) -> Column:
+        at, emitted = step(s["at"], item)
+        return F.struct(at.cast(state).alias("at"), F.concat(s["out"], F.array(emitted.cast(out))).alias("out"))
+
+    def block(done: Column, k: Column) -> Column:
+        start = F.struct(F.element_at(done, -1)["at"].alias("at"), first["out"].alias("out"))
+        return F.concat(done, F.array(F.aggregate(F.slice(items, k * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)), start, one)))
+
+    many = F.floor((F.size(items) + (SCAN_BLOCK - 1)) / SCAN_BLOCK).cast("int")
+    folded = F.aggregate(F.sequence(F.lit(0), many - 1), F.array(first), block)
+    nothing = F.expr(f"cast(array() as array<{out}>)")
+    return F.when(many > 0, F.flatten(F.transform(folded, lambda s: s["out"]))).otherwise(nothing)

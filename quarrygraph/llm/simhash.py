@@ -13,13 +13,14 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, write_shared
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
-TILE = 1024
+#: Fingerprints of a tile, and tiles of a class that meet other tiles under one key of the join.
+TILE, GROUP = 1024, 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -35,16 +36,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * many > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp BIGINT)`` of every whole text, the fingerprint's 64 bits as a signed number; null texts are empty
-    and have fingerprint zero."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: Column) -> DataFrame:
+    """``(doc_id, fp BIGINT, *more)`` of every whole text, the fingerprint's 64 bits as a signed number; null texts are
+    empty and have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as binary) as text").mapInArrow(run, "doc_id bigint, fp bigint")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[2:]]
+    return source.mapInArrow(run, ", ".join(["doc_id bigint", "fp bigint", *kinds]))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +89,20 @@ def _offsets(radius: int) -> list[int]:
 
 def near_links(points: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Forest edges ``(a, b)`` that connect exactly the ids of ``points(fp, id)`` (distinct fp) whose fingerprints lie
-    within ``radius``. A class of any size is dealt into tiles by hash, so no tile grows with the data."""
+    within ``radius``. A class of any size is dealt into tiles by hash, so no tile grows with the data; of a class,
+    ``GROUP`` tiles share a key of the join, and the other side's rows of a key are what AQE can split."""
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(4)]
     # five bits hold 0..16; the margins between used values keep differences unambiguous
     keyed = points.withColumn("key", ((quarter[3] * 32 + quarter[2]) * 32 + quarter[1]) * 32 + quarter[0])
-    counts = keyed.groupBy("key").count()  # at most 17**4 rows
-    dealt = keyed.join(F.broadcast(counts), "key").withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(5)), F.ceil(F.col("count") / tile)))
+    counts = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("tiles"))  # at most 17**4 rows
+    dealt = keyed.join(F.broadcast(counts), "key").withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("tiles")))
     tiles = write_shared(dealt.groupBy("key", "salt").agg(F.collect_list("fp").alias("fps"), F.collect_list("id").alias("ids")), "simhash-tiles")
+    tiles = tiles.withColumn("part", F.floor(F.col("salt") / GROUP))
     left = tiles.select(F.col("salt").alias("left_salt"), F.col("key").alias("left_key"), F.col("fps").alias("left_fps"), F.col("ids").alias("left_ids"), F.explode(F.array(*[F.lit(x) for x in _offsets(radius)])).alias("step"))
-    left = left.withColumn("key", F.col("left_key") + F.col("step")).join(F.broadcast(counts.select("key")), "key", "left_semi").drop("step")
-    pairs = left.join(tiles, "key").where("left_key <> key or left_salt <= salt")
+    left = left.withColumn("key", F.col("left_key") + F.col("step")).join(F.broadcast(counts), "key").drop("step")
+    least = F.when(F.col("left_key") == F.col("key"), F.floor(F.col("left_salt") / GROUP)).otherwise(F.lit(0))
+    left = left.withColumn("part", F.explode(F.sequence(least, F.floor((F.col("tiles") - 1) / GROUP)))).drop("tiles")
+    pairs = left.join(tiles, ["key", "part"]).where("left_key <> key or left_salt <= salt")
     pairs = pairs.select((F.expr("left_key = key and left_salt = salt")).alias("own"), "left_fps", "left_ids", "fps", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +128,17 @@ def near_links(points: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
+def _prints(docs: DataFrame, shingle: int) -> DataFrame:
+    return write_shared(fingerprints(docs, shingle), "simhash")
+
+
+def _named(prints: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``(fp, component_id)`` of the distinct fingerprints that some document with a doc_id has."""
+    known = prints.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null")
+    links = connected_components(near_links(known, radius, tile), "simhash-cc")
+    return known.join(links, known.id == links.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: one row a document; ``component_id`` is the smallest doc_id reachable
     over links of at most ``radius`` differing bits, itself included.
@@ -129,18 +147,23 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     text is empty (fingerprint zero, linked like any other); a null doc_id keeps its fingerprint and belongs to the
     smallest known doc_id of its component; repeated rows are returned each; an empty table gives no rows.
     """
-    prints = write_shared(fingerprints(docs, shingle), "simhash")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    known = points.where("id is not null")
-    links = connected_components(near_links(known, radius, tile), "simhash-cc")
-    named = known.join(links, known.id == links.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    prints = _prints(docs, shingle)
+    named = _named(prints, radius, tile)
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with its own columns, of each component only the document of the smallest doc_id, once. Rows without
-    a doc_id can't be named as copies of each other and stay."""
-    found = simhash_components(docs, radius, shingle)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.join(stay, F.col("doc_id").cast("bigint") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    """``docs`` with its own columns, whatever their names, of each component one row: of those with the component's
+    smallest doc_id the first by text hash, then by its other columns as JSON. So where rows of one doc_id have
+    unrelated texts, each of their components keeps a row. Rows without a doc_id can't be named as copies of each other
+    and stay. A null text is as an empty one; an empty table gives no rows."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest")
+    rest = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = docs.where("doc_id is not null").select(row, F.col("doc_id").cast("bigint").alias("id"), digest, F.coalesce(rest, F.lit("")).alias("rest"))
+    prints = write_shared(fingerprints(docs.select("doc_id", "text"), shingle, digest), "simhash")
+    mine = prints.join(_named(prints, radius, TILE), "fp").where("doc_id = component_id")
+    stay = mine.groupBy("component_id").agg(F.min("digest").alias("digest")).withColumnRenamed("component_id", "id")
+    kept = rows.join(stay, ["id", "digest"]).groupBy("id", "digest").agg(F.min_by("row", "rest").alias("row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))

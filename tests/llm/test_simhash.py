@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from quarrygraph.llm import simhash
 
@@ -58,3 +59,26 @@ def test_nulls_repeats_and_empty_tables(spark):
     rows = simhash.simhash_components(docs).collect()
     assert len(rows) == 4 and {r.component_id for r in rows} == {4}
     assert simhash.simhash_components(docs.limit(0)).count() == 0
+
+
+def test_keep_one_of_repeated_ids_in_any_order(spark):
+    a, b = "one text of some words that is found again", "another that has no word in common but of them"
+    rows = [(5, a, "x"), (5, b, "x"), (1, a, "y"), (1, a, "x"), (None, a, "z"), (None, a, "z"), (7, None, "n"), (8, "", "n")]
+    kept = [(1, a, "x"), (5, b, "x"), (7, None, "n"), (None, a, "z"), (None, a, "z")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").withColumns({"__keep": F.lit(1), "row": F.lit("r"), "digest": F.lit("d")})
+        got = simhash.keep_one(docs)
+        assert got.columns == docs.columns
+        assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == sorted(kept, key=str)
+
+
+def test_groups_of_tiles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 2)
+    rng = np.random.default_rng(9)
+    prints = sorted({sum(1 << int(k) for k in rng.choice(12, 6, replace=False)) | (0xFFF << 16) for _ in range(400)})
+    points = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, id long")
+    from quarrygraph.llm.common import connected_components
+
+    got = {r.node: r.component for r in connected_components(simhash.near_links(points, tile=8)).collect()}
+    ids = list(range(len(prints)))
+    assert {i: got.get(i, i) for i in ids} == components(ids, prints)
