@@ -91,23 +91,32 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
 SCAN_BLOCK = 128
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: an expression inside a lambda is worked out for each item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], state: str, out: str) -> Column:
     """What ``step(state, item) -> (next state, emitted)`` emits, from first to last item, as an array of type ``out``.
 
     An array that a fold appends to is copied at each step, so the items are folded in blocks, and the blocks' arrays
     are put together once.
     """
-    first = F.struct(zero.cast(state).alias("at"), F.expr(f"cast(array() as array<{out}>)").alias("out"))
+    nothing = F.expr(f"cast(array() as array<{out}>)")
 
-    def one(s: Column, item: Column) -> Column:
-        at, emitted = step(s["at"], item)
-        return F.struct(at.cast(state).alias("at"), F.concat(s["out"], F.array(emitted.cast(out))).alias("out"))
+    def over(items: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            at, emitted = step(s["at"], F.get(items, k))
+            return F.struct(at.cast(state).alias("at"), F.concat(s["out"], F.array(emitted.cast(out))).alias("out"))
 
-    def block(done: Column, k: Column) -> Column:
-        start = F.struct(F.element_at(done, -1)["at"].alias("at"), first["out"].alias("out"))
-        return F.concat(done, F.array(F.aggregate(F.slice(items, k * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)), start, one)))
+        def block(done: Column, k: Column) -> Column:
+            start = F.struct(F.element_at(done, -1)["at"].alias("at"), nothing.alias("out"))
+            places = F.sequence(k * SCAN_BLOCK, F.least((k + 1) * SCAN_BLOCK, F.size(items)) - 1)
+            return F.concat(done, F.array(F.aggregate(places, start, one)))
 
-    many = F.floor((F.size(items) + (SCAN_BLOCK - 1)) / SCAN_BLOCK).cast("int")
-    folded = F.aggregate(F.sequence(F.lit(0), many - 1), F.array(first), block)
-    nothing = F.expr(f"cast(array() as array<{out}>)")
-    return F.when(many > 0, F.flatten(F.transform(folded, lambda s: s["out"]))).otherwise(nothing)
+        many = F.floor((F.size(items) + (SCAN_BLOCK - 1)) / SCAN_BLOCK).cast("int")
+        first = F.array(F.struct(zero.cast(state).alias("at"), nothing.alias("out")))
+        folded = F.aggregate(F.sequence(F.lit(0), many - 1), first, block)
+        return F.when(many > 0, F.flatten(F.transform(folded, lambda s: s["out"]))).otherwise(nothing)
+
+    return bound(items, over)

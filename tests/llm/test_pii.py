@@ -122,3 +122,35 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pii_report(pii.find_pii(docs)).count() == 0
     assert pii.sanitise(docs).count() == 0
+
+
+def terms_of(texts, share=pii.SHARE, bits=pii.BITS):
+    """The terms of each text that give away one of its values, by counting all pairs."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    values, terms, all_terms = [], [], []
+    for t in texts:
+        spans = brute(t)
+        bare = list(t or "")
+        for s in spans:
+            bare[s[0] : s[2]] = " " * (s[2] - s[0])
+        plain = lambda s: (t[s[0] : s[2]].lower() if s[1] < 2 else re.sub("[^0-9]", "", t[s[0] : s[2]]))
+        values.append({(s[1], plain(s)) for s in spans})
+        terms.append({w.lower() for w in regex.findall(r"\p{L}+", "".join(bare))})
+        all_terms.append(terms[-1])
+    n_term = Counter(w for x in all_terms for w in x)
+    n_value = Counter(v for x in values for v in x)
+    both = Counter((v, w) for x, y in zip(values, terms, strict=True) for v in x for w in y)
+    tells = {k for k, n in both.items() if n / n_term[k[1]] >= share and math.log2(n * len(texts) / (n_term[k[1]] * n_value[k[0]])) >= bits}
+    return [{w for w in y if any((v, w) in tells for v in x)} for x, y in zip(values, terms, strict=True)]
+
+
+def test_terms_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    want = {r.doc_id: w for r, w in zip(rows, terms_of([r.text for r in rows]), strict=True)}
+    got = {r.doc_id: {s["value"] for s in r["terms"]} for r in pii.find_pii(docs).collect()}
+    assert got == want and sum(map(bool, want.values())) > 5
