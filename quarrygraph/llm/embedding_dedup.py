@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,11 @@ from .simhash import forest
 COSINE, EXPECTED, CODES, TILE = 0.93, 10.0, 4, 2048
 #: Vectors and code words are rounded to this many steps, so that sums are exact whatever their order.
 STEPS = float(1 << 20)
-#: Vectors of so few components that the threshold would be higher all pass one filter, that is, they are compared with
-#: all others of their label in tiles: the two halves of a filter then are too short to be independent of each other.
+#: The largest threshold. Short vectors get fewer code words instead of a higher one: there the two halves of a filter
+#: are too short to be independent of each other.
 MOST_LIMIT = 0.6
+#: Buckets of up to so many points are compared together, all of one size at a time.
+SMALL = 64
 
 
 def both_exceed(limit: float, cosine: float, dim: int) -> float:
@@ -60,7 +63,15 @@ class Code:
 
     @staticmethod
     def of(vectors: int, cosine: float = COSINE, expected: float = EXPECTED) -> Code:
-        return Code(min(4096, max(32, 1 << round(math.log2(max(1, vectors)) / 2))), cosine, expected)
+        return Code(max(32, 1 << round(math.log2(max(1, vectors)) / 2)), cosine, expected)
+
+
+@lru_cache(maxsize=64)
+def fitted(code: Code, dim: int) -> Code:
+    """The code for vectors of ``dim`` components: half as many words, until the threshold is ``MOST_LIMIT`` at most."""
+    while code.words > 8 and threshold(code, dim) > MOST_LIMIT:
+        code = replace(code, words=code.words // 2)
+    return code
 
 
 @lru_cache(maxsize=64)
@@ -92,10 +103,12 @@ def _words(code: Code, dim: int, number: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def filters(unit: np.ndarray, code: Code) -> list[np.ndarray]:
-    """The numbers, in order, of all filters that each unit vector passes."""
+    """The numbers, in order, of all filters that each unit vector passes. Vectors of one or two components all pass
+    one: there an eighth of all pairs links."""
     dim = unit.shape[1]
-    if threshold(code, dim) > MOST_LIMIT:
+    if dim < 3:
         return [np.zeros(1, np.int64) for _ in unit]
+    code = fitted(code, dim)
     limit = threshold(code, dim) * STEPS * STEPS
     x = np.rint(unit * STEPS)
     out: list[list[np.ndarray]] = [[] for _ in unit]
@@ -161,23 +174,28 @@ def _shared_lower(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def _pairs_of_small(x: np.ndarray, norm: np.ndarray, first: np.ndarray, size: np.ndarray, side: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of the small groups of rows that begin at ``first`` and have ``size`` rows each."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for s in np.unique(size):
+        at = first[size == s][:, None] + np.arange(s)
+        y, length, half = x[at], norm[at], side[at]
+        hit = y @ y.transpose(0, 2, 1) / (length[:, :, None] * length[:, None, :]) >= cosine
+        hit &= np.triu(np.ones((s, s), bool), 1) & (own[at[:, 0]][:, None, None] | (half[:, :, None] != half[:, None, :]))
+        g, i, j = np.nonzero(hit)
+        left.append(at[g, i])
+        right.append(at[g, j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _compare(cosine: float, code: Code):
-    """All pairs of a tile, or of two tiles of a bucket, that link and meet first in this bucket: each member's number
-    of linked vectors, and edges that connect what is linked."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, many = table["id"].to_numpy(), table["many"].to_numpy()
-        rows = [x.values.to_numpy(zero_copy_only=False).astype(np.float64) for x in table["embedding"].combine_chunks()]
-        x = np.stack(rows)
-        x = x / np.abs(x).max(axis=1, keepdims=True)  # of no effect on a cosine but that squares don't overflow
-        norm = np.linalg.norm(x, axis=1)
-        side = table["side"].to_numpy()
-        own = key[2].as_py() == key[3].as_py()
-        own_filter = key[1].as_py() % (code.codes * code.words * code.words)
-        p = np.flatnonzero(side == 0) if not own else np.arange(len(ids))
-        q = np.flatnonzero(side == 1) if not own else p
-        n = np.zeros(len(ids), np.int64)
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
+    """Rows come in order of label, filter and pair of tiles: all pairs of such a group that link and meet first in
+    this bucket, as each member's number of linked vectors, and edges that connect what is linked."""
+    numbers = code.codes * code.words * code.words
+
+    def large(x: np.ndarray, norm: np.ndarray, side: np.ndarray, own: bool, number: int, many: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        p = np.arange(len(x)) if own else np.flatnonzero(side == 0)
+        q = p if own else np.flatnonzero(side == 1)
         for k in range(0, len(p), 256):
             a = p[k : k + 256]
             hit = x[a] @ x[q].T / (norm[a][:, None] * norm[q][None, :]) >= cosine
@@ -186,21 +204,86 @@ def _compare(cosine: float, code: Code):
             if not hit.any():
                 continue
             i, j = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-            lower = {int(r): f[f < own_filter] for part in (a[i], q[j]) for r, f in zip(part, filters(_units(x[part]), code), strict=True)}
+            lower = {int(r): f[f < number] for part in (a[i], q[j]) for r, f in zip(part, filters(_units(x[part]), code), strict=True)}
             hit = hit[np.ix_(i, j)] & ~_shared_lower([lower[int(r)] for r in a[i]], [lower[int(r)] for r in q[j]])
             n[a[i]] += hit @ many[q[j]]
             n[q[j]] += hit.T @ many[a[i]]
             u, v = np.nonzero(hit)
             if len(u):
-                edges.append(forest(ids[a[i]][u], ids[q[j]][v]))
+                yield a[i][u], q[j][v]
+
+    def groups(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
+        ids, many, side = (rows[c].to_numpy() for c in ("id", "many", "side"))
+        own, number = rows["p"].to_numpy() == rows["q"].to_numpy(), rows["filter"].to_numpy() % numbers
+        size = np.diff(np.append(starts, len(ids)))
+        group = np.repeat(np.arange(len(size)), size)
+        vectors = rows["embedding"].combine_chunks()
+        dims = np.diff(vectors.offsets.to_numpy())
+        n, edges = np.zeros(len(ids), np.int64), []
+        for dim in np.unique(dims):
+            here = np.flatnonzero(dims == dim)
+            if (size[group[here]] < 2).all():
+                continue
+            here = here[size[group[here]] > 1]
+            x = np.stack([vectors[int(k)].values.to_numpy(zero_copy_only=False) for k in here]) if len(dims) != len(here) else vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(here), dim)
+            x = x.astype(np.float64)
+            x = x / np.abs(x).max(axis=1, keepdims=True)  # of no effect on a cosine but that squares don't overflow
+            norm = np.linalg.norm(x, axis=1)
+            begin = np.flatnonzero(np.diff(group[here], prepend=-1))
+            count = size[group[here[begin]]]
+            small = count <= SMALL
+            i, j = _pairs_of_small(x, norm, begin[small], count[small], side[here], own[here], cosine)
+            if len(i):
+                some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+                lower = [frozenset(f[f < number[here[k]]].tolist()) for k, f in zip(some, filters(_units(x[some]), code), strict=True)]
+                u, v = place[: len(i)], place[len(i) :]
+                first = np.array([lower[a].isdisjoint(lower[b]) for a, b in zip(u.tolist(), v.tolist(), strict=True)])
+                i, j = here[i[first]], here[j[first]]
+                np.add.at(n, i, many[j])
+                np.add.at(n, j, many[i])
+                edges.append(forest(ids[i], ids[j]))
+            for k, many_rows in zip(begin[~small], count[~small], strict=True):
+                where = slice(k, k + many_rows)
+                at = here[where]
+                part = np.zeros(len(at), np.int64)
+                edges += [forest(ids[at[i]], ids[at[j]]) for i, j in large(x[where], norm[where], side[at], bool(own[at[0]]), int(number[at[0]]), many[at], part)]
+                n[at] += part
         some = np.flatnonzero(n)
-        a, b = forest(*map(np.concatenate, zip(*edges, strict=True))) if edges else (np.empty(0, np.int64),) * 2
-        empty = pa.nulls(len(a), pa.int64())
-        return pa.table({"a": pa.concat_arrays([pa.array(ids[some]), pa.array(a)]), "n": pa.concat_arrays([pa.array(n[some]), empty]), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b)])})
+        if not len(some):
+            return None
+        a, b = forest(*map(np.concatenate, zip(*edges, strict=True)))
+        columns = [pa.concat_arrays([pa.array(ids[some]), pa.array(a)]), pa.concat_arrays([pa.array(n[some]), pa.nulls(len(a), pa.int64())]), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b)])]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "n", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            starts = _starts(held)
+            if len(starts) > 1:  # the last group may go on in the next batch
+                out = groups(held.slice(0, starts[-1]), starts[:-1])
+                if out:
+                    yield out
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            out = groups(held, _starts(held))
+            if out:
+                yield out
 
     return run
 
 
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where a new label, filter or pair of tiles begins."""
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for name in ("label", "filter", "p", "q"):
+        column = rows[name].combine_chunks()
+        new[1:] |= pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)), True).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def near_duplicates(table: DataFrame, cosine: float = COSINE, expected: float = EXPECTED, tile: int = TILE, code: Code | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row a vector of ``table(vec_id, embedding, label)``.
 
@@ -220,14 +303,14 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, expected: float =
     source = points.select("label", "id", "many", "embedding")
     label, vector = source.schema["label"].dataType.simpleString(), source.schema["embedding"].dataType.simpleString()
     counts = source.mapInArrow(_expand(code, False), f"label {label}, filter bigint").groupBy("label", "filter").count()
-    buckets = write_shared(counts.where("count > 1").select("label", "filter", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "buckets")
-    hot = buckets.where("tiles > 1")
+    hot = write_shared(counts.where(F.col("count") > tile).select("label", "filter", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "buckets")
     passed = source.mapInArrow(_expand(code, True), f"label {label}, filter bigint, id bigint, many bigint, embedding {vector}")
     dealt = passed.join(hot, ["label", "filter"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("label", "filter", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "many", "embedding")
-    found = dealt.groupBy("label", "filter", "p", "q").applyInArrow(_compare(cosine, code), "a bigint, n bigint, b bigint")
+    together = dealt.repartition("label", "filter", "p", "q").sortWithinPartitions("label", "filter", "p", "q", "side")
+    found = together.mapInArrow(_compare(cosine, code), "a bigint, n bigint, b bigint")
     found = write_shared(found, "links")
     links = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("b is not null").select("a", "b"), "embedding-cc")

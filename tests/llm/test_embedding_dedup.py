@@ -90,3 +90,18 @@ def test_common_filters_and_recall_hold_on_large_tables(vectors):
     common = np.array([len(np.intersect1d(a, b)) for a, b in pairs])
     assert abs(common.mean() - embedding_dedup.EXPECTED * embedding_dedup.CODES) < 6
     assert np.mean(common == 0) < 0.01
+
+
+@pytest.mark.parametrize("dim", [3, 16, 32, 48])
+@pytest.mark.parametrize("vectors", [50_000, 1_000_000])
+def test_short_vectors_pass_filters_too(dim, vectors):
+    rng = np.random.default_rng(4)
+    code = embedding_dedup.Code.of(vectors)
+    assert embedding_dedup.threshold(embedding_dedup.fitted(code, dim), dim) <= embedding_dedup.MOST_LIMIT
+    x = embedding_dedup._units(rng.standard_normal((500, dim)))
+    r = rng.standard_normal((500, dim))
+    r = embedding_dedup._units(r - (r * x).sum(1, keepdims=True) * x)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * r
+    a, b = embedding_dedup.filters(x, code), embedding_dedup.filters(y, code)
+    assert np.mean([len(np.intersect1d(u, v)) == 0 for u, v in zip(a, b, strict=True)]) < 0.01
+    assert len(np.unique(np.concatenate(a))) > 100 or dim == 3  # and not all pass the same
