@@ -1,9 +1,10 @@
 """A content-addressed WARC archive: payload bytes once per digest, exact record headers apart.
 
 The archive is two tables in the shared folder: ``payloads(digest, length, payload)``, one row a digest, and
-``headers(page_id, digest, header)``, the exact header bytes of every record. Reading joins them, checks the digest of
-every stored payload again and parses the headers; a record is header, blank line, payload, and two line ends. A
-revisit's block is empty in the record, as the format has it, and its payload comes from the same digest.
+``headers(page_id, digest, header)``, the exact bytes of every record before its payload: the WARC/1.1 header and the
+head of the HTTP response. Reading joins them, checks the digest of every stored payload again and parses the headers; a
+record is these bytes, the payload, and two line ends. A revisit's block is the HTTP head alone, as the format has it,
+and its payload comes from the same digest.
 """
 
 from __future__ import annotations
@@ -13,33 +14,40 @@ from pyspark.sql import functions as F
 
 from .common import write_shared
 
-#: Payloads below this many bytes are stored as responses each time.
+#: Payloads below this many bytes are stored as responses each.
 REVISIT_FROM = 100
+#: Date of records whose table names none.
+DATE = "1970-01-01T00:00:00Z"
 _CRLF = "\r\n"
 
 
-def _clean(value: Column) -> Column:
-    """A header value on one line."""
-    return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+", " ")
-
-
-def record_headers(records: DataFrame) -> DataFrame:
-    """``(page_id, digest, header)`` of ``records(page_id, url, digest, length, kind, refers_to)``; the header is the
-    record's exact bytes up to the blank line, which it includes."""
-    uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+def record_headers(records: DataFrame, date: str = DATE) -> DataFrame:
+    """``(page_id, digest, header)`` of ``records(page_id, url, digest, length, kind, refers_to, first_url)``. Record-IDs
+    are unique, also where rows repeat. A url with characters that no header line can hold is also kept in base64."""
     revisit = F.col("kind") == "revisit"
+    url, first = F.coalesce("url", F.lit("")), F.coalesce("first_url", F.lit(""))
+    control = r"[\x00-\x1f\x7f]"
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    encoded = lambda c: F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"\s", "")
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("length").cast("string"), F.lit(_CRLF * 2))
+    size = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("length"))
     lines = [
         F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.col("kind")),
-        F.concat(F.lit("WARC-Record-ID: "), uri("page_id")),
-        F.concat(F.lit("WARC-Target-URI: "), _clean(F.col("url"))),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
+        line("WARC-Type", F.col("kind")),
+        line("WARC-Record-ID", F.format_string("<urn:page:%s:%d>", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.monotonically_increasing_id())),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", F.regexp_replace(url, control, " ")),
+        F.when(url.rlike(control), line("X-Target-URI-Base64", encoded(url))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), uri("refers_to"))),
-        F.concat(F.lit("X-Payload-Length: "), F.col("length").cast("string")),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("length").cast("string"))),
+        F.when(revisit, line("WARC-Refers-To-Target-URI", F.regexp_replace(first, control, " "))),
+        F.when(revisit, line("WARC-Refers-To-Date", F.lit(date))),
+        line("X-Page-ID", F.col("page_id").cast("string")),
+        F.when(revisit, line("X-Refers-To-Page-ID", F.col("refers_to").cast("string"))),
+        F.lit("Content-Type: application/http; msgtype=response"),
+        line("Content-Length", size.cast("string")),
     ]
-    text = F.concat(F.concat_ws(_CRLF, *lines), F.lit(_CRLF * 2))
+    text = F.concat(F.concat_ws(_CRLF, *lines), F.lit(_CRLF * 2), http)
     return records.select("page_id", "digest", text.cast("binary").alias("header"))
 
 
@@ -48,19 +56,19 @@ def write_archive(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> tuple[D
 
     A null html is an empty payload and a null url an empty one. Of records with equal payloads of ``revisit_from``
     bytes or more, the one of the smallest page_id is the response; repeated rows of that page_id are responses each,
-    and rows of a null page_id come last. Smaller payloads are all responses. An empty table makes an empty archive;
-    other columns are ignored. Payloads that share a digest but not their length or second hash stop the write.
+    and rows of a null page_id come last. Smaller payloads are all responses. Repeated rows are records each. An empty
+    table makes an empty archive; other columns are ignored. Payloads that share a digest but not their length or second hash stop the write.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("bigint").alias("length"), F.xxhash64("payload").alias("check"), "payload")
     # one row a digest and map task moves, however often a payload is repeated
     light = rows.drop("payload")
-    firsts = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("length").alias("length"), F.min("length").alias("least"), F.max("check").alias("check"), F.min("check").alias("check_least"))
+    firsts = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.max("length").alias("length"), F.min("length").alias("least"), F.max("check").alias("check"), F.min("check").alias("check_least"))
     same = (F.col("length") == F.col("least")) & (F.col("check") == F.col("check_least"))
     firsts = firsts.withColumn("first", F.when(same, F.col("first")).otherwise(F.raise_error(F.concat(F.lit("two payloads have the digest "), F.col("digest"))).cast("bigint")))
     big = F.col("length") >= revisit_from
-    named = light.drop("length", "check").join(firsts.select("digest", "first", "length"), "digest")
+    named = light.drop("length", "check").join(firsts.select("digest", "first", "first_url", "length"), "digest")
     answer = ~big | F.col("page_id").eqNullSafe(F.col("first"))
     records = named.withColumn("kind", F.when(answer, "response").otherwise("revisit")).withColumn("refers_to", F.when(~answer, F.col("first")))
     headers = write_shared(record_headers(records), "warc-headers")
@@ -70,24 +78,25 @@ def write_archive(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> tuple[D
 
 
 def _field(name: str) -> Column:
-    return F.regexp_extract(F.col("text"), rf"(?s)\r\n{name}: (.*?)\r\n", 1)
+    """The value of a field of the WARC header; null where there is none."""
+    return F.nullif(F.regexp_extract(F.col("text"), rf"(?s)\r\n{name}: (.*?)\r\n", 1), F.lit(""))
 
 
 def read_archive(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     """``(page_id, url, record_type, refers_to, payload_bytes, payload_digest, header, payload)`` of every record,
-    parsed from its header and joined to its payload by digest. A payload whose digest isn't its key stops the read.
-    Headers of one hot digest are a skewed join to a single payload row."""
+    parsed from its header and joined to its payload by digest; urls are those that were written, a null one empty. A
+    payload whose digest isn't its key stops the read. Headers of one hot digest are a skewed join to a single payload
+    row."""
     checked = payloads.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload damaged: "), F.col("digest"))).cast("binary")))
-    joined = headers.join(checked.drop("length"), "digest").withColumn("text", F.decode("header", "UTF-8"))
-    page = F.regexp_extract(_field("WARC-Record-ID"), "urn:page:(-?[0-9]*)", 1)
-    refers = F.regexp_extract(_field("WARC-Refers-To"), "urn:page:(-?[0-9]+)", 1)
+    joined = headers.drop("page_id").join(checked.drop("length"), "digest").withColumn("text", F.concat(F.substring_index(F.decode("header", "UTF-8"), _CRLF * 2, 1), F.lit(_CRLF)))
+    exact = F.decode(F.unbase64(_field("X-Target-URI-Base64")), "UTF-8")
     return joined.select(
-        F.nullif(page, F.lit("")).cast("bigint").alias("page_id"),
-        _field("WARC-Target-URI").alias("url"),
+        _field("X-Page-ID").cast("bigint").alias("page_id"),
+        F.coalesce(exact, _field("WARC-Target-URI"), F.lit("")).alias("url"),
         _field("WARC-Type").alias("record_type"),
-        F.nullif(refers, F.lit("")).cast("bigint").alias("refers_to"),
+        _field("X-Refers-To-Page-ID").cast("bigint").alias("refers_to"),
         F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        F.regexp_extract(_field("WARC-Payload-Digest"), "sha256:([0-9a-f]+)", 1).alias("payload_digest"),
+        F.substr(_field("WARC-Payload-Digest"), F.lit(len("sha256:") + 1)).alias("payload_digest"),
         "header",
         "payload",
     )

@@ -45,6 +45,50 @@ def test_round_trip_and_record_bytes(spark):
         assert raw.startswith(b"WARC/1.1\r\n") and len(body) - 4 == int(fields["Content-Length"])
 
 
+def parsed(raw):
+    """One record by the format's grammar, read without the library."""
+    version, _, rest = raw.partition(b"\r\n")
+    assert version == b"WARC/1.1"
+    fields = {}
+    while True:
+        line, _, rest = rest.partition(b"\r\n")
+        if not line:
+            break
+        name, colon, value = line.partition(b":")
+        assert colon and name.decode("ascii").replace("-", "").isalnum()
+        fields[name.decode().lower()] = value.strip().decode()
+    size = int(fields["content-length"])
+    assert rest[size:] == b"\r\n\r\n"
+    return fields, rest[:size]
+
+
+def test_an_independent_reader_finds_the_mandatory_fields(spark):
+    import http.client
+    import io
+    import re
+
+    urls = [*ODD, (11, "http://a.b/" + "c" * 20_000 + "\tz", "y" * 200), (11, "http://a.b/" + "c" * 20_000 + "\tz", "y" * 200)]
+    pages = spark.createDataFrame(urls, "page_id long, url string, html string")
+    records = warc.read_archive(*warc.write_archive(pages))
+    assert sorted((r.page_id, r.url) for r in records.where("page_id is not null").collect()) == sorted((i, u or "") for i, u, _ in urls if i is not None)
+    seen = set()
+    for r in warc.record_bytes(records).collect():
+        fields, block = parsed(bytes(r.record))
+        assert {"warc-record-id", "content-length", "warc-date", "warc-type", "content-type", "warc-target-uri"} <= set(fields)
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"]) and re.fullmatch(r"<[a-z]+:\S+>", fields["warc-record-id"])
+        seen.add(fields["warc-record-id"])
+        status, head = block.split(b"\r\n", 1)
+        assert status == b"HTTP/1.1 200 OK" and fields["content-type"] == "application/http; msgtype=response"
+        message = io.BytesIO(head)
+        length = int(http.client.parse_headers(message)["Content-Length"])
+        payload = message.read()
+        if fields["warc-type"] == "revisit":
+            assert payload == b"" and length >= 100 and "warc-profile" in fields and "warc-refers-to-date" in fields
+        else:
+            assert length == len(payload) and fields["warc-payload-digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+    assert len(seen) == len(urls)
+
+
 def test_damage_is_noticed_and_empty_is_empty(spark):
     pages = spark.createDataFrame(ODD[:2], "page_id long, url string, html string")
     payloads, headers = warc.write_archive(pages)
