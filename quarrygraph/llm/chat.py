@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, write_shared
+from .common import bound, connected_components, write_shared
 
 #: What marks a quoted line and the line that announces a quotation.
 _MARK = r"^[ \t]{0,3}((?:>[ \t]?)+)"
@@ -40,22 +40,32 @@ def _lines(text: Column) -> Column:
 
 def _unannounced(lines: Column) -> Column:
     """The lines without those that announce the deeper passage right after them."""
-    after = F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)).alias("next")))
-    return F.filter(after, lambda x: ~((x["next"] > x["level"]) & x["body"].rlike(_SAYS)))
+
+    def over(x: Column) -> Column:
+        following = lambda k: F.coalesce(F.get(x, k + 1)["level"], F.lit(0))
+        return F.filter(x, lambda line, k: ~((following(k) > line["level"]) & line["body"].rlike(_SAYS)))
+
+    return bound(lines, over)
 
 
 def _passages(lines: Column) -> Column:
     """Runs of quoted lines of one level, joined."""
 
-    def step(state: Column, line: Column) -> Column:
-        last = F.element_at(state["out"], -1)
-        joined = F.struct(last["level"].alias("level"), F.concat(last["body"], F.lit("\n"), line["body"]).alias("body"))
-        fresh = F.array(F.struct(line["level"].alias("level"), line["body"].alias("body")))
-        more = F.when((state["level"] == line["level"]) & (F.size(state["out"]) > 0), F.concat(F.slice(state["out"], 1, F.size(state["out"]) - 1), F.array(joined))).otherwise(F.concat(state["out"], fresh))
-        return F.struct(line["level"].alias("level"), F.when(line["level"] > 0, more).otherwise(state["out"]).alias("out"))
+    def over(x: Column) -> Column:
+        level = lambda k: F.get(x, k)["level"]
+        begins = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda k: (k == 0) | (level(k) != level(k - 1)))
+
+        def runs(begin: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                last = F.coalesce(F.get(begin, k + 1), F.size(x)) - 1
+                body = F.array_join(F.transform(F.sequence(start, last), lambda j: F.get(x, j)["body"]), "\n")
+                return F.struct(level(start).alias("level"), body.alias("body"))
+
+            return F.filter(F.transform(begin, run), lambda p: p["level"] > 0)
+
+        return bound(begins, runs)
 
-    zero = F.struct(F.lit(0).alias("level"), F.expr(f"cast(array() as {_PASSAGES})").alias("out"))
-    return F.aggregate(lines, zero, step, lambda s: s["out"])
+    return F.when(F.size(lines) > 0, bound(lines, over)).otherwise(F.expr(f"cast(array() as {_PASSAGES})"))
 
 
 def _keys(body: Column) -> Column:

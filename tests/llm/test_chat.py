@@ -112,3 +112,14 @@ def test_test_table_keeps_every_message(spark, sf_dir):
     rows = [tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]
     assert run(spark, rows) == brute(rows)
     assert chat.format_chats(table.limit(0)).count() == 0
+
+
+def test_very_many_passages_in_one_message(spark):
+    import time
+
+    lines = [f"{'>' * (k % 3)} line {k} of the long message" for k in range(20_000)]
+    said = spark.createDataFrame([(1, 0, "user", "\n".join(lines))], "conv_id long, turn long, role string, text string")
+    start = time.time()
+    found = chat.parse_messages(said).first().passages
+    assert time.time() - start < 20
+    assert len(found) == 13_333 and found[1].body.strip() == "line 2 of the long message" and found[1].level == 2
