@@ -113,32 +113,72 @@ def to_tokens(chars: Column) -> Column:
     return F.floor(chars / 4 + 0.5).cast("bigint")
 
 
-def slice_span(text: Column, start: Column, end: Column, cap: int = 80) -> Column:
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def slice_span(text: Column, start: Column, end: Column, cap: int = 80, path: Column | None = None) -> Column:
+    """Lines ``start`` to ``end`` as far as there are any; beyond ``cap`` of them a line says how many more."""
     lines = F.split(text, "\n")
-    n = F.least(end - start + 1, F.lit(cap))
-    kept = F.array_join(F.slice(lines, start, F.greatest(n, F.lit(0))), "\n")
-    return F.when((start < 1) | (start > F.size(lines)), F.lit("")).when(end - start + 1 > cap, F.concat(kept, F.lit("\n…"))).otherwise(kept)
+    first, last = F.greatest(start, F.lit(1)), F.least(end, F.size(lines))
+    n = F.greatest(last - first + 1, F.lit(0))
+    kept = F.array_join(F.slice(lines, first, F.least(n, F.lit(cap))), "\n")
+    place = F.concat(F.coalesce(path, F.lit("")) if path is not None else F.lit(""), F.lit(":L"), first.cast("string"), F.lit("-L"), last.cast("string"))
+    more = F.concat(F.lit("\n… (+"), (n - cap).cast("string"), F.lit(" more lines; open "), place, F.lit(")"))
+    return F.when(n > cap, F.concat(kept, more)).otherwise(kept)
 
 
 def first_prose(body: Column) -> Column:
-    """First line that isn't blank, a heading, a comment or a list item."""
-    return F.try_element_at(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(#|<!--|[-*+] |>)")), F.lit(1))
+    """First line that isn't blank, a heading, a comment or a list item, stripped; '' where there is none."""
+    lines = F.filter(F.transform(F.split(body, "\n"), _stripped), lambda x: (x != "") & ~x.rlike("^(#|<!--|-)"))
+    return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
 
 
 def humanize_test_name(x: Column) -> Column:
-    """A test's name as words; null below three words."""
-    s = F.regexp_replace(F.regexp_replace(x, "^(test|it|should)[_ ]*", ""), "([a-z0-9])([A-Z])", "$1 $2")
-    words = F.lower(F.trim(F.regexp_replace(s, "[_\\s]+", " ")))
-    return F.when(F.size(F.split(words, " ")) >= 3, words)
+    """A test's name as words; null below three words. Only a name of nothing but letters is split at its capitals."""
+    bare = F.regexp_replace(x, r"(?i)^(test|it|should|describe)[_\s]*", "")
+    camel = bare.rlike("^[A-Za-z]+$") & bare.rlike("[a-z][A-Z]")
+    spaced = F.when(camel, F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1 $2")).otherwise(bare)
+    words = _stripped(F.regexp_replace(spaced, r"[_\-\s]+", " "))
+    return F.when(F.size(F.split(words, " ")) >= 3, F.lower(words))
+
+
+#: Fixed value: what a word of a question is made of.
+SUBJECT_WORD = r"[\p{L}\p{N}_.$:@#/~\\()-]+"
 
 
 def subject_words(query: Column) -> Column:
-    """Distinct words of letters, digits, underscore and dots, longest first, then in order of the alphabet."""
-    words = F.array_distinct(F.regexp_extract_all(query, F.lit(r"[\p{L}\p{N}_.]+"), F.lit(0)))
-    keyed = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    """Distinct words, each that ends in ``()`` also without, longest first, then in order of the alphabet."""
+    words = F.regexp_extract_all(query, F.lit(SUBJECT_WORD), F.lit(0))
+    both = F.flatten(F.transform(words, lambda w: F.when(F.endswith(w, F.lit("()")), F.array(w, F.substr(w, F.lit(1), F.length(w) - 2))).otherwise(F.array(w))))
+    keyed = F.array_sort(F.transform(F.array_distinct(both), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     return F.transform(keyed, lambda s: s["w"])
 
 
+#: The family of each relation, all others being associations, and the verb that a vague one stands for.
+FAMILIES = {
+    "part_of": "structure", "contains": "structure",
+    "uses": "dependency", "depends_on": "dependency", "calls": "dependency", "imports": "dependency",
+    "produces": "dependency", "configures": "dependency", "validates": "dependency",
+    "extends": "contract", "implements": "contract",
+    "references": "association",
+}
+VERBS = {"influences": "configures", "supports": "validates", "defines": "validates", "measures": "validates"}
+
+
+def _lookup(table: dict[str, str], x: Column, other: Column) -> Column:
+    known = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+    return F.coalesce(F.try_element_at(known, x), other)
+
+
+def relation_family(relation: Column) -> Column:
+    return _lookup(FAMILIES, relation, F.lit("association"))
+
+
+def normalize_relation(relation: Column) -> Column:
+    return _lookup(VERBS, relation, relation)
+
+
 def _bucket(x: Column, first: str, steps: list[tuple[float, str]], last: str) -> Column:
     out = F.when(x <= 0, first) if first else None
     for below, label in steps:
@@ -196,8 +236,18 @@ def reference_line(text: Column, name: str, start: Column, end: Column) -> Colum
     return F.trim(F.try_element_at(F.filter(lines, lambda x: x.rlike(rf"\b{escape(name)}\b")), F.lit(1)))
 
 
+#: Fixed value: where a long label may be cut.
+CLAUSE_BREAK = r"\s(?:\(|—|-\s)|:\s|\s(?:via|and|for|with|using|in|across|over|from|of|by|to)\s"
+
+
 def short_label(x: Column, cap: int = 30) -> Column:
-    """At most ``cap`` characters: cut at a clause break, else at the last space, with an ellipsis."""
-    clause = F.trim(F.regexp_extract(x, "^([^:;,.(]*)", 1))
-    cut = F.regexp_replace(F.substring(x, 1, cap - 1), r"\s+\S*$", "")
-    return F.when(F.length(x) <= cap, x).when(F.length(clause).between(3, cap), clause).otherwise(F.concat(F.trim(cut), F.lit("…")))
+    """A label of ``cap`` characters or a few less, without a leading ``concept:``: cut at its first clause break
+    where that leaves eight or more, else at the last blank of the second half, with an ellipsis."""
+    bare = _stripped(F.regexp_replace(x, r"(?i)^concepts?:\s*", ""))
+    clause = F.regexp_extract(bare, f"(?is)^(.*?)(?:{CLAUSE_BREAK})", 1)
+    head = F.substring(bare, 1, cap + 1)
+    blank = F.instr(F.reverse(head), " ")
+    at = F.when(blank > 0, F.length(head) - blank).otherwise(-1)
+    cut = F.substr(bare, F.lit(1), F.when(at > cap / 2, at).otherwise(cap))
+    trimmed = lambda c: F.regexp_replace(c, r"\s+$", "")
+    return F.when(F.length(bare) <= cap, bare).when(F.length(clause).between(8, cap), trimmed(clause)).otherwise(F.concat(trimmed(cut), F.lit("…")))

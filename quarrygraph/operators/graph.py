@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrygraph.functions.text import SUBJECT_WORD, path_under
 from quarrygraph.plans.shared import cut
 
 #: Relations that a walk follows (all but containment), and kinds.
@@ -27,22 +28,32 @@ def walks(relation: str | Column = "relation") -> Column:
 
 
 def resolve_symbol(nodes: DataFrame, query: str, under: str | None = None) -> DataFrame:
-    """Nodes of the best tier that ``query`` names: id; name or id suffix behind ``#`` or ``.``; last dotted segment;
-    file name. Case counts for ids only. ``under`` then keeps paths below a prefix."""
+    """Nodes of the best tier that ``query`` names: 1 the id, for a query with ``#`` the only one; 2 the name, or the
+    id's end behind ``#`` or ``.`` but for ordinals; 3 the last dotted segment as a name; 4 a file's name, path or end of
+    its path, for a query with a dot. Case counts for ids only. ``under`` then keeps paths below a prefix, which some
+    node must have."""
     q = query.lower()
-    plain = F.lower(F.regexp_replace(F.col("id"), r"~[0-9]+(\.|$)", "$1"))
-    last = q.rsplit(".", 1)[-1]
-    tier = (
-        F.when(F.col("id") == query, 1)
-        .when((F.col("kind") != "file") & ((F.lower("name") == q) | plain.endswith("#" + q) | plain.endswith("." + q)), 2)
-        .when((F.col("kind") != "file") & (F.lit(last != q)) & ((F.lower("name") == last) | plain.endswith("#" + last)), 3)
-        .when((F.col("kind") == "file") & F.lower(F.regexp_extract("path", "([^/]*)$", 1)).isin(q, *()), 4)
-    )
+    file = F.col("kind") == "file"
+    if "#" in query:
+        tier = F.when(F.col("id") == query, 1)
+    else:
+        tail = F.regexp_replace(F.regexp_extract("id", "#(.*)$", 1), r"~[0-9]+(?=\.|$)", "")
+        plain = F.lower(F.when(F.contains("id", F.lit("#")), F.concat(F.lit("#"), tail)).otherwise(F.col("id")))
+        tier = F.when(~file & ((F.lower("name") == q) | plain.endswith("#" + q) | plain.endswith("." + q)), 2)
+        last = q.rsplit(".", 1)[-1]
+        if "." in q and "::" not in q and last:
+            tier = tier.when(~file & (F.lower("name") == last), 3)
+        if "." in q:
+            path = F.lower("path")
+            tier = tier.when(file & ((F.lower("name") == q) | (path == q) | path.endswith("/" + q)), 4)
     hit = nodes.withColumn("tier", tier).where("tier is not null")
     best = hit.agg(F.min("tier").alias("tier"))  # one row
     out = hit.join(F.broadcast(best), "tier")
     if under:
-        out = out.where((F.col("path") == under) | F.col("path").startswith(under + "/"))
+        below = path_under(F.col("path"), F.lit(under))
+        if nodes.where(below).isEmpty():
+            raise ValueError(f"no indexed path below {under!r}")
+        out = out.where(below)
     return out
 
 
@@ -159,11 +170,14 @@ def structural(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 8) -
     where the question asks for neither or names no symbol. Words are tried longest first."""
     import re
 
+    import regex
+
     q = query.lower()
     direction = "in" if re.search(INCOMING, q) else "out" if re.search(OUTGOING, q) else None
     if direction is None:
         return None, None
-    words = sorted(set(re.findall(r"[\w.]+", query)), key=lambda w: (-len(w), w))
+    found = regex.findall(SUBJECT_WORD, query)
+    words = sorted({v for w in found for v in ([w, w[:-2]] if w.endswith("()") else [w]) if v}, key=lambda w: (-len(w), w))
     for word in words:
         subjects = resolve_symbol(nodes.where("kind <> 'file'"), word)
         if not subjects.isEmpty():

@@ -109,7 +109,7 @@ def inline_sources(hits: DataFrame, cruxes: DataFrame, texts: DataFrame) -> Data
     """``(pointer, code)`` of ``hits(pointer, path, span_start, span_end)``: the crux where there is one, else the span's
     lines, at most eighty."""
     joined = hits.join(cruxes.select("pointer", "crux"), "pointer", "left").join(texts.select("path", "body"), "path", "left")
-    return joined.select("pointer", F.coalesce("crux", T.slice_span(F.col("body"), F.col("span_start"), F.col("span_end"))).alias("code"))
+    return joined.select("pointer", F.coalesce("crux", T.slice_span(F.col("body"), F.col("span_start"), F.col("span_end"), path=F.col("path"))).alias("code"))
 
 
 def hunk_evidence(hunks: DataFrame, spans: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,11 +131,25 @@ def f6_matched_share(spark, sf_dir):
 PICK = "name IN ('part7', 'part11', 'supplier3', 'customer5')"
 
 
-@register("g1_resolve_symbol", """SELECT id, tier FROM (SELECT id, tier, min(tier) OVER () AS best FROM (
-    SELECT id, CASE WHEN id = 'Part7' THEN 1 WHEN kind <> 'file' AND (lower(name) = 'part7' OR ends_with(lower(id), '#part7') OR ends_with(lower(id), '.part7')) THEN 2
-      WHEN kind = 'file' AND lower(regexp_extract(path, '([^/]*)$', 1)) = 'part7' THEN 4 END AS tier FROM nodes) WHERE tier IS NOT NULL) WHERE tier = best""")
+def _tiers(query: str) -> str:
+    """The best tier's nodes for a query without ``#``, lower-cased."""
+    tail = "CASE WHEN contains(id, '#') THEN '#' || regexp_replace(regexp_extract(lower(id), '#(.*)$', 1), '~[0-9]+(\\.|$)', '\\1', 'g') ELSE lower(id) END"
+    last = query.rsplit(".", 1)[-1]
+    dotted = f"""WHEN kind <> 'file' AND lower(name) = '{last}' THEN 3
+      WHEN kind = 'file' AND (lower(name) = '{query}' OR lower(path) = '{query}' OR ends_with(lower(path), '/{query}')) THEN 4""" if "." in query else ""
+    return f"""SELECT '{query}' AS query, id, tier FROM (SELECT id, tier, min(tier) OVER () AS best FROM (
+      SELECT id, CASE WHEN kind <> 'file' AND (lower(name) = '{query}' OR ends_with({tail}, '#{query}') OR ends_with({tail}, '.{query}')) THEN 2 {dotted} END AS tier FROM nodes) WHERE tier IS NOT NULL) WHERE tier = best"""
+
+
+ASKED = ("part7", "x.part11", "supplier3")
+
+
+@register("g1_resolve_symbol", " UNION ALL ".join(map(_tiers, ASKED)) + " UNION ALL SELECT 'id' AS query, id, 1 AS tier FROM nodes WHERE id = (SELECT min(id) FROM nodes WHERE contains(id, '#'))")
 def g1_resolve_symbol(spark, sf_dir):
-    return graph.resolve_symbol(view(spark, sf_dir, "nodes"), "Part7").select("id", "tier")
+    nodes = view(spark, sf_dir, "nodes")
+    one = nodes.where(F.contains("id", F.lit("#"))).agg(F.min("id")).first()[0]
+    found = [graph.resolve_symbol(nodes, query).select(F.lit(label).alias("query"), "id", "tier") for query, label in (*((q.replace("part", "Part"), q) for q in ASKED), (one, "id"))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _hop(near: str, far: str) -> str:
@@ -539,9 +554,10 @@ def j19_smallest_claim(spark, sf_dir):
     return impact.smallest_claim(d.select(F.col("source").alias("concept"), "path").union(d.select("scope", "path")).distinct())
 
 
-@register("a16_unanimity", "SELECT source, CASE WHEN count(DISTINCT scope) = 1 AND count(scope) = count(*) THEN min(scope) END AS concept FROM docs WHERE doc_id % 40 < 3 GROUP BY source")
+@register("a16_unanimity", "SELECT source, CASE WHEN count(DISTINCT concept) = 1 AND count(concept) = count(*) THEN min(concept) END AS concept FROM (SELECT source, CASE WHEN source LIKE '%1' THEN 'one' ELSE scope END AS concept FROM docs) GROUP BY source")
 def a16_unanimity(spark, sf_dir):
-    return impact.shared_concept(docs(spark, sf_dir).where("doc_id % 40 < 3"), "source", "scope")
+    concept = F.when(F.col("source").endswith("1"), "one").otherwise(F.col("scope"))
+    return impact.shared_concept(docs(spark, sf_dir).withColumn("concept", concept), "source", "concept")
 
 
 @register("j20_outside_dependents", "SELECT source, target, relation FROM edges WHERE target IN (SELECT id FROM nodes WHERE path = 'supply/s2') AND source NOT IN (SELECT id FROM nodes WHERE path = 'supply/s2')")

@@ -23,8 +23,8 @@ scalars("f2_plural_terms", "docs", {
 scalars("f7_clamp", "scored", {"clamped": (lambda: T.clamp01(F.col("score") / 10 - 0.2), "CASE WHEN score / 10 - 0.2 <= 0 THEN 0 ELSE least(1, score / 10 - 0.2) END")}, "id")
 scalars("f8_decay", "commits", {"weight": (lambda: F.round(T.decay(F.hour("made_at").cast("double"), 24.0), 6), "round(pow(0.5, hour(made_at) / 24.0), 6)")}, "hash")
 scalars("f9_digests", "docs", {"full": (lambda: F.sha2("body", 256), "sha256(body)"), "short": (lambda: F.substring(F.sha2("path", 256), 1, 16), "substr(sha256(path), 1, 16)")})
-scalars("f10_normalize_name", "docs", {"name": (lambda: T.normalize_name(F.substring("body", 1, 60)), "lower(regexp_replace(trim(substr(body, 1, 60)), '\\s+', ' ', 'g'))")})
-scalars("f11_slugify", "docs", {"slug": (lambda: T.slugify(F.substring("body", 1, 40)), "coalesce(nullif(regexp_replace(regexp_replace(lower(substr(body, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'node')")})
+scalars("f10_normalize_name", "docs", {"name": (lambda: T.normalize_name(F.col("body")), "lower(regexp_replace(trim(body), '\\s+', ' ', 'g'))")})
+scalars("f11_slugify", "docs", {"slug": (lambda: T.slugify(F.col("body")), "coalesce(nullif(regexp_replace(regexp_replace(lower(body), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'node')")})
 scalars("f12_paths", "docs", {"posix": (lambda: T.posix_path(F.concat(F.lit("\\"), F.col("path"), F.lit("//x/"))), "concat('/', path, '/x')")})
 scalars("f13_path_parts", "docs", {
     "top": (lambda: T.dir_key(F.col("path"), 1), "split_part(path, '/', 1)"),
@@ -32,9 +32,23 @@ scalars("f13_path_parts", "docs", {
     "dir": (lambda: T.dirname(F.col("path")), "regexp_replace(path, '/[^/]*$', '')"),
     "base": (lambda: T.basename(F.col("path")), "regexp_extract(path, '([^/]*)$', 1)"),
 })
-scalars("f14_short_label", "docs", {"n": (lambda: F.length(T.short_label(F.substring_index("body", "\n", 1))) <= 30, "true")})
-scalars("f16_humanize", "docs", {"words": (lambda: T.humanize_test_name(F.concat(F.lit("test_"), F.regexp_replace(F.substring("body", 1, 24), "[^A-Za-z]+", "_"))), "CASE WHEN len(string_split(lower(trim(regexp_replace(regexp_replace(regexp_replace(concat('test_', regexp_replace(substr(body, 1, 24), '[^A-Za-z]+', '_', 'g')), '^(test|it|should)[_ ]*', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\s]+', ' ', 'g'))), ' ')) >= 3 THEN lower(trim(regexp_replace(regexp_replace(regexp_replace(concat('test_', regexp_replace(substr(body, 1, 24), '[^A-Za-z]+', '_', 'g')), '^(test|it|should)[_ ]*', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\s]+', ' ', 'g'))) END")})
-scalars("f17_first_prose", "docs", {"prose": (lambda: T.first_prose(F.col("body")), "list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|<!--|[-*+] |>)'))[1]")})
+BARE = r"regexp_replace(regexp_replace(concat('Concept: ', replace(body, chr(10), ' ')), '^concepts?:\s*', '', 'i'), '^\s+|\s+$', '', 'g')"
+CLAUSE = f"regexp_extract({BARE}, '(?is)^(.*?)(?:{T.CLAUSE_BREAK})', 1)"
+BLANK = f"CASE WHEN contains(substr({BARE}, 1, 31), ' ') THEN length(substr({BARE}, 1, 31)) - instr(reverse(substr({BARE}, 1, 31)), ' ') ELSE -1 END"
+scalars("f14_short_label", "docs", {"label": (lambda: T.short_label(F.concat(F.lit("Concept: "), F.replace("body", F.lit("\n"), F.lit(" ")))), f"CASE WHEN length({BARE}) <= 30 THEN {BARE} WHEN length({CLAUSE}) BETWEEN 8 AND 30 THEN rtrim({CLAUSE}) ELSE concat(rtrim(substr({BARE}, 1, CASE WHEN {BLANK} > 15 THEN {BLANK} ELSE 30 END)), '…') END")})
+def _human(name: str) -> str:
+    bare = f"regexp_replace({name}, '^(test|it|should|describe)[_\\s]*', '', 'i')"
+    spaced = f"CASE WHEN regexp_matches({bare}, '^[A-Za-z]+$') AND regexp_matches({bare}, '[a-z][A-Z]') THEN regexp_replace({bare}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g') ELSE {bare} END"
+    words = f"trim(regexp_replace({spaced}, '[_\\-\\s]+', ' ', 'g'))"
+    return f"CASE WHEN len(string_split({words}, ' ')) >= 3 THEN lower({words}) END"
+
+
+scalars("f16_humanize", "docs", {
+    "words": (lambda: T.humanize_test_name(F.concat(F.lit("test_"), F.regexp_replace("body", "[^A-Za-z]+", "_"))), _human("concat('test_', regexp_replace(body, '[^A-Za-z]+', '_', 'g'))")),
+    "camel": (lambda: T.humanize_test_name(F.concat(F.lit("Describe"), F.initcap("scope"), F.lit("LoadsThe"), F.when(F.col("doc_id") % 2 == 0, F.lit("Table")).otherwise(F.lit("Table2")))), _human("concat('Describe', upper(substr(scope, 1, 1)), substr(scope, 2), 'LoadsThe', CASE WHEN doc_id % 2 = 0 THEN 'Table' ELSE 'Table2' END)")),
+    "dashed": (lambda: T.humanize_test_name(F.concat(F.lit("should-"), F.replace("path", F.lit("/"), F.lit("-")))), _human("concat('should-', replace(path, '/', '-'))")),
+})
+scalars("f17_first_prose", "docs", {"prose": (lambda: T.first_prose(F.col("body")), r"coalesce(list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|<!--|-)'))[1], '')")})
 scalars("f18_buckets", "docs", {
     "files": (lambda: T.files_bucket(F.col("doc_id")), "CASE WHEN doc_id <= 0 THEN '0' WHEN doc_id < 50 THEN '1-49' WHEN doc_id < 200 THEN '50-199' WHEN doc_id < 1000 THEN '200-999' WHEN doc_id < 5000 THEN '1000-4999' ELSE '5000+' END"),
     "count": (lambda: T.count_bucket(F.col("doc_id") % 300), "CASE WHEN doc_id % 300 <= 0 THEN '0' WHEN doc_id % 300 < 5 THEN '1-4' WHEN doc_id % 300 < 20 THEN '5-19' WHEN doc_id % 300 < 50 THEN '20-49' WHEN doc_id % 300 < 200 THEN '50-199' ELSE '200+' END"),
@@ -46,10 +60,18 @@ scalars("f22_numbers", "docs", {"n": (lambda: T.number_with_suffix(F.concat(F.li
 scalars("f23_tokens", "docs", {"tokens": (lambda: T.to_tokens(F.length(F.col("body"))), "floor(length(body) / 4.0 + 0.5)::BIGINT")})
 scalars("f25_handles", "docs", {"handle": (lambda: T.github_handle(F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("+"))).otherwise(F.lit("")), F.col("source"), F.when(F.col("doc_id") % 3 == 0, F.lit("@x.org")).otherwise(F.lit("@users.noreply.github.com")))), "CASE WHEN doc_id % 3 <> 0 THEN source END")})
 scalars("f26_search_body", "docs", {"n": (lambda: F.length(T.search_body(F.col("body"))), "length(substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 5000))"), "digest": (lambda: F.md5(T.search_body(F.col("body"), 200).cast("binary")), "md5(substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 200))")})
-scalars("f28_slice_span", "docs", {"digest": (lambda: F.md5(T.slice_span(F.col("body"), F.lit(2), F.lit(4)).cast("binary")), "md5(CASE WHEN 2 > len(string_split(body, chr(10))) THEN '' ELSE array_to_string(string_split(body, chr(10))[2:4], chr(10)) END)")})
+def _span_sql(start: int, end: int, cap: int) -> str:
+    lines, first = "string_split(body, chr(10))", max(1, start)
+    last = f"least({end}, len({lines}))"
+    n = f"greatest({last} - {first} + 1, 0)"
+    kept = f"array_to_string({lines}[{first}:least({first + cap - 1}, {last})], chr(10))"
+    return f"md5(CASE WHEN {n} = 0 THEN '' WHEN {n} > {cap} THEN concat({kept}, chr(10), '… (+', {n} - {cap}, ' more lines; open ', path, ':L{first}-L', {last}, ')') ELSE {kept} END)"
+
+
+scalars("f28_slice_span", "docs", {name: (lambda a=a, b=b, cap=cap: F.md5(T.slice_span(F.col("body"), F.lit(a), F.lit(b), cap, F.col("path")).cast("binary")), _span_sql(a, b, cap)) for name, a, b, cap in (("digest", 2, 4, 80), ("clamped", -3, 100, 80), ("capped", 1, 1000, 3))})
 scalars("f29_reference_line", "docs", {"line": (lambda: T.reference_line(F.col("body"), "the", F.lit(1), F.lit(9)), "trim(list_filter(string_split(body, chr(10))[1:9], lambda x: regexp_matches(x, '\\bthe\\b'))[1])")})
 scalars("f31_ordinals", "nodes", {"plain": (lambda: T.strip_ordinals(F.concat(F.col("id"), F.lit("~2.run~3"))), "concat(id, '.run')"), "owner": (lambda: T.owner_of_method(F.concat_ws(".", "id", F.lit("run"))), "nullif(regexp_extract(id, '#([^.]*)', 1), '')")}, "id")
-scalars("f34_subject_words", "docs", {"words": (lambda: F.array_join(T.subject_words(F.substring("body", 1, 50)), " "), "array_to_string(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(substr(body, 1, 50), '[\\p{L}\\p{N}_.]+')), lambda w: {'n': -length(w), 'w': w})), lambda s: s.w), ' ')")})
+scalars("f34_subject_words", "docs", {"words": (lambda: F.array_join(T.subject_words(F.concat("body", F.lit(" who calls evict() in src/a.ts#Cache.get"))), " "), "array_to_string(list_transform(list_sort(list_transform(list_distinct(flatten(list_transform(regexp_extract_all(concat(body, ' who calls evict() in src/a.ts#Cache.get'), '" + T.SUBJECT_WORD + "'), lambda w: CASE WHEN ends_with(w, '()') THEN [w, substr(w, 1, length(w) - 2)] ELSE [w] END))), lambda w: {'n': -length(w), 'w': w})), lambda s: s.w), ' ')")})
 scalars("p6_test_paths", "nodes", {"test": (lambda: T.is_test_path(F.col("path")), "path LIKE '%/tests/%'"), "factor": (lambda: T.test_factor(F.col("path")), "CASE WHEN path LIKE '%/tests/%' THEN 0.35 ELSE 1.0 END::DOUBLE")}, "id")
 scalars("p1_path_under", "docs", {"under": (lambda: T.path_under(F.col("path"), F.lit("en/src1")), "path = 'en/src1' OR starts_with(path, 'en/src1/')")})
 
@@ -63,11 +85,19 @@ def f36_json(spark, sf_dir):
     return e.select("event_id", F.try_to_number(F.get_json_object("props", "$.k"), F.lit("9999999999")).cast("bigint").alias("k"))
 
 
-@register("f30_relation_family", "SELECT relation, CASE WHEN relation IN ('calls', 'references') THEN 'uses' WHEN relation IN ('extends', 'implements') THEN 'inherits' ELSE relation END AS family, count(*) AS n FROM edges GROUP BY ALL")
+VERB = "['influences', 'supports', 'defines', 'measures', 'part_of', 'depends_on', 'other', relation][length(source) % 8 + 1]"
+
+
+@register("f30_relation_family", f"""SELECT verb, normal, CASE WHEN normal IN ('part_of', 'contains') THEN 'structure' WHEN normal IN ('extends', 'implements') THEN 'contract'
+  WHEN normal IN ('uses', 'depends_on', 'calls', 'imports', 'produces', 'configures', 'validates') THEN 'dependency' ELSE 'association' END AS family, count(*) AS n
+  FROM (SELECT verb, CASE WHEN verb = 'influences' THEN 'configures' WHEN verb IN ('supports', 'defines', 'measures') THEN 'validates' ELSE verb END AS normal
+    FROM (SELECT {VERB} AS verb FROM edges UNION ALL SELECT relation FROM edges)) GROUP BY ALL""")
 def f30_relation_family(spark, sf_dir):
-    families = F.create_map(*[F.lit(x) for pair in {"calls": "uses", "references": "uses", "extends": "inherits", "implements": "inherits"}.items() for x in pair])
     e = view(spark, sf_dir, "edges")
-    return e.groupBy("relation", F.coalesce(F.try_element_at(families, F.col("relation")), F.col("relation")).alias("family")).agg(F.count("*").alias("n"))
+    some = F.array(*map(F.lit, ("influences", "supports", "defines", "measures", "part_of", "depends_on", "other")), F.col("relation"))
+    verbs = e.select(F.get(some, F.length("source") % 8).alias("verb")).unionByName(e.select(F.col("relation").alias("verb")))
+    normal = T.normalize_relation(F.col("verb"))
+    return verbs.groupBy("verb", normal.alias("normal"), T.relation_family(normal).alias("family")).agg(F.count("*").alias("n"))
 
 
 @register("p8_literal_ignore_case", "SELECT path, count(*) AS n FROM (SELECT path, unnest(string_split(body, chr(10))) AS l FROM docs) WHERE contains(lower(l), 'license.') GROUP BY path")
@@ -265,10 +295,10 @@ def x11_circuit_breaker(spark, sf_dir):
 # concepts
 
 def concept_parts(spark, sf_dir):
-    return docs(spark, sf_dir).select(F.col("source").alias("name"), F.substring("body", 1, 80).alias("summary"), F.array("path").alias("sources"))
+    return docs(spark, sf_dir).select(F.col("source").alias("name"), F.col("body").alias("summary"), F.array("path").alias("sources"))
 
 
-@register("g34_merge_concepts", "SELECT source AS slug, min(source) AS name, first(substr(body, 1, 80) ORDER BY length(substr(body, 1, 80)) DESC, substr(body, 1, 80) DESC) AS summary, string_agg(DISTINCT path, ',' ORDER BY path) AS sources FROM docs GROUP BY source")
+@register("g34_merge_concepts", "SELECT source AS slug, min(source) AS name, first(body ORDER BY length(body) DESC, body DESC) AS summary, string_agg(DISTINCT path, ',' ORDER BY path) AS sources FROM docs GROUP BY source")
 def g34_merge_concepts(spark, sf_dir):
     return concepts.merge_concepts(concept_parts(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
 
@@ -300,11 +330,10 @@ def j15_covers(spark, sf_dir):
     return concepts.covers(c, n).withColumn("symbols", F.array_join("symbols", ","))
 
 
-@register("j13_rules", "WITH r AS (SELECT concat('rule', doc_id % 9) AS rule, path AS symbol, CASE WHEN doc_id % 2 = 0 THEN sha256(body) ELSE 'old' END AS fp, sha256(body) AS hash FROM docs JOIN labels USING (doc_id) WHERE scope = 'en') SELECT rule, min(symbol) AS symbol, first(fp <> hash ORDER BY symbol) AS stale FROM r GROUP BY rule ORDER BY rule LIMIT 6")
+@register("j13_rules", "WITH r AS (SELECT concat('rule', doc_id % 9) AS rule, path AS symbol, CASE WHEN doc_id % 2 = 0 THEN sha256(body) ELSE 'old' END AS fp, sha256(body) AS hash FROM docs WHERE scope = 'en') SELECT rule, min(symbol) AS symbol, first(fp <> hash ORDER BY symbol) AS stale FROM r GROUP BY rule ORDER BY rule LIMIT 6")
 def j13_rules(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("hash", F.sha2("body", 256))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
-    r = d.join(labels, "doc_id").select(F.concat(F.lit("rule"), (F.col("doc_id") % 9).cast("string")).alias("rule"), F.col("path").alias("symbol"), F.when(F.col("doc_id") % 2 == 0, F.col("hash")).otherwise(F.lit("old")).alias("fingerprint"))
+    r = d.select(F.concat(F.lit("rule"), (F.col("doc_id") % 9).cast("string")).alias("rule"), F.col("path").alias("symbol"), F.when(F.col("doc_id") % 2 == 0, F.col("hash")).otherwise(F.lit("old")).alias("fingerprint"))
     return concepts.attach_rules(r, d.select(F.col("path").alias("id"), "hash"), d.where("scope = 'en'").select(F.col("path").alias("id")))
 
 

@@ -44,9 +44,9 @@ def z7_impact_table(spark, sf_dir):
     return reports.impact_table(impact.modules(hit, n, changed), 3)
 
 
-@register("z14_live_pages", "WITH l AS (SELECT area AS key, max(made_at) AS stored FROM commits WHERE hash < 'h3' GROUP BY area) SELECT key, floor(epoch(stored))::BIGINT AS stored FROM l WHERE epoch(TIMESTAMP '2024-01-20') - epoch(stored) <= 14 * 86400")
+@register("z14_live_pages", "WITH l AS (SELECT area AS key, max(made_at) AS stored FROM (SELECT area, made_at - to_days(CAST(length(area) % 3 * 12 AS INT)) AS made_at FROM commits) GROUP BY area) SELECT key, floor(epoch(stored))::BIGINT AS stored FROM l WHERE epoch(TIMESTAMP '2024-01-20') - epoch(stored) <= 14 * 86400")
 def z14_live_pages(spark, sf_dir):
-    c = view(spark, sf_dir, "commits").where("hash < 'h3'").select(F.col("area").alias("key"), F.col("made_at").alias("stored"), F.col("author").alias("body"))
+    c = view(spark, sf_dir, "commits").select(F.col("area").alias("key"), F.expr("made_at - make_dt_interval(cast(length(area) % 3 * 12 as int))").alias("stored"), F.col("author").alias("body"))
     return reports.live_pages(c, F.lit("2024-01-20")).select("key", F.floor(F.col("stored").cast("timestamp").cast("double")).cast("bigint").alias("stored"))
 
 

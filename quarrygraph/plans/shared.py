@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder made once for the session."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder made once for the session.
+    On a cluster, where each machine would have its own, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(sc, "_quarry_folder"):
         sc._quarry_folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
     return sc._quarry_folder
