@@ -78,6 +78,25 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                 found.setdefault(n.targets[0].id, set()).add(n.value.func.id)
         return {k: next(iter(v)) for k, v in found.items() if len(v) == 1}
 
+    def own_calls(body: ast.AST) -> list[ast.Call]:
+        """Calls in document order, but for those of definitions inside."""
+        found, rest = [], [*reversed(list(ast.iter_child_nodes(body)))]
+        while rest:
+            n = rest.pop()
+            if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+                continue
+            if isinstance(n, ast.Call):
+                found.append(n)
+            rest.extend(reversed(list(ast.iter_child_nodes(n))))
+        return found
+
+    def charge(body: ast.AST, source: str, owner: str | None) -> None:
+        bound = types_in(body)
+        for n in own_calls(body):
+            name, member, base = callee(n.func)
+            if name:
+                raw.append((source, "calls", path, "python", None, None, name, member, owner if base == "self" else bound.get(base or ""), len(n.args)))
+
     def visit(node: ast.AST, outer: list[str], parent: str, owner: str | None) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
@@ -89,9 +108,9 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                     a = child.args
                     arity = len(a.posonlyargs) + len(a.args) - (1 if owner else 0)
                     variadic = bool(a.vararg or a.defaults)
-                start, end = child.lineno, child.end_lineno or child.lineno
+                start, end = min([child.lineno, *(d.lineno for d in child.decorator_list)]), child.end_lineno or child.lineno
                 body = "\n".join(lines[start - 1 : end])
-                nodes.append((me, child.name, kind, path, owner if not cls else None, "python", start, end, lines[start - 1].strip(), not child.name.startswith("_"), _digest(body), arity, variadic))
+                nodes.append((me, child.name, kind, path, owner if not cls else None, "python", start, end, lines[child.lineno - 1].strip(), not child.name.startswith("_"), _digest(body), arity, variadic))
                 raw.append((parent, "contains", path, "python", me, None, None, None, None, None))
                 if cls:
                     for base in child.bases:
@@ -99,14 +118,7 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                         if name:
                             raw.append((me, "extends", path, "python", None, None, name, False, None, None))
                 visit(child, [*outer, child.name], me, child.name if cls else None)
-                if not cls:
-                    bound = types_in(child)
-                    for n in ast.walk(child):
-                        if isinstance(n, ast.Call):
-                            name, member, base = callee(n.func)
-                            if name:
-                                kind_of = owner if base == "self" else bound.get(base or "")
-                                raw.append((me, "calls", path, "python", None, None, name, member, kind_of, len(n.args)))
+                charge(child, me, None if cls else owner)
             elif isinstance(child, ast.Import):
                 raw.extend((path, "imports", path, "python", None, a.name, None, False, None, None) for a in child.names)
             elif isinstance(child, ast.ImportFrom):
@@ -115,6 +127,7 @@ def _python(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
                 visit(child, outer, parent, owner)
 
     visit(tree, [], path, None)
+    charge(tree, path, None)
     return nodes, raw
 
 

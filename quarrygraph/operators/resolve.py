@@ -7,6 +7,8 @@ node finds none.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ MAX_ANCESTORS = 3
 
 
 def family(language: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair]), language)
+    """A language that the table doesn't name is a family of its own; only no language is an unknown one."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair]), language), language)
 
 
 def reachable(a: Column, b: Column) -> Column:
@@ -131,11 +134,19 @@ def go_imports(raw: DataFrame, files: DataFrame, modules: DataFrame) -> DataFram
     return wanted.join(per_dir, "dir").select("edge", "target")
 
 
-def resolve(raw: DataFrame, nodes: DataFrame, parents: DataFrame) -> DataFrame:
+def _by_rule(*rules: DataFrame) -> DataFrame:
+    """``(edge, target)`` of the first rule that finds one."""
+    numbered = [r.select("edge", "target", F.lit(k).alias("rule")) for k, r in enumerate(rules)]
+    return reduce(DataFrame.unionByName, numbered).groupBy("edge").agg(F.min_by("target", "rule").alias("target"))
+
+
+def resolve(raw: DataFrame, nodes: DataFrame, parents: DataFrame, modules: DataFrame | None = None) -> DataFrame:
     """``(source, target, relation, confidence)``: distinct edges of all rules; imports and heritage that find no node
-    keep their name as an external target, calls and references that find none are dropped."""
+    keep their name as an external target, calls and references that find none are dropped. ``modules(module, dir)``
+    are the modules that Go imports may name."""
     files = nodes.where("kind = 'file'").select("path")
-    paths = relative_imports(raw, files).unionByName(java_imports(raw, files)).unionByName(c_includes(raw, files)).dropDuplicates(["edge"])
+    rules = [relative_imports(raw, files), java_imports(raw, files), c_includes(raw, files), namespace_imports(raw.where("language = 'php'"), files, r"\\", ".php")]
+    paths = _by_rule(*rules, *([go_imports(raw, files, modules)] if modules is not None else []))
     direct = raw.where("target_id is not null").select("edge", F.col("target_id").alias("target"), F.lit("extracted").alias("confidence"))
     found = direct.unionByName(bare_names(raw, nodes)).unionByName(typed_members(raw, nodes, parents)).unionByName(paths.withColumn("confidence", F.lit("extracted")))
     found = found.groupBy("edge").agg(F.min_by("target", "confidence").alias("target"), F.min("confidence").alias("confidence"))

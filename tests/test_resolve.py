@@ -40,3 +40,24 @@ def test_paths(spark):
     go = spark.createDataFrame([raw(1, "x.go", language="go", specifier="ex.org/srv/pkg/db")], RAW)
     modules = spark.createDataFrame([("ex.org", "."), ("ex.org/srv", "srv")], "module string, dir string")
     assert {r.edge: r.target for r in resolve.go_imports(go, files, modules).collect()} == {1: "srv/pkg/db/a.go"}
+
+
+def test_all_rules_together(spark):
+    places = [node(p, p.rsplit("/", 1)[-1], p, language=None, kind="file") for p in ("App/Http/Kernel.php", "srv/pkg/db/a.go", "src/z.h")]
+    nodes = spark.createDataFrame([*places, node("l#f", "f", "l.lua", language="lua")], NODE)
+    edges = spark.createDataFrame([raw(1, "x.php", language="php", specifier="My\\App\\Http\\Kernel", relation="imports"), raw(2, "x.go", language="go", specifier="ex.org/srv/pkg/db", relation="imports"), raw(3, "src/m.c", language="c", specifier="z.h", relation="imports"), raw(4, "b.sh", language="bash", name="f"), raw(5, "k.lua", language="lua", name="f"), raw(6, "x.go", language="go", specifier="fmt", relation="imports")], RAW)
+    modules = spark.createDataFrame([("ex.org/srv", "srv")], "module string, dir string")
+    none = spark.createDataFrame([], "owner string, parent string")
+    got = {(r.source, r.target) for r in resolve.resolve(edges, nodes, none, modules).collect()}
+    assert got == {("x.php", "App/Http/Kernel.php"), ("x.go", "srv/pkg/db/a.go"), ("src/m.c", "src/z.h"), ("k.lua", "l#f"), ("x.go", "fmt")}
+
+
+def test_calls_belong_to_the_innermost_definition():
+    from quarrygraph.operators.extract import _python
+
+    text = "start()\n@mark\ndef outer(x):\n    a(b())\n    def inner():\n        foo()\n    return inner\nclass K:\n    f = made()\n    def m(self):\n        self.go()\n"
+    nodes, edges = _python("p.py", text)
+    calls = {(e[0], e[6]) for e in edges if e[1] == "calls"}
+    assert calls == {("p.py", "start"), ("p.py#outer", "a"), ("p.py#outer", "b"), ("p.py#outer.inner", "foo"), ("p.py#K", "made"), ("p.py#K.m", "go")}
+    outer = next(n for n in nodes if n[0] == "p.py#outer")
+    assert outer[6:9] == (2, 7, "def outer(x):")
