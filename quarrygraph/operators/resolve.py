@@ -39,31 +39,61 @@ def _fits(argc: Column, arity: Column, variadic: Column) -> Column:
 
 def bare_names(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(edge, target, confidence)``: a name that is unique in its file (extracted), else unique among the reachable
-    nodes of other files (inferred). Where some candidates take the number of arguments, only those count."""
-    calls = raw.where("name is not null and not coalesce(via_member, false) and specifier is null").select("edge", "file", "language", "name", "arg_count")
-    symbols = nodes.where("kind <> 'file'").select("id", "name", F.col("path").alias("at"), F.col("language").alias("spoken"), "arity", "variadic")
-    found = calls.join(symbols, "name").where(reachable(F.col("language"), F.col("spoken")))
-    found = found.withColumn("own", F.col("at") == F.col("file")).withColumn("fits", _fits(F.col("arg_count"), F.col("arity"), F.col("variadic")))
-    best = found.groupBy("edge", "own").agg(F.max("fits").alias("any"))
-    kept = found.join(best, ["edge", "own"]).where("fits or not any")
-    own, other = _one(kept.where("own"), "edge", "id"), _one(kept.where("not own"), "edge", "id")
-    blocked = kept.where("own").select("edge").distinct()
-    return own.withColumn("confidence", F.lit("extracted")).unionByName(other.join(blocked, "edge", "left_anti").withColumn("confidence", F.lit("inferred")))
-
-
-def typed_members(raw: DataFrame, nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """``(edge, target, confidence)``: a member of the receiver's type, or of its ancestors up to three levels; the
-    first level with candidates decides, and several there are none. ``parents(owner, parent)``."""
-    calls = raw.where("via_member and recv_type is not null and name is not null").select("edge", "name", F.col("recv_type").alias("owner"))
-    members = nodes.where("owner is not null").select("id", "name", "owner")
+    nodes of other files (inferred). Where some candidates take the number of arguments, only those count.
+
+    A call whose file has no candidate sees all others alike, so its answer hangs on name, family and number of
+    arguments only: symbols are counted by class first, and a common name never meets its calls one by one."""
+    calls = raw.where("name is not null and not coalesce(via_member, false) and specifier is null").select("edge", "file", family(F.col("language")).alias("family"), "name", "arg_count")
+    symbols = nodes.where("kind <> 'file'").select("id", "name", F.col("path").alias("file"), family(F.col("language")).alias("spoken"), "arity", "variadic")
+    meets = F.col("family").isNull() | F.col("spoken").isNull() | (F.col("family") == F.col("spoken"))
+    fits = _fits(F.col("arg_count"), F.col("arity"), F.col("variadic"))
+
+    def only(rows: DataFrame, *keys: str) -> DataFrame:
+        counted = rows.withColumn("fits", fits).groupBy(*keys).agg(
+            F.sum(F.when(F.col("fits"), F.col("n"))).alias("fit"), F.sum("n").alias("any"), F.min(F.when(F.col("fits"), F.col("id"))).alias("id_fit"), F.min("id").alias("id_any")
+        )
+        return counted.select(*keys, F.coalesce("fit", "any").alias("n"), F.coalesce("id_fit", "id_any").alias("target"))
+
+    own = only(calls.join(symbols.withColumn("n", F.lit(1)), ["name", "file"]).where(meets), "edge")
+    rest = calls.join(own, "edge", "left_anti")
+    classes = symbols.groupBy("name", "spoken", "arity", "variadic").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    asked = rest.select("name", "family", "arg_count").distinct()
+    known = only(asked.join(classes, "name").where(meets), "name", "family", "arg_count").where("n = 1").alias("k")
+    r = rest.alias("r")
+    other = r.join(known, (F.col("r.name") == F.col("k.name")) & F.col("r.family").eqNullSafe(F.col("k.family")) & F.col("r.arg_count").eqNullSafe(F.col("k.arg_count"))).select("edge", "target")
+    return own.where("n = 1").select("edge", "target", F.lit("extracted").alias("confidence")).unionByName(other.withColumn("confidence", F.lit("inferred")))
+
+
+def _decided(found: DataFrame, *per: str) -> DataFrame:
+    """``(edge, n, best, swift)`` of the candidates of an edge (and of each ``per``): those that take the number of
+    arguments, if any do; ``best`` is one of the call's own file if there is one."""
+    best = lambda c: F.min(F.when(c, F.struct((F.col("at") != F.col("file")).alias("far"), F.col("id"))))
+    fits = _fits(F.col("arg_count"), F.col("arity"), F.col("variadic"))
+    rows = found.groupBy("edge", *per).agg(F.count_if(fits).alias("fit"), F.count("*").alias("any"), best(fits).alias("b"), best(F.lit(True)).alias("a"), F.max(F.coalesce(F.col("language") == "swift", F.lit(False))).alias("swift"))
+    return rows.select("edge", F.when(F.col("fit") > 0, F.col("fit")).otherwise(F.col("any")).alias("n"), F.coalesce("b", "a").alias("best"), "swift")
+
+
+def typed_members(raw: DataFrame, nodes: DataFrame, parents: DataFrame, traits: DataFrame | None = None) -> DataFrame:
+    """``(edge, target, confidence)``: a member of the receiver's type, of a trait that it uses, or of its ancestors up
+    to three levels. The first level with candidates decides: one candidate, or of several the call's own file's
+    (not in Swift, where they are overloads), else none. ``parents(owner, parent)``, ``traits(owner, trait)``."""
+    calls = raw.where("via_member and recv_type is not null and name is not null").select("edge", "name", F.col("recv_type").alias("owner"), "file", "language", "arg_count")
+    members = nodes.where("owner is not null").select("id", "name", "owner", F.col("path").alias("at"), F.col("language").alias("spoken"), "arity", "variadic")
+    meets = reachable(F.col("language"), F.col("spoken"))
+    confidence = F.when(F.col("best.far"), "inferred").otherwise("extracted")
     out, level = None, calls
     for depth in range(MAX_ANCESTORS + 1):
-        hit = level.join(members, ["owner", "name"]).groupBy("edge").agg(F.count_distinct("id").alias("n"), F.min("id").alias("target"))
-        one = hit.where("n = 1").select("edge", "target", F.lit("extracted" if depth == 0 else "inferred").alias("confidence"))
+        hit = _decided(level.join(members, ["owner", "name"]).where(meets))
+        rest = level.join(hit, "edge", "left_anti")
+        one = hit.where("n = 1 or (not best.far and not swift)").select("edge", F.col("best.id").alias("target"), confidence.alias("confidence"))
+        if traits is not None:
+            used = rest.join(traits, "owner").drop("owner").join(members.withColumnRenamed("owner", "trait"), ["trait", "name"]).where(meets)
+            lent = _decided(used, "trait").groupBy("edge").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
+            rest = rest.join(lent, "edge", "left_anti")
+            one = one.unionByName(lent.where("n = 1").select("edge", F.col("best.id").alias("target"), confidence.alias("confidence")))
         out = one if out is None else out.unionByName(one)
         if depth < MAX_ANCESTORS:
-            rest = level.join(hit.select("edge"), "edge", "left_anti")
-            level = rest.join(parents, "owner").select("edge", "name", F.col("parent").alias("owner")).distinct()
+            level = rest.join(parents, "owner").drop("owner").withColumnRenamed("parent", "owner").distinct()
     return out
 
 
@@ -94,7 +124,7 @@ def suffix_index(files: DataFrame) -> DataFrame:
 def unique_suffixes(raw: DataFrame, files: DataFrame, wanted: Column) -> DataFrame:
     """``(edge, target)``: the only file whose path ends in the wanted tail; ``wanted`` is an expression over ``raw``."""
     keyed = raw.select("edge", wanted.alias("suffix")).where("suffix is not null")
-    return _one(keyed.join(suffix_index(files), "suffix"), "edge", "path")
+    return keyed.join(_one(suffix_index(files), "suffix", "path"), "suffix").select("edge", "target")
 
 
 def java_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
@@ -117,9 +147,39 @@ def namespace_imports(raw: DataFrame, files: DataFrame, separator: str, extensio
     """The longest tail of a namespaced name that ends any file's path decides; if it ends several, there is none."""
     parts = F.filter(F.split("specifier", separator), lambda x: x != "")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct((F.size(parts) - k).alias("size"), F.concat(F.array_join(F.slice(parts, k, F.size(parts)), "/"), F.lit(extension)).alias("suffix")))
-    keyed = raw.where("specifier is not null").select("edge", F.explode(tails).alias("t")).select("edge", "t.size", "t.suffix").join(suffix_index(files), "suffix")
-    best = keyed.groupBy("edge").agg(F.max("size").alias("size"))
-    return _one(keyed.join(best, ["edge", "size"]), "edge", "path")
+    ends = suffix_index(files).groupBy("suffix").agg(F.count("*").alias("n"), F.min("path").alias("target"))
+    keyed = raw.where("specifier is not null").select("edge", F.explode(tails).alias("t")).select("edge", "t.size", "t.suffix").join(ends, "suffix")
+    best = keyed.groupBy("edge").agg(F.max_by(F.struct("n", "target"), "size").alias("b"))
+    return best.where("b.n = 1").select("edge", "b.target")
+
+
+def go_modules(texts: DataFrame) -> DataFrame:
+    """``(module, dir)`` of the module files among ``texts(path, text)``."""
+    rows = texts.where(F.substring_index("path", "/", -1) == "go.mod")
+    found = rows.select(F.regexp_extract("text", r"(?m)^\s*module\s+(\S+)", 1).alias("module"), F.regexp_replace("path", r"/?go\.mod$", "").alias("at"))
+    return found.where("module <> ''").select("module", F.when(F.col("at") == "", ".").otherwise(F.col("at")).alias("dir"))
+
+
+def rust_uses(raw: DataFrame, files: DataFrame) -> DataFrame:
+    """``(edge, target)`` of uses below ``crate``: the file's crate is its longest root (a directory with ``lib.rs`` or
+    ``main.rs``); in it the longest head of the name that is a module's file decides, and none if two are. A use of at
+    most one part may mean the root's only file itself."""
+    paths = files.select("path").distinct()
+    roots = paths.where(F.substring_index("path", "/", -1).isin("lib.rs", "main.rs")).select(F.regexp_replace("path", "/?[^/]+$", "").alias("root"))
+    dirs = F.slice(F.split("file", "/"), F.lit(1), F.size(F.split("file", "/")) - 1)
+    heads = F.transform(F.sequence(F.lit(0), F.size(dirs)), lambda k: F.array_join(F.slice(dirs, F.lit(1), k), "/"))
+    some = raw.where("language = 'rust' and specifier rlike '^crate\\\\b'").select("edge", "file", F.filter(F.split(F.regexp_replace("specifier", "^crate", ""), "::"), lambda x: x != "").alias("parts"))
+    owned = some.select("edge", "parts", F.explode(heads).alias("root")).join(roots.distinct(), "root").groupBy("edge").agg(F.max_by(F.struct("root", "parts"), F.length("root")).alias("o")).select("edge", "o.*")
+    below = lambda tail: F.when(F.col("root") == "", tail).otherwise(F.concat("root", F.lit("/"), tail))
+    name = lambda k: F.array_join(F.slice("parts", F.lit(1), k), "/")
+    modules = F.flatten(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array(*[F.struct(k.alias("size"), below(F.concat(name(k), F.lit(end))).alias("path")) for end in (".rs", "/mod.rs")])))
+    own = F.array(*[F.struct(F.lit(0).alias("size"), below(F.lit(f)).alias("path")) for f in ("lib.rs", "main.rs")])
+    tries = F.concat(F.when(F.size("parts") > 0, modules).otherwise(F.slice(own, 1, 0)), F.when(F.size("parts") <= 1, own).otherwise(F.slice(own, 1, 0)))
+    hits = owned.select("edge", F.explode(tries).alias("t")).select("edge", "t.size", "t.path").join(paths, "path")
+    sized = hits.groupBy("edge", "size").agg(F.count("*").alias("n"), F.min("path").alias("target"))
+    # two files of one module end the search among modules; the root's file may still stand for a single part
+    top = sized.groupBy("edge").agg(F.max_by(F.struct("n", "target"), "size").alias("m"), F.max(F.when(F.col("size") == 0, F.struct("n", "target"))).alias("own"))
+    return top.select("edge", F.when(F.col("m.n") == 1, F.col("m.target")).when(F.col("own.n") == 1, F.col("own.target")).alias("target")).where("target is not null")
 
 
 def go_imports(raw: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
@@ -140,15 +200,15 @@ def _by_rule(*rules: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, numbered).groupBy("edge").agg(F.min_by("target", "rule").alias("target"))
 
 
-def resolve(raw: DataFrame, nodes: DataFrame, parents: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+def resolve(raw: DataFrame, nodes: DataFrame, parents: DataFrame, modules: DataFrame | None = None, traits: DataFrame | None = None) -> DataFrame:
     """``(source, target, relation, confidence)``: distinct edges of all rules; imports and heritage that find no node
     keep their name as an external target, calls and references that find none are dropped. ``modules(module, dir)``
-    are the modules that Go imports may name."""
+    are the modules that Go imports may name, ``traits(owner, trait)`` the traits that classes use."""
     files = nodes.where("kind = 'file'").select("path")
-    rules = [relative_imports(raw, files), java_imports(raw, files), c_includes(raw, files), namespace_imports(raw.where("language = 'php'"), files, r"\\", ".php")]
+    rules = [relative_imports(raw, files), java_imports(raw, files), c_includes(raw, files), rust_uses(raw, files), namespace_imports(raw.where("language = 'php'"), files, r"\\", ".php")]
     paths = _by_rule(*rules, *([go_imports(raw, files, modules)] if modules is not None else []))
     direct = raw.where("target_id is not null").select("edge", F.col("target_id").alias("target"), F.lit("extracted").alias("confidence"))
-    found = direct.unionByName(bare_names(raw, nodes)).unionByName(typed_members(raw, nodes, parents)).unionByName(paths.withColumn("confidence", F.lit("extracted")))
+    found = direct.unionByName(bare_names(raw, nodes)).unionByName(typed_members(raw, nodes, parents, traits)).unionByName(paths.withColumn("confidence", F.lit("extracted")))
     found = found.groupBy("edge").agg(F.min_by("target", "confidence").alias("target"), F.min("confidence").alias("confidence"))
     joined = raw.join(found, "edge", "left")
     outside = F.when(F.col("relation").isin("imports", "extends", "implements"), F.coalesce("specifier", "name"))

@@ -24,7 +24,37 @@ def test_members_over_ancestors(spark):
     parents = spark.createDataFrame([("C", "B"), ("B", "A"), ("A", "C")], "owner string, parent string")
     edges = spark.createDataFrame([raw(1, name="run", member=True, recv="C"), raw(2, name="go", member=True, recv="B"), raw(3, name="two", member=True, recv="C"), raw(4, name="nope", member=True, recv="A")], RAW)
     got = {r.edge: (r.target, r.confidence) for r in resolve.typed_members(edges, nodes, parents).collect()}
-    assert got == {1: ("m#A.run", "inferred"), 2: ("m#B.go", "extracted")}
+    assert got == {1: ("m#A.run", "inferred"), 2: ("m#B.go", "inferred")}  # extracted is for the call's own file only
+
+
+def test_members_of_traits_and_overloads(spark):
+    nodes = spark.createDataFrame([
+        node("t#T.log", "log", "t.php", "T", "php"), node("u#U.log", "log", "u.php", "U", "php"), node("t#T.put", "put", "t.php", "T", "php"), node("p#P.log", "log", "p.php", "P", "php"), node("c#C.put", "put", "c.php", "C", "php"),
+        node("s#S.save", "save", "s.swift", "S", "swift", 1), node("s#S.save~2", "save", "s.swift", "S", "swift", 1), node("j#J.one", "one", "J.java", "J", "java", 1), node("j#J.one~2", "one", "J.java", "J", "java", 2), node("j#J.any", "any", "J.java", "J", "java", 1), node("k#J.any", "any", "K.java", "J", "java", 1),
+    ], NODE)
+    traits = spark.createDataFrame([("C", "T"), ("D", "T"), ("D", "U")], "owner string, trait string")
+    parents = spark.createDataFrame([("C", "P")], "owner string, parent string")
+    edges = spark.createDataFrame([
+        raw(1, "c.php", "log", "php", member=True, recv="C"),  # the trait's before the parent's
+        raw(2, "c.php", "put", "php", member=True, recv="C"),  # the class's own before the trait's
+        raw(3, "d.php", "log", "php", member=True, recv="D"),  # two traits: none
+        raw(4, "s.swift", "save", "swift", member=True, recv="S", argc=1),  # overloads by type: none
+        raw(5, "J.java", "one", "java", member=True, recv="J", argc=2),
+        raw(6, "K.java", "any", "java", member=True, recv="J", argc=1),  # the call's own file's
+        raw(7, "x.java", "any", "java", member=True, recv="J", argc=1),
+    ], RAW)
+    got = {r.edge: (r.target, r.confidence) for r in resolve.typed_members(edges, nodes, parents, traits).collect()}
+    assert got == {1: ("t#T.log", "inferred"), 2: ("c#C.put", "extracted"), 5: ("j#J.one~2", "extracted"), 6: ("k#J.any", "extracted")}
+
+
+def test_rust_uses_and_go_modules(spark):
+    files = spark.createDataFrame([(p,) for p in ("src/lib.rs", "src/net.rs", "src/net/tcp/mod.rs", "src/two.rs", "src/two/mod.rs", "tools/x/src/main.rs", "tools/x/src/net.rs", "tests/it.rs")], "path string")
+    uses = {1: ("src/a.rs", "crate::net::tcp::Conn"), 2: ("src/a.rs", "crate::net::Client"), 3: ("src/a.rs", "crate::Item"), 4: ("tools/x/src/b.rs", "crate::net"), 5: ("tests/it.rs", "crate::net"), 6: ("src/a.rs", "crate::two::X"), 7: ("src/a.rs", "crate::none::X"), 8: ("src/a.rs", "std::fmt"), 9: ("src/a.rs", "crate::"), 10: ("src/a.rs", "crate::two")}
+    edges = spark.createDataFrame([raw(k, f, language="rust", specifier=u, relation="imports") for k, (f, u) in uses.items()], RAW)
+    got = {r.edge: r.target for r in resolve.rust_uses(edges, files).collect()}
+    assert got == {1: "src/net/tcp/mod.rs", 2: "src/net.rs", 3: "src/lib.rs", 4: "tools/x/src/net.rs", 9: "src/lib.rs", 10: "src/lib.rs"}
+    texts = spark.createDataFrame([("go.mod", "// x\nmodule ex.org/a\n\ngo 1.22\n"), ("srv/go.mod", "module  ex.org/srv\n"), ("bad/go.mod", "nothing"), ("x/y.go", "module no")], "path string, text string")
+    assert {tuple(r) for r in resolve.go_modules(texts).collect()} == {("ex.org/a", "."), ("ex.org/srv", "srv")}
 
 
 def test_paths(spark):
