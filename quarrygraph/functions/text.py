@@ -251,3 +251,45 @@ def short_label(x: Column, cap: int = 30) -> Column:
     cut = F.substr(bare, F.lit(1), F.when(at > cap / 2, at).otherwise(cap))
     trimmed = lambda c: F.regexp_replace(c, r"\s+$", "")
     return F.when(F.length(bare) <= cap, bare).when(F.length(clause).between(8, cap), trimmed(clause)).otherwise(F.concat(trimmed(cut), F.lit("…")))
+
+
+def since_label(days: Column) -> Column:
+    """How long ago, in whole days rounded: today, yesterday, then days, months and years."""
+    d = F.greatest(F.floor(days + 0.5), F.lit(0)).cast("bigint")
+    months, years = F.floor(d / 30 + 0.5).cast("string"), F.floor(d / 365 + 0.5).cast("string")
+    return F.when(d < 1, "today").when(d == 1, "yesterday").when(d < 31, F.concat(d.cast("string"), F.lit("d ago"))).when(F.floor(d / 30 + 0.5) < 24, F.concat(months, F.lit("mo ago"))).otherwise(F.concat(years, F.lit("y ago")))
+
+
+def format_dollars(usd: Column) -> Column:
+    """Two decimals; what is less than a cent is never shown as nothing."""
+    return F.when(usd < 0.01, "<$0.01").when(usd.isNotNull(), F.concat(F.lit("$"), F.format_string("%.2f", usd.cast("double"))))
+
+
+def version_key(version: Column) -> Column:
+    """The release part of a dotted version as numbers without zeros at the end; such arrays order as versions do."""
+    parts = F.transform(F.split(F.substring_index(version, "-", 1), r"\."), lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0)))
+    return F.filter(parts, lambda x, k: F.exists(F.slice(parts, k + 1, F.size(parts)), lambda y: y != 0))
+
+
+def is_newer(candidate: Column, current: Column) -> Column:
+    return F.coalesce((candidate != "") & (version_key(candidate) > version_key(current)), F.lit(False))
+
+
+def exported(language: Column, name: Column, head: Column) -> Column:
+    """Whether a definition can be seen from outside, by its language's own rule: ``head`` is the text of its
+    declaration. Languages without a rule show everything."""
+    before = F.regexp_extract(head, r"^((?:[\w@]+(?:\([^)]*\))?\s+)*)", 1)  # modifiers and keywords in front of the name
+    has = lambda *words: before.rlike(r"(^|\s)(" + "|".join(words) + r")(\s|$)")
+    own = F.substring(F.substring_index(name, ".", -1), 1, 1)
+    return F.coalesce(
+        F.when(language == "go", (own != F.lower(own)) & (own == F.upper(own)))
+        .when(language == "java", has("public", "protected"))
+        .when(language == "kotlin", ~has("private", "internal", "protected"))
+        .when(language == "swift", ~has("private", "fileprivate"))
+        .when(language == "php", ~has("private", "protected"))
+        .when(language.isin("typescript", "javascript", "vue"), has("export"))
+        .when(language == "r", ~name.startswith("."))
+        .when(language == "python", ~F.substring_index(name, ".", -1).startswith("_"))
+        .when(language == "rust", head.rlike(r"^pub\b")),
+        F.lit(True),
+    )

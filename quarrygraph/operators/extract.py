@@ -13,6 +13,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarrygraph.functions import text as T
 
 NODE = "id string, name string, kind string, path string, owner string, language string, span_start int, span_end int, signature string, exported boolean, body_hash string, arity int, variadic boolean"
 RAW = "source string, relation string, file string, language string, target_id string, specifier string, name string, via_member boolean, recv_type string, arg_count int"
@@ -194,7 +197,8 @@ def _run(which: int, columns: list[str]):
 
 def extract_nodes(files: DataFrame) -> DataFrame:
     """Nodes of ``files(path, text, language)``."""
-    return files.select("path", "text", "language").mapInPandas(_run(0, _FIELDS), NODE)
+    rows = files.select("path", "text", "language").mapInPandas(_run(0, _FIELDS), NODE)
+    return rows.withColumn("exported", (F.col("kind") == "file") | T.exported(F.col("language"), F.col("name"), F.col("signature")))
 
 
 def extract_raw_edges(files: DataFrame) -> DataFrame:

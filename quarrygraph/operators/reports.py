@@ -146,3 +146,60 @@ def rank_scopes(nodes: DataFrame, edges: DataFrame, lexical: DataFrame, scope: s
 def latest_rate(sessions: DataFrame) -> DataFrame:
     """One row ``(session, rate)``: millionths of a dollar a token in the latest session."""
     return sessions.agg(F.max_by(F.struct("session", "micros", "tokens"), F.struct("mtime", "session")).alias("s")).select("s.session", F.round(F.col("s.micros") / F.nullif("s.tokens", F.lit(0)), 6).alias("rate"))
+
+
+def _named(labels: Column) -> Column:
+    return F.array_join(labels, ", ")
+
+
+def test_headline(areas: DataFrame) -> DataFrame:
+    """``(report, headline)``: whether a change brought its tests, areas without any first. ``areas(report, place,
+    label, tests)`` with tests none, stale or changed; a report has a handful of areas."""
+    of = lambda state: F.transform(F.array_sort(F.collect_list(F.when(F.col("tests") == state, F.struct("place", "label")))), lambda x: x["label"])
+    rows = areas.groupBy("report").agg(of("none").alias("none"), of("stale").alias("stale"), F.count_if(F.col("tests") == "changed").alias("changed"))
+    parts = F.array_compact(
+        F.array(
+            F.when(F.size("none") > 0, F.concat(F.lit("**no test reaches "), _named(F.col("none")), F.lit("**"))),
+            F.when(F.size("stale") > 0, F.concat(_named(F.col("stale")), F.when(F.size("stale") == 1, " has tests").otherwise(" have tests"), F.lit(" the diff did not touch"))),
+            F.when(F.col("changed") == 1, F.lit("1 area updated its tests")).when(F.col("changed") > 1, F.concat(F.col("changed").cast("string"), F.lit(" areas updated their tests"))),
+        )
+    )
+    return rows.where(F.size(parts) > 0).select("report", F.concat(F.lit("Tests: "), F.array_join(parts, "; "), F.lit(".")).alias("headline"))
+
+
+def pack_text(title: Column, pointer: Column, snippet: Column, code: Column, place: Column) -> Column:
+    """A hit as it stands in a pack: its place, title and first pointer, 140 characters of its snippet, its code."""
+    first = F.trim(F.substring_index(F.coalesce(pointer, F.lit("")), ",", 1))
+    short = F.substring(F.trim(F.regexp_replace(F.coalesce(snippet, F.lit("")), r"\s+", " ")), 1, 140)
+    return F.concat(
+        F.lit(" "), place.cast("string"), F.lit(". "), title, F.lit(": "), first, F.when(short != "", F.concat(F.lit("\n    "), short)).otherwise(""),
+        F.when(code != "", F.concat(F.lit("\n```\n"), code, F.lit("\n```"))).otherwise(""),
+    )
+
+
+def pack_savings(hits: DataFrame, baselines: DataFrame, header: str, most: int = 5) -> DataFrame:
+    """``(query, pack, saved)`` in tokens: the pack of the first hits against its files read whole; nothing is claimed
+    where the pack is longer. ``hits(query, place, title, pointer, snippet, code)``, ``baselines(query, chars)``."""
+    block = pack_text(F.col("title"), F.col("pointer"), F.col("snippet"), F.col("code"), F.col("place"))
+    packs = hits.where(F.col("place") <= most).groupBy("query").agg((F.sum(F.length(block) + 1) + len(header)).alias("n"))
+    pack, base = T.to_tokens(F.col("n")), T.to_tokens(F.col("chars"))
+    return packs.join(baselines, "query").select("query", pack.alias("pack"), F.when((F.col("chars") > 0) & (base > pack), base - pack).otherwise(0).cast("bigint").alias("saved"))
+
+
+def rules_by_file(rules: DataFrame, most: int = 40) -> DataFrame:
+    """``(file, rules)``: the first rules in order, those of no file under the empty name; the file is what stands
+    before ``#`` in the symbol. ``rules(place, symbol, rule)``."""
+    file = F.when(F.col("symbol").contains("#"), F.substring_index("symbol", "#", 1)).otherwise("")
+    head = rules.orderBy("place").limit(most)
+    return head.groupBy(file.alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "rule"))), lambda x: x["rule"]).alias("rules"))
+
+
+def call_quotes(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(id, line, quote)``: the line in a hit's span that names the symbol asked about; only for hits one step away,
+    since farther ones name something in between. ``hits(id, path, name, depth, span_start, span_end)``, where ``name``
+    is the symbol's; ``texts(path, body)``."""
+    near = hits.where((F.col("depth") <= 1) & F.col("path").isNotNull())
+    numbered = near.join(texts, "path").select("id", "name", F.posexplode(F.slice(F.split("body", "\n"), F.greatest("span_start", F.lit(1)), F.greatest(F.col("span_end") - F.col("span_start") + 1, F.lit(0)))).alias("k", "text"), "span_start")
+    at = numbered.where(F.expr(r"text rlike concat('\\b\\Q', name, '\\E\\b')"))
+    one = at.groupBy("id").agg(F.min(F.struct((F.col("k") + F.col("span_start")).alias("line"), F.trim("text").alias("quote"))).alias("q"))
+    return one.select("id", F.col("q.line").cast("bigint").alias("line"), "q.quote")

@@ -64,37 +64,37 @@ def bare_names(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.where("n = 1").select("edge", "target", F.lit("extracted").alias("confidence")).unionByName(other.withColumn("confidence", F.lit("inferred")))
 
 
-def _decided(found: DataFrame, *per: str) -> DataFrame:
-    """``(edge, n, best, swift)`` of the candidates of an edge (and of each ``per``): those that take the number of
-    arguments, if any do; ``best`` is one of the call's own file if there is one."""
-    best = lambda c: F.min(F.when(c, F.struct((F.col("at") != F.col("file")).alias("far"), F.col("id"))))
-    fits = _fits(F.col("arg_count"), F.col("arity"), F.col("variadic"))
-    rows = found.groupBy("edge", *per).agg(F.count_if(fits).alias("fit"), F.count("*").alias("any"), best(fits).alias("b"), best(F.lit(True)).alias("a"), F.max(F.coalesce(F.col("language") == "swift", F.lit(False))).alias("swift"))
-    return rows.select("edge", F.when(F.col("fit") > 0, F.col("fit")).otherwise(F.col("any")).alias("n"), F.coalesce("b", "a").alias("best"), "swift")
+def _lineage(owners: DataFrame, parents: DataFrame) -> DataFrame:
+    """``(owner, type, depth)``: each owner and its ancestors up to three levels, at their least depth."""
+    rows = owners.withColumn("t0", F.col("owner"))
+    for d in range(MAX_ANCESTORS):
+        rows = rows.join(parents.select(F.col("owner").alias(f"t{d}"), F.col("parent").alias(f"t{d + 1}")), f"t{d}", "left")
+    each = F.array(*[F.struct(F.col(f"t{d}").alias("type"), F.lit(d).alias("depth")) for d in range(MAX_ANCESTORS + 1)])
+    return rows.select("owner", F.explode(each).alias("a")).where("a.type is not null").groupBy("owner", "a.type").agg(F.min("a.depth").alias("depth"))
 
 
 def typed_members(raw: DataFrame, nodes: DataFrame, parents: DataFrame, traits: DataFrame | None = None) -> DataFrame:
     """``(edge, target, confidence)``: a member of the receiver's type, of a trait that it uses, or of its ancestors up
     to three levels. The first level with candidates decides: one candidate, or of several the call's own file's
-    (not in Swift, where they are overloads), else none. ``parents(owner, parent)``, ``traits(owner, trait)``."""
+    (not in Swift, where they are overloads), else none. ``parents(owner, parent)``, ``traits(owner, trait)``.
+
+    Lineages are made of types, not of calls; then one join finds all candidates and the least level is taken."""
     calls = raw.where("via_member and recv_type is not null and name is not null").select("edge", "name", F.col("recv_type").alias("owner"), "file", "language", "arg_count")
-    members = nodes.where("owner is not null").select("id", "name", "owner", F.col("path").alias("at"), F.col("language").alias("spoken"), "arity", "variadic")
-    meets = reachable(F.col("language"), F.col("spoken"))
-    confidence = F.when(F.col("best.far"), "inferred").otherwise("extracted")
-    out, level = None, calls
-    for depth in range(MAX_ANCESTORS + 1):
-        hit = _decided(level.join(members, ["owner", "name"]).where(meets))
-        rest = level.join(hit, "edge", "left_anti")
-        one = hit.where("n = 1 or (not best.far and not swift)").select("edge", F.col("best.id").alias("target"), confidence.alias("confidence"))
-        if traits is not None:
-            used = rest.join(traits, "owner").drop("owner").join(members.withColumnRenamed("owner", "trait"), ["trait", "name"]).where(meets)
-            lent = _decided(used, "trait").groupBy("edge").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
-            rest = rest.join(lent, "edge", "left_anti")
-            one = one.unionByName(lent.where("n = 1").select("edge", F.col("best.id").alias("target"), confidence.alias("confidence")))
-        out = one if out is None else out.unionByName(one)
-        if depth < MAX_ANCESTORS:
-            level = rest.join(parents, "owner").drop("owner").withColumnRenamed("parent", "owner").distinct()
-    return out
+    members = nodes.where("owner is not null").select("id", "name", F.col("owner").alias("type"), F.col("path").alias("at"), F.col("language").alias("spoken"), "arity", "variadic")
+    lineage = _lineage(calls.select("owner").distinct(), parents.distinct())
+    types = lineage.select("owner", "type", (2 * F.col("depth")).alias("level"))
+    if traits is not None:
+        lent = lineage.join(traits.select(F.col("owner").alias("type"), "trait").distinct(), "type").groupBy("owner", F.col("trait").alias("type")).agg(F.min(2 * F.col("depth") + 1).alias("level"))
+        types = types.unionByName(lent)
+    found = calls.join(types, "owner").join(members, ["type", "name"]).where(reachable(F.col("language"), F.col("spoken")))
+    # of a level's candidates (of a trait's alone) those that take the number of arguments, if any do; the nearest first
+    fits, trait = _fits(F.col("arg_count"), F.col("arity"), F.col("variadic")), F.when(F.col("level") % 2 == 1, F.col("type"))
+    best = lambda c: F.min(F.when(c, F.struct((F.col("at") != F.col("file")).alias("far"), F.col("id"))))
+    per = found.groupBy("edge", "level", trait.alias("trait")).agg(F.count_if(fits).alias("fit"), F.count("*").alias("any"), best(fits).alias("b"), best(F.lit(True)).alias("a"), F.max(F.coalesce(F.col("language") == "swift", F.lit(False))).alias("swift"))
+    level = per.groupBy("edge", "level").agg(F.sum(F.when(F.col("fit") > 0, F.col("fit")).otherwise(F.col("any"))).alias("n"), F.min(F.coalesce("b", "a")).alias("best"), F.max("swift").alias("swift"))
+    first = level.groupBy("edge").agg(F.min_by(F.struct("level", "n", "best", "swift"), "level").alias("f")).select("edge", "f.*")
+    sure = first.where("n = 1 or (level % 2 = 0 and not best.far and not swift)")
+    return sure.select("edge", F.col("best.id").alias("target"), F.when(F.col("best.far"), "inferred").otherwise("extracted").alias("confidence"))
 
 
 def _normal(path: Column) -> Column:

@@ -152,3 +152,46 @@ def admitted(events: DataFrame) -> DataFrame:
         .when((F.col("event") == "pull_request") & F.coalesce("draft", F.lit(False)), "draft")
     )
     return events.withColumn("skip", reason)
+
+
+#: Fixed names of tools that read sources, and of shells.
+SOURCE_TOOLS, SHELLS = ("read", "grep", "glob", "search"), ("bash", "shell")
+
+
+def tool_use(tool: Column, command: Column, own_tools: list[str], own_command: str) -> Column:
+    """``own``, ``source`` or null for a use of a tool: an own tool under any server prefix, a tool that reads sources,
+    or a shell whose command line calls our program at the start of one of its parts."""
+    t = F.lower(F.coalesce(tool, F.lit("")))
+    called = command.rlike(rf"(?i)(^|[|&;]\s*)(npx\s+(-y\s+)?)?{own_command}\b")
+    return F.when(F.element_at(F.split(t, "[:./]|__"), -1).isin(own_tools), "own").when(t.isin(*SOURCE_TOOLS), "source").when(t.isin(*SHELLS) & F.coalesce(called, F.lit(False)), "own")
+
+
+def mix_label(own: Column, source: Column) -> Column:
+    """The share of our own reads in whole percent."""
+    own, source = F.coalesce(own, F.lit(0)), F.coalesce(source, F.lit(0))
+    return F.when(own + source == 0, "no retrieval yet").otherwise(F.concat(F.floor(100 * own / (own + source) + 0.5).cast("string"), F.lit("%")))
+
+
+def latest_session(sessions_: DataFrame) -> DataFrame:
+    """The session changed last as one row; of several the greatest id. ``sessions_(session, mtime, ...)``."""
+    return sessions_.agg(F.max_by(F.struct(*sessions_.columns), F.struct("mtime", "session")).alias("s")).where("s is not null").select("s.*")
+
+
+def price_of(model: Column, rates: list[tuple[str, float]]) -> Column:
+    """Dollars a million tokens by the first pattern that the model's name matches at its start; null for none. Prices
+    change, so the table is the caller's."""
+    out = F.lit(None).cast("double")
+    for pattern, usd in reversed(rates):
+        out = F.when(model.rlike("^(?:" + pattern + ")"), F.lit(float(usd))).otherwise(out)
+    return out
+
+
+def turn_micros(price: Column, fresh: Column, cache_write: Column, cache_read: Column) -> Column:
+    """Millionths of a dollar of a turn's input; null where the price isn't known."""
+    return F.floor((fresh + CACHE_WRITE * cache_write + CACHE_READ * cache_read) * price + 0.5).cast("bigint")
+
+
+def dollars_saved(saved: Column, micros: Column, tokens: Column) -> Column:
+    """Saved tokens at the rate that the session has paid so far; null where nothing was billed or saved."""
+    known = (F.coalesce(micros, F.lit(0)) != 0) & (F.coalesce(tokens, F.lit(0)) != 0) & (saved > 0)
+    return F.when(known, saved * (micros / tokens) / 1_000_000)

@@ -7,10 +7,12 @@ each stream against its batch form.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from quarrygraph import schema
 from quarrygraph.operators import sessions
+from quarrygraph.plans.shared import shared_folder
 
 
 def event_stream(spark: SparkSession, path: str, of: StructType = schema.EVENTS, files_per_batch: int = 8) -> DataFrame:
@@ -97,10 +100,25 @@ def latest_per_key(items: DataFrame, path: str, key: str = "key", order: str = "
 
 
 def run_all(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns what it gave, for tests and small reports."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns what it gave, for tests and reports: each batch is written by its
+    number to the shared folder, so nothing gathers on the driver and a batch that runs again replaces itself. In
+    complete mode only the last batch counts."""
+    folder = f"{shared_folder(stream.sparkSession)}/streams/{name}-{uuid.uuid4().hex[:12]}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = "all" if mode == "complete" else f"b{number}"
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{at}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    path = f"{folder}/rows/all" if mode == "complete" else f"{folder}/rows/*"
+    try:
+        return spark.read.schema(stream.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stream.schema)  # no rows at the source, so no batch
