@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,21 +19,28 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def build(self, source: str, include: list[str] | None = None) -> None:
-        """Reads a source tree, extracts and resolves its graph, and writes graph, index and fingerprints."""
+    def build(self, source: str, include: list[str] | None = None, reuse: bool = False) -> None:
+        """Reads a source tree, extracts and resolves its graph, and writes graph, index and fingerprints. With ``reuse``
+        files whose hash is that of the last build aren't parsed again; names are resolved anew over all files."""
         tree = files.scan_tree(self.spark, source, include)
-        texts = tree.select("path", "size", "mtime", files.decode(F.col("content")).alias("text"), files.language_of(F.col("path")).alias("language")).where("text is not null")
+        texts = tree.select("path", F.sha2("content", 256).alias("hash"), "size", "mtime", files.decode(F.col("content")).alias("text"), files.language_of(F.col("path")).alias("language")).where("text is not null")
         known = texts.where("language is not null")
-        nodes = extract.extract_nodes(known).withColumn("chars", F.lit(None).cast("bigint"))
-        sizes = known.select(F.col("path").alias("id"), F.length("text").cast("bigint").alias("n"))
-        nodes = nodes.join(sizes, "id", "left").withColumn("chars", F.col("n")).drop("n")
-        raw = extract.extract_raw_edges(known).withColumn("edge", F.monotonically_increasing_id())
-        base = f"{self.root}/work"
-        nodes.write.mode("overwrite").parquet(f"{base}/nodes")
-        raw.write.mode("overwrite").parquet(f"{base}/raw")  # the numbers of the raw edges must not change after this
+        fresh, kept = extract.incremental(known, self.spark.read.parquet(f"{self.root}/prints")) if reuse else (known, None)
+        nodes, raw = extract.extract_nodes(fresh), extract.extract_raw_edges(fresh)
+        if kept is not None:
+            old = self.spark.read.parquet(f"{self.root}/current").first()["work"]  # the folder of the last whole build
+            same = kept.select("path")
+            nodes = nodes.unionByName(self.spark.read.parquet(f"{old}/nodes").drop("chars").join(same, "path", "left_semi"))
+            raw = raw.unionByName(self.spark.read.parquet(f"{old}/raw").drop("edge").join(same.withColumnRenamed("path", "file"), "file", "left_semi"))
+        sizes = known.select(F.col("path").alias("id"), F.length("text").cast("bigint").alias("chars"))
+        nodes = nodes.join(sizes, "id", "left")
+        base = f"{self.root}/work/{uuid.uuid4().hex[:12]}"
+        nodes.write.parquet(f"{base}/nodes")
+        raw.withColumn("edge", F.monotonically_increasing_id()).write.parquet(f"{base}/raw")  # numbers that must not change after this
         nodes, raw = self.spark.read.parquet(f"{base}/nodes"), self.spark.read.parquet(f"{base}/raw")
         heritage = raw.where("relation in ('extends', 'implements')").join(nodes.select(F.col("id").alias("source"), F.col("name").alias("owner")), "source")
-        edges = resolve.resolve(raw, nodes, heritage.select("owner", F.col("name").alias("parent")).distinct())
+        modules = resolve.go_modules(texts.select("path", "text"))
+        edges = resolve.resolve(raw, nodes, heritage.select("owner", F.col("name").alias("parent")).distinct(), modules)
         files.write_graph(nodes, edges, f"{self.root}/graph")
         lines = known.select("path", "text")
         spans = nodes.select("id", "name", "path", "span_start", "span_end").join(lines, "path")
@@ -40,6 +48,16 @@ class Engine:
         retrieval.build_index(docs).save(f"{self.root}/index")
         files.fingerprint(tree).write.mode("overwrite").parquet(f"{self.root}/prints")
         lines.write.mode("overwrite").parquet(f"{self.root}/texts")
+        self.spark.createDataFrame([(base,)], "work string").write.mode("overwrite").parquet(f"{self.root}/current")
+
+    def refresh(self, source: str, include: list[str] | None = None) -> bool:
+        """Builds again if a file was added, removed or changed since the last build, and says whether it did."""
+        now = files.fingerprint(files.scan_tree(self.spark, source, include))
+        moved = drift.file_drift(self.spark.read.parquet(f"{self.root}/prints"), now).where("state not in ('same', 'touched')")
+        if moved.isEmpty():
+            return False
+        self.build(source, include, reuse=True)
+        return True
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         return files.load_graph(self.spark, f"{self.root}/graph")

@@ -19,6 +19,10 @@ from quarrygraph.functions import text as T
 RRF_K, PARTICIPATION, STRONG_FLOOR, HIGH_FLOOR = 60, 0.25, 0.1, 0.5
 
 
+#: Directories of a saved index.
+BUCKETS = 64
+
+
 @dataclass
 class Index:
     postings: DataFrame
@@ -26,17 +30,28 @@ class Index:
     stats: DataFrame
     lengths: DataFrame
 
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms; of a saved index only their buckets are read."""
+        hit = self.postings.where(F.col("token").isin(terms))
+        return hit.where(F.col("bucket").isin([_bucket(F.lit(t)) for t in terms])).drop("bucket") if "bucket" in hit.columns else hit
+
     def save(self, path: str) -> None:
-        """Postings lie in buckets of their token, so that a query reads few files."""
-        bucket = F.pmod(F.xxhash64("token"), F.lit(64))
-        self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        """Postings lie in buckets of their token, so that a query reads few files. They are dealt by ranges down to the
+        id, so a common token is spread over tasks and a bucket over files."""
+        dealt = self.postings.withColumn("bucket", _bucket(F.col("token"))).repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.df.write.mode("overwrite").parquet(f"{path}/df")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @staticmethod
     def load(spark, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings").drop("bucket"), *(spark.read.parquet(f"{path}/{name}") for name in ("df", "stats", "lengths")))
+        postings = spark.read.schema("id string, field string, token string, tf bigint, bucket bigint").parquet(f"{path}/postings")
+        return Index(postings, *(spark.read.parquet(f"{path}/{name}") for name in ("df", "stats", "lengths")))
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS))
 
 
 def build_index(docs: DataFrame, fields: tuple[str, ...] = ("name", "path", "body")) -> Index:
@@ -72,7 +87,7 @@ def lexical(index: Index, query: str, paths: DataFrame | None = None) -> DataFra
     """``(id, lexical, terms)``: name x 3 + path x 2 + BM25 of the body, terms matched; positive scores only. With
     ``paths(id, path)`` test paths are penalised unless the query asks for tests."""
     terms = query_terms(query)
-    hit = index.postings.where(F.col("token").isin(terms))
+    hit = index.of(terms)
     df = index.df.where(F.col("token").isin(terms))  # at most the query's terms
     scored = hit.join(F.broadcast(df), "token").crossJoin(F.broadcast(index.stats)).join(index.lengths, "id", "left")
     idf = T.idf(F.col("docs"), F.col("df"))
@@ -120,7 +135,7 @@ def fuse_ranks(docs: DataFrame) -> DataFrame:
     positive = docs.where("score > 0")
     scopes = participating(docs)
     lone = docs.where("score > 0").agg((F.count_distinct("scope") == 1).alias("lone"))
-    ranked = positive.join(F.broadcast(scopes), "scope").withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(F.col("score").desc(), "id")))
+    ranked = positive.join(scopes, "scope").withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(F.col("score").desc(), "id")))
     best = F.struct(F.col("place"), (-F.col("best")).alias("b"), F.col("scope"))
     fused = ranked.groupBy("id").agg(F.sum(1.0 / (RRF_K + F.col("place"))).alias("rrf"), F.min(best)["scope"].alias("scope"), F.max("score").alias("own"))
     top = fused.agg(F.max("rrf").alias("top"))
@@ -132,7 +147,7 @@ def combine_scores(docs: DataFrame) -> DataFrame:
     keeps its scores."""
     scopes = participating(docs)
     lone = docs.where("score > 0").agg((F.count_distinct("scope") == 1).alias("lone"))
-    kept = docs.where("score > 0").join(F.broadcast(scopes), "scope")
+    kept = docs.where("score > 0").join(scopes, "scope")
     best = kept.groupBy("id").agg(F.max("score").alias("own"), F.max_by("scope", F.struct("score", F.col("best"), F.lit(0))).alias("scope"))
     top = best.agg(F.max("own").alias("top"))
     return best.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(lone)).select("id", "scope", F.when(F.col("lone"), F.col("own")).otherwise(F.col("own") / F.col("top")).alias("score"))

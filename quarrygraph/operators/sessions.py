@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrygraph.functions import text as T
+from quarrygraph.plans.shared import cut
 
 #: Idle hours that close a session, events and bytes that a queue keeps, remembered pointers.
 IDLE_HOURS, KEEP_EVENTS, KEEP_BYTES, REMEMBER = 2, 500, 256 << 10, 40
@@ -76,12 +77,14 @@ def audit(turns: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, value: str, p: float) -> DataFrame:
-    """The ``ceil(n * p)``-th smallest value, exactly: counts of the distinct values are summed, not the values sorted
-    in one array."""
-    n = values.groupBy(value).agg(F.count("*").alias("__n"))
-    total = n.agg(F.sum("__n").alias("total"))
-    run = n.withColumn("upto", F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    return run.crossJoin(F.broadcast(total)).where(F.col("upto") >= F.ceil(F.col("total") * p)).agg(F.min(value).alias("value"))
+    """The ``ceil(n * p)``-th smallest value, exactly: distinct values are counted and dealt by range; the ranges' sums
+    say which one holds the rank, and only its values are summed one by one."""
+    n = cut(values.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n")).repartitionByRange("value").withColumn("range", F.spark_partition_id()), "ranges")
+    sums = n.groupBy("range").agg(F.sum("n").alias("own"))
+    upto = sums.withColumn("upto", F.sum("own").over(Window.orderBy("range"))).crossJoin(F.broadcast(n.agg(F.ceil(F.sum("n") * p).alias("rank"))))  # a row a range; one row
+    held = upto.where("upto >= rank").agg(F.min_by(F.struct("range", (F.col("upto") - F.col("own")).alias("before"), "rank"), "range").alias("h")).select("h.*")
+    run = n.join(F.broadcast(held), "range").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy("value")))
+    return run.where("upto >= rank").agg(F.min("value").alias("value"))
 
 
 def _batches(budget: int, size: str):
@@ -106,23 +109,33 @@ def pack_batches(items: DataFrame, group: str, seq: str, size: str, budget: int
 
 
 def budgeted(items: DataFrame, order: list[Column], size: Column, budget: int = 300_000, most: int = 120) -> DataFrame:
-    """Items in order that still fit the budget, too large ones skipped, ``most`` at the end. A fold over one stream in
-    order; it stops reading once ``most`` are taken."""
-    sized = items.withColumn("__size", size.cast("bigint"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used = taken = 0
-        for pdf in frames:
-            keep = []
-            for n in pdf["__size"]:
-                ok = taken < most and used + n <= budget
-                used, taken = used + n * ok, taken + ok
-                keep.append(bool(ok))
-            yield pdf[keep].drop(columns="__size")
-            if taken >= most:
-                return
-
-    return sized.orderBy(*order).coalesce(1).mapInPandas(run, items.schema)
+    """Items in order that still fit the budget, too large ones skipped, ``most`` at the end. ``order`` are columns
+    without nulls that order the items fully.
+
+    Each pass takes the keys of the next ``most`` rows that fit what is left, by a top-k in each task. The first of them
+    always goes in, so there are at most ``most`` passes, and nothing but their keys reaches the driver."""
+    names = [f"__{k}" for k in range(len(order))]
+    sized = items.select(*[c.alias(n) for c, n in zip(order, names, strict=True)], size.cast("bigint").alias("__size"))
+    taken: list[tuple] = []
+    left, last = budget, None
+    while len(taken) < most:
+        rest = sized.where(F.col("__size") <= left)
+        if last is not None:
+            later, same = F.lit(False), F.lit(True)
+            for n, v in zip(names, last, strict=True):
+                later, same = later | (same & (F.col(n) > F.lit(v))), same & (F.col(n) == F.lit(v))
+            rest = rest.where(later)
+        page = rest.orderBy(*names).limit(most).collect()
+        for *key, n in page:
+            if len(taken) < most and n <= left:
+                taken.append(tuple(key))
+                left -= n
+        if len(page) < most:
+            break
+        last = page[-1][:-1]
+    keys = items.sparkSession.createDataFrame(taken, sized.select(*names).schema)
+    on = [c == F.col(n) for c, n in zip(order, names, strict=True)]
+    return items.join(F.broadcast(keys), on, "left_semi")  # at most ``most`` rows
 
 
 def circuit_breaker(attempts: DataFrame, group: str, seq: str, limit: int = 5) -> DataFrame:

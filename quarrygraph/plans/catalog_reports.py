@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import impact, reports
-from quarrygraph.plans.catalog import BLAST, WALK, blasted, docs, nodes_edges, register, scalars
+from quarrygraph.plans.catalog import BLAST, SEEDS, WALK, blasted, docs, nodes_edges, register, scalars
 from quarrygraph.plans.views import view
 
 scalars("f20_error_class", "docs", {"error": (lambda: reports.error_class(F.when(F.col("doc_id") % 5 == 0, "EPERM").when(F.col("doc_id") % 5 == 1, "ENOTFOUND"), F.when(F.col("doc_id") % 3 == 0, 429).when(F.col("doc_id") % 3 == 1, 503), F.concat(F.lit("cannot LOCK "), F.col("path"))), "CASE WHEN doc_id % 5 = 0 THEN 'E_PERMISSION' WHEN doc_id % 5 = 1 THEN 'E_NETWORK' WHEN doc_id % 3 = 0 THEN 'E_RATE_LIMIT' WHEN doc_id % 3 = 1 THEN 'E_LLM' ELSE 'E_LOCK' END")})
@@ -83,9 +83,24 @@ def g25_blast_graph(spark, sf_dir):
     return reports.viz_graph(seeds, hit, e)[1].select("source", "target", "relation")
 
 
-@register("g17_ranked_scopes")
+SCOPED = f"""placed AS (SELECT id, split_part(path, '/', 1) AS scope FROM nodes),
+    ends AS (SELECT source, target FROM edges JOIN placed a ON a.id = source JOIN placed b ON b.id = target WHERE relation IN {WALK} AND a.scope = b.scope),
+    both_ways AS (SELECT source, target FROM ends UNION ALL SELECT target, source FROM ends),
+    step AS MATERIALIZED (SELECT source, target, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source) AS p FROM both_ways GROUP BY source, target),
+    lex AS (SELECT id, scope, weight AS lexical FROM ({SEEDS}) JOIN placed USING (id)),
+    start AS MATERIALIZED (SELECT id, scope, lexical / sum(lexical) OVER (PARTITION BY scope) AS r FROM lex),
+    move AS MATERIALIZED (SELECT source, target, 0.75 * p AS p FROM step UNION ALL SELECT s.source, start.id, 0.25 * r FROM (SELECT DISTINCT source FROM step) s JOIN placed ON placed.id = s.source JOIN start USING (scope)
+      UNION ALL SELECT s.id, start.id, start.r FROM start s JOIN start USING (scope) WHERE s.id NOT IN (SELECT source FROM step)),
+    walk AS (SELECT 0 AS i, id, r AS mass FROM start UNION ALL SELECT i + 1, target, sum(mass * p) FROM walk JOIN move ON source = id WHERE i < 25 GROUP BY i, target),
+    ranks AS (SELECT id, scope, mass / max(mass) OVER (PARTITION BY scope) AS rank FROM walk JOIN placed USING (id) WHERE i = 25),
+    both_scores AS (SELECT coalesce(l.id, r.id) AS id, coalesce(l.scope, r.scope) AS scope, coalesce(lexical / (SELECT max(lexical) FROM lex), 0) + 0.5 * coalesce(rank, 0) AS score FROM lex l FULL JOIN ranks r ON r.id = l.id WHERE lexical IS NOT NULL OR rank >= 0.15),
+    best AS (SELECT scope, max(score) AS best FROM both_scores GROUP BY scope),
+    kept AS (SELECT id, scope, score FROM both_scores JOIN best USING (scope) WHERE best >= 0.25 * (SELECT max(best) FROM best))"""
+
+
+@register("g17_ranked_scopes", f"WITH {SCOPED} SELECT id, scope, round(score / CASE WHEN (SELECT count(*) FROM best) = 1 THEN 1 ELSE (SELECT max(score) FROM kept) END, 6) AS score FROM kept")
 def g17_ranked_scopes(spark, sf_dir):
-    """Scoped ranks come from a loop for all scopes at once; the loop itself is compared with SQL in g8_pagerank."""
+    """Scoped ranks come from a loop for all scopes at once."""
     n, e = nodes_edges(spark, sf_dir)
     n = n.withColumn("scope", F.substring_index("path", "/", 1))
     lexical = n.where("name IN ('part3', 'part5', 'customer1', 'customer8', 'supplier2')").select("id", F.length("name").cast("double").alias("lexical"))

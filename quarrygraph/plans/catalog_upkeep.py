@@ -3,12 +3,16 @@ are made."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import text as T
-from quarrygraph.operators import reports, resolve, sessions
-from quarrygraph.plans.catalog import docs, register, scalars
+from quarrygraph.operators import drift, graph, reports, resolve, retrieval, sessions
+from quarrygraph.plans.catalog import LEXICAL, QUERY, WALK, _walk, docs, nodes_edges, register, scalars
+from quarrygraph.plans.shared import shared_folder
 from quarrygraph.plans.views import view
+from quarrygraph.sources import files
 
 def doc():
     return F.col("doc_id")
@@ -156,9 +160,9 @@ def r7_java_imports(spark, sf_dir):
     n = parts(spark, sf_dir)
     p = F.col("k")
     tail = F.concat(F.lit("/com/p"), s(p), F.lit("/T.java"))
-    files = n.select(F.concat(F.lit("m"), s(p % 4), tail).alias("path")).unionByName(n.where("k % 5 = 0").select(F.concat(F.lit("twin"), tail).alias("path")))
+    found = n.select(F.concat(F.lit("m"), s(p % 4), tail).alias("path")).unionByName(n.where("k % 5 = 0").select(F.concat(F.lit("twin"), tail).alias("path")))
     raw = made(n, RAW, edge=p, language=F.lit("java"), specifier=F.concat(F.lit("com.p"), s(p), F.when(p % 3 == 0, ".T.Inner").otherwise(".T")))
-    return resolve.java_imports(raw, files)
+    return resolve.java_imports(raw, found)
 
 
 @register("r8_c_includes", "SELECT p_partkey::BIGINT AS edge, CASE WHEN p_partkey % 3 = 0 THEN concat('src/d', p_partkey % 9, '/h', p_partkey, '.h') ELSE concat('inc/h', p_partkey, '.h') END AS target FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 <> 0")
@@ -166,9 +170,9 @@ def r8_c_includes(spark, sf_dir):
     n = parts(spark, sf_dir)
     p = F.col("k")
     name = F.concat(F.lit("h"), s(p), F.lit(".h"))
-    files = n.select(F.concat(F.lit("inc/"), name).alias("path")).unionByName(n.where("k % 3 = 0").select(F.concat(F.lit("src/d"), s(p % 9), F.lit("/"), name).alias("path"))).unionByName(n.where("k % 5 = 0").select(F.concat(F.lit("old/"), name).alias("path")))
+    found = n.select(F.concat(F.lit("inc/"), name).alias("path")).unionByName(n.where("k % 3 = 0").select(F.concat(F.lit("src/d"), s(p % 9), F.lit("/"), name).alias("path"))).unionByName(n.where("k % 5 = 0").select(F.concat(F.lit("old/"), name).alias("path")))
     raw = made(n, RAW, edge=p, file=F.concat(F.lit("src/d"), s(p % 9), F.lit("/main.c")), language=F.lit("c"), specifier=name)
-    return resolve.c_includes(raw, files)
+    return resolve.c_includes(raw, found)
 
 
 @register("r9_php_uses", "SELECT p_partkey::BIGINT AS edge, concat('app/N', p_partkey % 8, '/K', p_partkey, '.php') AS target FROM part WHERE p_partkey % 6 <> 0")
@@ -176,9 +180,9 @@ def r9_php_uses(spark, sf_dir):
     n = parts(spark, sf_dir)
     p = F.col("k")
     tail = F.concat(F.lit("/N"), s(p % 8), F.lit("/K"), s(p), F.lit(".php"))
-    files = n.select(F.concat(F.lit("app"), tail).alias("path")).unionByName(n.where("k % 6 = 0").select(F.concat(F.lit("lib"), tail).alias("path")))
+    found = n.select(F.concat(F.lit("app"), tail).alias("path")).unionByName(n.where("k % 6 = 0").select(F.concat(F.lit("lib"), tail).alias("path")))
     raw = made(n, RAW, edge=p, language=F.lit("php"), specifier=F.concat(F.lit("Vendor\\N"), s(p % 8), F.lit("\\K"), s(p)))
-    return resolve.namespace_imports(raw, files, r"\\", ".php")
+    return resolve.namespace_imports(raw, found, r"\\", ".php")
 
 
 @register("r10_rust_uses", "WITH n AS (SELECT p_partkey AS k FROM part) SELECT k::BIGINT AS edge, CASE WHEN k % 7 = 0 THEN concat('c', k % 10, '/src/lib.rs') ELSE concat('c', k % 10, '/src/m', k + 10, CASE WHEN (k + 10) % 4 = 0 THEN '/mod.rs' ELSE '.rs' END) END AS target FROM n WHERE k % 7 = 0 OR (k % 11 <> 0 AND k + 10 IN (SELECT k FROM n))")
@@ -186,9 +190,9 @@ def r10_rust_uses(spark, sf_dir):
     n = parts(spark, sf_dir)
     p = F.col("k")
     root = F.concat(F.lit("c"), s(p % 10), F.lit("/src/"))
-    files = n.select(F.concat(root, F.lit("m"), s(p), F.when(p % 4 == 0, "/mod.rs").otherwise(".rs")).alias("path")).unionByName(n.select(F.concat(root, F.lit("lib.rs")).alias("path")))
+    found = n.select(F.concat(root, F.lit("m"), s(p), F.when(p % 4 == 0, "/mod.rs").otherwise(".rs")).alias("path")).unionByName(n.select(F.concat(root, F.lit("lib.rs")).alias("path")))
     use = F.when(p % 7 == 0, F.lit("crate::Item")).when(p % 11 == 0, F.concat(F.lit("crate::m"), s(p + 1), F.lit("::Item"))).otherwise(F.concat(F.lit("crate::m"), s(p + 10), F.lit("::Item")))
-    return resolve.rust_uses(made(n, RAW, edge=p, file=F.concat(root, F.lit("m"), s(p), F.lit(".rs")), language=F.lit("rust"), specifier=use), files)
+    return resolve.rust_uses(made(n, RAW, edge=p, file=F.concat(root, F.lit("m"), s(p), F.lit(".rs")), language=F.lit("rust"), specifier=use), found)
 
 
 @register("r11_go_imports", "SELECT p_partkey::BIGINT AS edge, concat('s', p_partkey % 6, '/pkg/d', p_partkey, '/a.go') AS target FROM part")
@@ -196,6 +200,61 @@ def r11_go_imports(spark, sf_dir):
     n = parts(spark, sf_dir)
     p = F.col("k")
     at = F.concat(F.lit("s"), s(p % 6), F.lit("/pkg/d"), s(p))
-    files = n.select(F.explode(F.array(F.concat(at, F.lit("/b.go")), F.concat(at, F.lit("/a.go")), F.concat(at, F.lit("/A.txt")))).alias("path"))
+    found = n.select(F.explode(F.array(F.concat(at, F.lit("/b.go")), F.concat(at, F.lit("/a.go")), F.concat(at, F.lit("/A.txt")))).alias("path"))
     modules = n.select(F.concat(F.lit("ex.org/s"), s(p % 6)).alias("module"), F.concat(F.lit("s"), s(p % 6)).alias("dir")).distinct().unionByName(n.limit(1).select(F.lit("ex.org").alias("module"), F.lit("none").alias("dir")))
-    return resolve.go_imports(made(n, RAW, edge=p, language=F.lit("go"), specifier=F.concat(F.lit("ex.org/"), at)), files, modules)
+    return resolve.go_imports(made(n, RAW, edge=p, language=F.lit("go"), specifier=F.concat(F.lit("ex.org/"), at)), found, modules)
+
+
+# parts that other queries share, each by itself
+
+scalars("p3_only_dirs", "docs", {"kept": (lambda: T.path_under(F.col("path"), F.lit("en/web")) | T.path_under(F.col("path"), F.col("path")) & (doc() % 2 == 0) | T.path_under(F.col("path"), F.lit("f")), "starts_with(path, 'en/web/') OR doc_id % 2 = 0")})
+scalars("p7_test_factor", "docs", {
+    "plain": (lambda: T.test_factor(F.concat("path", turn_of("/tests/x", "_test.go", "/attest.py", "/test_a.py", ".spec.ts"))), "CASE WHEN doc_id % 5 = 2 THEN 1 ELSE 0.35 END::DOUBLE"),
+    "asked": (lambda: T.test_factor(F.concat("path", F.lit("/tests/x")), True), "1.0::DOUBLE"),
+})
+scalars("p14_bots", "docs", {"bot": (lambda: T.is_bot(turn_of("Ann", "dependabot[bot]", "renovate", "Bob", "Robot"), turn_of("a@x.org", "d@x.org", "r@x.org", "1+bot[bot]@users.example", "bot@x.org")), "doc_id % 5 IN (1, 2, 3)")})
+scalars("s4_decode", "docs", {"digest": (lambda: F.md5(files.decode(F.when(doc() % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("body", "UTF-8"))).when(doc() % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("body", "UTF-16LE"))).when(doc() % 4 == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode("body", "UTF-16BE"))).otherwise(F.encode("body", "UTF-8"))).cast("binary")), "CASE WHEN doc_id % 4 <> 2 THEN md5(body) END")})
+
+
+@register("s10_saved_index", f"WITH {LEXICAL} SELECT id, round(lexical, 6) AS lexical, array_to_string(terms, ',') AS terms FROM lex")
+def s10_saved_index(spark, sf_dir):
+    """The ranking by a saved index: a query opens its terms' buckets and no text."""
+    path = f"{shared_folder(spark)}/index/{uuid.uuid4().hex[:12]}"
+    retrieval.build_index(docs(spark, sf_dir)).save(path)
+    hit = retrieval.lexical(retrieval.Index.load(spark, path), QUERY, docs(spark, sf_dir))
+    return hit.select("id", F.round("lexical", 6).alias("lexical"), F.array_join("terms", ",").alias("terms"))
+
+
+@register("k12_newest_versions", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM docs) WHERE n <= 2")
+def k12_newest_versions(spark, sf_dir):
+    return files.keep_newest(docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", 2)
+
+
+@register("k4_top_hits", "SELECT id, length(body) AS score FROM docs ORDER BY score DESC, id LIMIT 8")
+def k4_top_hits(spark, sf_dir):
+    return retrieval.top_hits(docs(spark, sf_dir).select("id", F.length("body").alias("score")))
+
+
+@register("x13_once_only", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
+def x13_once_only(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@register("g6_file_walk", _walk("target", "source", 2, "path = 'geo/ASIA'"))
+def g6_file_walk(spark, sf_dir):
+    n, e = nodes_edges(spark, sf_dir)
+    return graph.walk(e, graph.file_seeds(n, "geo/ASIA"), 2, "in")
+
+
+@register("z24_walk_savings", f"WITH s AS (SELECT id, path FROM nodes WHERE name = 'customer8'), p AS (SELECT path FROM s UNION SELECT n.path FROM edges e JOIN s ON e.target = s.id JOIN nodes n ON n.id = e.source WHERE relation IN {WALK}) SELECT count(*) AS files, floor(coalesce(sum(chars), 0) / 4.0 + 0.5)::BIGINT AS baseline_tokens, greatest(floor(coalesce(sum(chars), 0) / 4.0 + 0.5) - 30, 0)::BIGINT AS saved_tokens FROM nodes WHERE kind = 'file' AND path IN (SELECT path FROM p)")
+def z24_walk_savings(spark, sf_dir):
+    n, e = nodes_edges(spark, sf_dir)
+    own = n.where("name = 'customer8'")
+    ends = graph.walk(e, own.select("id"), 1, "in").select("id").join(n, "id").select("path")
+    return drift.savings(own.select("path").unionByName(ends), n.where("kind = 'file'"), F.lit(30))
+
+
+@register("u7_deleted_concepts", "SELECT id FROM committed EXCEPT SELECT id FROM current_files")
+def u7_deleted_concepts(spark, sf_dir):
+    return drift.drift(view(spark, sf_dir, "committed").select("id", F.lit("").alias("hash")), view(spark, sf_dir, "current_files").select("id", F.lit("").alias("hash"))).where("state = 'removed'").select("id")

@@ -76,3 +76,28 @@ def test_blast_and_drift(engine, spark, tmp_path):
     pathlib.Path(engine.source, "web/new.ts").write_text("export function more() {}\n")
     assert [tuple(r) for r in engine.check(engine.source).where("state <> 'same'").collect()] == [("web/new.ts", "added")]
     assert engine.graph()[0].select(F.count_distinct("id") == F.count("*")).first()[0]
+
+
+def test_refresh_parses_only_what_changed(spark, tmp_path, monkeypatch):
+    from quarrygraph.operators import extract
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    for name, text in {"a.py": "def f():\n    return g()\n", "b.py": "def g():\n    pass\n", "c.py": "def h():\n    f()\n"}.items():
+        (root / name).write_text(text)
+    e = Engine(spark, str(tmp_path / "engine"))
+    e.build(str(root))
+    assert not e.refresh(str(root)) and ("a.py#f", "calls", "b.py#g") in edge_set(e)
+    (root / "b.py").write_text("def g2():\n    pass\n")
+    (root / "c.py").unlink()
+    (root / "d.py").write_text("def g():\n    g2()\n")
+    parsed, whole = [], extract.extract_nodes
+    monkeypatch.setattr(extract, "extract_nodes", lambda fs: parsed.extend(r.path for r in fs.select("path").collect()) or whole(fs))
+    assert e.refresh(str(root)) and sorted(parsed) == ["b.py", "d.py"]
+    got = edge_set(e)
+    assert ("a.py#f", "calls", "d.py#g") in got and ("d.py#g", "calls", "b.py#g2") in got and not any("c.py" in x or "b.py#g" == x for t in got for x in t)
+    f = Engine(spark, str(tmp_path / "other"))
+    monkeypatch.undo()
+    f.build(str(root))
+    assert edge_set(f) == got and sorted(map(str, f.graph()[0].select(*sorted(f.graph()[0].columns)).collect())) == sorted(map(str, e.graph()[0].select(*sorted(e.graph()[0].columns)).collect()))
+    assert not e.refresh(str(root))
