@@ -89,10 +89,14 @@ def oracle(sql: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A canonical view as a DataFrame; only the tables that it reads are opened."""
+    """A canonical view as a DataFrame; only the tables that it reads are opened, and the session's own views of such
+    names stay as they are."""
     sql = f"SELECT * FROM {name}"
     head = ctes(sql)
+    whole = f"WITH {head} {sql}" if head else sql
+    tables = {}
     for table in TABLES:
-        if re.search(rf"\b(?:FROM|JOIN)\s+{table}\b", head + sql):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(f"WITH {head} {sql}" if head else sql)
+        whole, n = re.subn(rf"\b(FROM|JOIN)\s+{table}\b", rf"\1 {{{table}}}", whole)
+        if n:
+            tables[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.sql(whole, **tables)
