@@ -8,7 +8,7 @@ each stream against its batch form.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -122,3 +122,14 @@ def run_all(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], stream.schema)  # no rows at the source, so no batch
+
+
+def drain_queue(spark: SparkSession, path: str, state: str, sink: Callable[[DataFrame, int], None]) -> None:
+    """Gives ``sink(batch, number)`` the events of a queue that no earlier call took; broken lines are skipped. ``state``
+    remembers what was taken. A batch whose sink fails isn't taken: the next call gives it again, under its number."""
+    events = spark.readStream.schema(schema.QUEUE_EVENT).option("mode", "DROPMALFORMED").json(path)
+    q = events.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()

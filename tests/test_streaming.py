@@ -1,6 +1,7 @@
 import datetime
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import sessions
@@ -60,3 +61,27 @@ def test_latest_version_and_windows(spark, sf_dir, tmp_path):
     counts = jobs.run_all(jobs.windowed_counts(stream, "1 day", late="3650 days"), "windows", "complete")
     assert counts.agg(F.sum("n")).first()[0] == events.count()
     shutil.rmtree(out)
+
+
+def test_queue_is_drained_once_and_again_after_a_failure(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from quarrygraph.sources import files
+
+    queue, state, taken = str(tmp_path / "queue"), str(tmp_path / "state"), []
+    event = lambda *names: spark.createDataFrame([(n,) for n in names], "event string")
+    take = lambda batch, number: taken.extend(r[0] for r in batch.select("event").collect())
+
+    def fail(batch, number):
+        raise RuntimeError("no network")
+
+    files.enqueue(event("a", "b"), queue)
+    with pytest.raises(StreamingQueryException):
+        jobs.drain_queue(spark, queue, state, fail)
+    jobs.drain_queue(spark, queue, state, take)
+    assert sorted(taken) == ["a", "b"]
+    files.enqueue(event("c"), queue)
+    (tmp_path / "queue" / "broken.json").write_text("{torn\n")
+    jobs.drain_queue(spark, queue, state, take)
+    jobs.drain_queue(spark, queue, state, take)
+    assert sorted(taken) == ["a", "b", "c"]
