@@ -1,4 +1,4 @@
-"""The ten operators' queries over the test tables, with production parameters, and their SQL."""
+"""The operators' queries over the test tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, mixing, pii, quality, simhash, suffix_dedup, token_counts, warc
+from . import bpe, chat, embedding_dedup, licenses, mixing, phrases, pii, quality, simhash, spelling, suffix_dedup, token_counts, warc
 from .common import read_table
 
 
@@ -63,6 +63,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(licenses.find_licenses(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe": op2_bpe,
@@ -74,10 +86,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_spelling": op12_spelling,
+    "op13_licenses": op13_licenses,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_embedding_dedup": embedding_dedup.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op6_mixing": mixing.oracle(),
     "op7_warc": warc.ORACLE,
+    "op11_phrase_mining": phrases.ORACLE,
 }
