@@ -310,7 +310,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH
 ORACLE = r"""
 WITH low AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS s FROM low),
-parts AS (SELECT lang, list_filter(regexp_split_to_array(s, '[\x20\x09]+'), x -> x <> '') AS ws FROM pieces),
+parts AS (SELECT lang, list_filter(regexp_split_to_array(s, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
 sizes AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM parts GROUP BY lang),
 placed AS (SELECT lang, ws, g, unnest(range(1, len(ws) - g + 2)) AS i FROM parts, (SELECT unnest([1, 2, 3, 4, 5]) AS g)),
 grams AS (SELECT lang, g, array_to_string(ws[i : i + g - 1], ' ') AS p, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 100),
