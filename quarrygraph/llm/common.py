@@ -99,24 +99,34 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], state: str, out: str) -> Column:
     """What ``step(state, item) -> (next state, emitted)`` emits, from first to last item, as an array of type ``out``.
 
-    An array that a fold appends to is copied at each step, so the items are folded in blocks, and the blocks' arrays
-    are put together once.
+    An array that a fold appends to is copied at each step, so the items are folded in blocks: once for the state that
+    each block starts from, then each block for what it emits, and no fold carries more than one block's output.
     """
     nothing = F.expr(f"cast(array() as array<{out}>)")
 
     def over(items: Column) -> Column:
+        many = F.floor((F.size(items) + (SCAN_BLOCK - 1)) / SCAN_BLOCK).cast("int")
+
+        def places(k: Column) -> Column:
+            return F.sequence(k * SCAN_BLOCK, F.least((k + 1) * SCAN_BLOCK, F.size(items)) - 1)
+
+        def passed(at: Column, k: Column) -> Column:
+            return step(at, F.get(items, k))[0].cast(state)
+
         def one(s: Column, k: Column) -> Column:
             at, emitted = step(s["at"], F.get(items, k))
             return F.struct(at.cast(state).alias("at"), F.concat(s["out"], F.array(emitted.cast(out))).alias("out"))
 
-        def block(done: Column, k: Column) -> Column:
-            start = F.struct(F.element_at(done, -1)["at"].alias("at"), nothing.alias("out"))
-            places = F.sequence(k * SCAN_BLOCK, F.least((k + 1) * SCAN_BLOCK, F.size(items)) - 1)
-            return F.concat(done, F.array(F.aggregate(places, start, one)))
+        def following(starts: Column, k: Column) -> Column:
+            return F.concat(starts, F.array(F.aggregate(places(k), F.element_at(starts, -1), passed)))
 
-        many = F.floor((F.size(items) + (SCAN_BLOCK - 1)) / SCAN_BLOCK).cast("int")
-        first = F.array(F.struct(zero.cast(state).alias("at"), nothing.alias("out")))
-        folded = F.aggregate(F.sequence(F.lit(0), many - 1), first, block)
-        return F.when(many > 0, F.flatten(F.transform(folded, lambda s: s["out"]))).otherwise(nothing)
+        def emitted(starts: Column) -> Column:
+            def block(k: Column) -> Column:
+                return F.aggregate(places(k), F.struct(F.get(starts, k).alias("at"), nothing.alias("out")), one)["out"]
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), many - 1), block))
+
+        starts = F.aggregate(F.sequence(F.lit(0), many - 1), F.array(zero.cast(state)), following)
+        return F.when(many > 0, bound(starts, emitted)).otherwise(nothing)
 
     return bound(items, over)

@@ -61,23 +61,36 @@ def test_pipeline_stages_keep_clashing_columns(docs):
 
 
 def test_many_spans_in_one_text(spark):
-    """50,000 addresses in one text: linear work, and places as Python finds them."""
+    """50,000 and 100,000 addresses in one text: linear work, and places as Python finds them."""
     import re
     import time
 
-    text = "".join(f"é{k} mail{k}@host{k % 7}.org;" for k in range(50_000))
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    start = time.time()
-    base = pii.with_base_spans(docs).first().base
-    assert time.time() - start < 10
+    def of(size):
+        text = "".join(f"é{k} mail{k}@host{k % 7}.org;" for k in range(size))
+        return text, spark.createDataFrame([(1, text)], "doc_id long, text string")
+
+    seconds = []
+    for size in (50_000, 50_000, 100_000):  # the first run warms up
+        text, docs = of(size)
+        start = time.time()
+        base = pii.with_base_spans(docs).first().base
+        seconds.append(time.time() - start)
+    assert seconds[2] < 2.3 * seconds[1] + 1
     emails = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     assert [(s.start, s.end) for s in base if s.kind == 0] == emails
-    start = time.time()
-    clean = pii.sanitise(docs).first().text
-    assert time.time() - start < 60
+    clean = pii.sanitise(of(50_000)[1]).first().text
     assert "@" not in clean and clean.count("[EMAIL]") == 50_000
 
 
+def test_dotted_column_names(docs):
+    from pyspark.sql import functions as F
+
+    table = docs.withColumn("a.b", F.lit(1))
+    assert mixing.realise(table).columns == table.columns
+    assert pii.sanitise(table).columns == table.columns
+    assert simhash.keep_one(table).columns == table.columns
+
+
 def test_unfinished_components_are_an_error(spark):
     import pytest
 
