@@ -133,10 +133,11 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _named(prints: DataFrame, radius: int, tile: int) -> DataFrame:
-    """``(fp, component_id)`` of the distinct fingerprints that some document with a doc_id has."""
-    known = prints.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null")
+    """``(fp, component)`` of the distinct fingerprints that some document with a doc_id has. What is linked are
+    fingerprints, not doc_ids, so unrelated texts of one doc_id stay apart."""
+    known = prints.where("doc_id is not null").select("fp").distinct().withColumn("id", F.col("fp"))
     links = connected_components(near_links(known, radius, tile), "simhash-cc")
-    return known.join(links, known.id == links.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return known.join(links, known.id == links.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
@@ -145,10 +146,13 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
 
     Equal fingerprints are one point from the start, so copies cost nothing and are never expanded into pairs. A null
     text is empty (fingerprint zero, linked like any other); a null doc_id keeps its fingerprint and belongs to the
-    smallest known doc_id of its component; repeated rows are returned each; an empty table gives no rows.
+    smallest known doc_id of its component; repeated rows are returned each, and different texts of one doc_id belong
+    each to the component of its own fingerprint; an empty table gives no rows.
     """
     prints = _prints(docs, shingle)
-    named = _named(prints, radius, tile)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    sets = write_shared(_named(prints, radius, tile).join(least, "fp"), "simhash-sets")
+    named = sets.join(sets.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -163,7 +167,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     rest = F.to_json(F.struct(*others)) if others else F.lit("")
     rows = docs.where("doc_id is not null").select(row, F.col("doc_id").cast("bigint").alias("id"), digest, F.coalesce(rest, F.lit("")).alias("rest"))
     prints = write_shared(fingerprints(docs.select("doc_id", "text"), shingle, digest), "simhash")
-    mine = prints.join(_named(prints, radius, TILE), "fp").where("doc_id = component_id")
-    stay = mine.groupBy("component_id").agg(F.min("digest").alias("digest")).withColumnRenamed("component_id", "id")
+    mine = prints.where("doc_id is not null").join(_named(prints, radius, TILE), "fp")
+    stay = mine.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("one")).select(F.col("one.doc_id").alias("id"), F.col("one.digest").alias("digest"))
     kept = rows.join(stay, ["id", "digest"]).groupBy("id", "digest").agg(F.min_by("row", "rest").alias("row"))
     return kept.select("row.*").unionByName(docs.where("doc_id is null"))

@@ -82,3 +82,14 @@ def test_groups_of_tiles_lose_no_link(spark, monkeypatch):
     got = {r.node: r.component for r in connected_components(simhash.near_links(points, tile=8)).collect()}
     ids = list(range(len(prints)))
     assert {i: got.get(i, i) for i in ids} == components(ids, prints)
+
+
+def test_unrelated_texts_of_one_doc_id_stay_apart(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    b = "red orange yellow green blue indigo violet white black grey brown pink"
+    for rows, want in ([[(5, a), (5, b)], {(5, a), (5, b)}], [[(1, a), (1, b), (2, b), (3, a)], {(1, a), (1, b)}]):
+        for order in (rows, rows[::-1]):
+            docs = spark.createDataFrame(order, "doc_id long, text string")
+            assert {tuple(r) for r in simhash.keep_one(docs).collect()} == want and simhash.keep_one(docs).count() == len(want)
+    found = simhash.simhash_components(spark.createDataFrame([(1, a), (4, b), (2, b), (4, a)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(1, 1), (2, 2), (4, 1), (4, 2)]
