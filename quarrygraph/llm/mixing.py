@@ -70,7 +70,7 @@ def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, repeat_limit: flo
     rows of equal doc_id lie together and their order is that of their sizes; an empty table gives no rows. A source
     of any size is dealt into blocks of bounded size by hash, and only sums of blocks are ordered across a source.
     """
-    row = [F.struct(*docs.columns).alias("__row")] if keep else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if keep else []
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), tokens_of().alias("n_tokens"), *row)
     totals = write_shared(slim.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_docs")), "mix-sources")
     x = exponent(totals, entropy_share, repeat_limit, budget)
