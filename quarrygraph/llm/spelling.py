@@ -70,10 +70,10 @@ def vocabulary_of(docs: DataFrame, min_count: int = MIN_COUNT, typo_every: int =
 
 
 def symbols_for(words: int) -> int:
-    """Size of the reduced alphabet: the least power of two, 4 or more, that gives the shortest words as many reduced
-    forms as there are words, so that a reduced form stands for a bounded number of words on average."""
+    """Size of the reduced alphabet: the least power of two, 4 to 32, that gives the shortest words a quarter as many
+    reduced forms as there are words, so that a form stands for few words on average and has few neighbours."""
     size = 4
-    while size < 32 and size**MIN_CHARS < words:
+    while size < 32 and 4 * size**MIN_CHARS < words:
         size *= 2
     return size
 
@@ -84,7 +84,8 @@ def reduced(word: Column, symbols: int) -> Column:
 
 
 def neighbourhood(word: Column, symbols: int) -> Column:
-    """All strings over the reduced alphabet at most one edit from ``word``, itself included."""
+    """The strings over the reduced alphabet at most one edit from ``word`` that are no longer than it, itself included.
+    The longer ones of a full neighbourhood are the same pairs seen from the other side: ``near_words`` turns them."""
     size = F.length(word)
     places = F.sequence(F.lit(1), size)
 
@@ -92,13 +93,12 @@ def neighbourhood(word: Column, symbols: int) -> Column:
         return F.substr(word, F.lit(1), i - 1)
 
     def tail(i: Column) -> Column:
-        return F.substr(word, i)
+        return F.substr(word, i + 1)
 
     letters = F.array(*[F.lit(s) for s in _SYMBOLS[:symbols]])
-    fewer = F.transform(places, lambda i: F.concat(head(i), tail(i + 1)))
-    other = F.flatten(F.transform(places, lambda i: F.transform(letters, lambda s: F.concat(head(i), s, tail(i + 1)))))
-    more = F.flatten(F.transform(F.sequence(F.lit(1), size + 1), lambda i: F.transform(letters, lambda s: F.concat(head(i), s, tail(i)))))
-    return F.array_distinct(F.concat(F.array(word), fewer, other, more))
+    fewer = F.transform(places, lambda i: F.concat(head(i), tail(i)))
+    other = F.flatten(F.transform(places, lambda i: F.transform(letters, lambda s: F.concat(head(i), s, tail(i)))))
+    return F.array_distinct(F.concat(F.array(word), fewer, other))
 
 
 def near_words(words: DataFrame, symbols: int | None = None) -> DataFrame:
@@ -106,7 +106,8 @@ def near_words(words: DataFrame, symbols: int | None = None) -> DataFrame:
     replaced code point, in both directions.
 
     Two words one edit apart have reduced forms at most one edit apart, whatever the alphabet, so nothing is lost: the
-    neighbourhoods of the distinct reduced forms meet the reduced vocabulary, and the words behind two forms that met
+    neighbourhoods of the distinct reduced forms, each pair of unequal lengths from its longer form, meet the reduced
+    vocabulary, and the words behind two forms that met
     are compared as they are while they are joined. No pair that fails leaves the join.
     """
     size = symbols or symbols_for(words.count())
@@ -114,10 +115,14 @@ def near_words(words: DataFrame, symbols: int | None = None) -> DataFrame:
     forms = known.select("form").distinct()
     around = forms.select("form", F.explode(neighbourhood(F.col("form"), size)).alias("other"))
     met = around.join(forms.select(F.col("form").alias("other")), "other")
-    left = known.select("word", "form").join(met, "form")
+    left = known.join(met, "form")
     right = known.select(F.col("form").alias("other"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     one_edit = F.levenshtein(left["word"], right["near"], 1) == 1
-    return left.join(right, (left["other"] == right["other"]) & one_edit).select("word", "near", "near_n")
+    pairs = left.join(right, (left["other"] == right["other"]) & one_edit)
+    there = F.struct("word", "near", "near_n")
+    back = F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    turned = F.when(F.length("word") > F.length("near"), F.array(there, back)).otherwise(F.array(there))
+    return pairs.select(F.explode(turned).alias("pair")).select("pair.*")
 
 
 def _roots(links: DataFrame) -> DataFrame:
