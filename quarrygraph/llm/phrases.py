@@ -22,6 +22,8 @@ BUDGET = 2 << 20
 BLOCK_BYTES = 16 << 20
 #: Bytes of a text that are looked at together.
 PIECE_BYTES = 1 << 20
+#: Words of a block whose suffixes a task holds together.
+SLICE_WORDS = 1 << 19
 _MAP = bytearray(b + 32 if 65 <= b <= 90 else b for b in range(256))
 for _c in b".,;:!?\x0a\x0b\x0c\x0d":
     _MAP[_c] = 10
@@ -39,11 +41,12 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").reshape(-1)
 
 
-def _chunks(plain: bytes) -> Iterator[list[bytes]]:
-    """The words of a prepared text and ``\\n`` for each break, a bounded part of the text at a time."""
-    at = 0
+def _chunks(plain: bytes, size: int | None = None) -> Iterator[list[bytes]]:
+    """The words of a prepared text and ``\\n`` for each break, a bounded part of the text at a time; a part ends at a
+    break if there is one in reach."""
+    at, size = 0, size or PIECE_BYTES
     while at < len(plain):
-        to = plain.find(b" ", at + PIECE_BYTES)
+        to = plain.find(b"\n", at + size, at + 2 * size) + 1 or plain.find(b" ", at + size)
         to = len(plain) if to < 0 else to
         yield list(filter(None, plain[at:to].split(b" ")))
         at = to
@@ -54,10 +57,11 @@ class _Held:
         self.words: dict[bytes, int] = {b"\n": 0}
         self.parts: list[np.ndarray] = []
 
-    def add(self, text: str) -> None:
+    def add(self, found: list[bytes]) -> None:
         known = self.words
-        for found in _chunks(text.encode().translate(bytes(_MAP)).replace(b"\n", b" \n ")):
-            self.parts.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+        self.parts.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+
+    def end(self) -> None:
         self.parts.append(np.zeros(1, np.int32))
 
     def row(self, block: int, lang: str) -> pa.RecordBatch:
@@ -68,15 +72,23 @@ class _Held:
         return pa.RecordBatch.from_arrays(cols, names=["block", "lang", "words", "times", "stream"])
 
 
-def _blocks(block_bytes: int):
+def _blocks(block_bytes: int, piece_bytes: int):
+    """Words of ``block_bytes`` of text or a little more, numbered; a long text is cut at breaks, which no phrase crosses."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, size = TaskContext.get().partitionId() << 32, 0
         held: dict[str, _Held] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                held.setdefault(lang, _Held()).add(text)
-                size += len(text)
+                plain = (text.as_py() or "").encode().translate(bytes(_MAP)).replace(b"\n", b" \n ")
+                for found in _chunks(plain, piece_bytes):
+                    held.setdefault(lang, _Held()).add(found)
+                    size += sum(map(len, found))
+                    if size >= block_bytes and found[-1:] == [b"\n"]:
+                        yield from (h.row(seq, key) for key, h in held.items())
+                        held, size, seq = {}, 0, seq + 1
+                if lang in held:
+                    held[lang].end()
                 if size >= block_bytes:
                     yield from (h.row(seq, key) for key, h in held.items())
                     held, size, seq = {}, 0, seq + 1
@@ -97,14 +109,17 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([_pack(table[stream])], pa.binary())], names=["stream"])
 
 
-def _suffixes(stream: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Columns of the suffixes of two words or more, cut at ``depth`` words; 0 after the end of a piece."""
-    padded = np.concatenate([stream, np.zeros(depth, np.int64)])
-    starts = np.flatnonzero((padded[:-1] > 0) & (padded[1:] > 0))
-    cols = [padded[starts]]
-    for k in range(1, depth):
-        cols.append(np.where(cols[-1] > 0, padded[np.minimum(starts + k, len(padded) - 1)], 0))
-    return cols
+def _suffixes(stream: np.ndarray, depth: int, words: int) -> Iterator[list[np.ndarray]]:
+    """Columns of the suffixes of two words or more, cut at ``depth`` words; 0 after the end of a piece. Those that start
+    in the same ``words`` words come together."""
+    for at in range(0, len(stream), words):
+        n = min(words, len(stream) - at)
+        padded = np.concatenate([stream[at : at + n + depth], np.zeros(depth, np.int64)])
+        starts = np.flatnonzero((padded[:n] > 0) & (padded[1 : n + 1] > 0))
+        cols = [padded[starts]]
+        for k in range(1, depth):
+            cols.append(np.where(cols[-1] > 0, padded[starts + k], 0))
+        yield cols
 
 
 def _place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -115,22 +130,20 @@ def _place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at + 1, 0)
 
 
-def _below(tables: list[np.ndarray], base: int, depth: int):
+def _below(tables: list[np.ndarray], base: int, depth: int, words: int):
     """Counts of the extensions, by a word, of the longest prefixes that ``tables`` name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
-                cols = _suffixes(_unpack(blob.as_py()), depth)
-                parent = np.zeros(len(cols[0]), np.int64)
-                live = np.arange(len(cols[0]))
-                for k, table in enumerate(tables):
-                    found = _place(table, parent[live] * base + cols[k][live])
-                    live = live[found > 0]
-                    parent[live] = found[found > 0]
-                live = live[cols[len(tables)][live] > 0]
-                keys, n = np.unique(parent[live] * base + cols[len(tables)][live], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "f"])
+        for cols in (c for batch in batches for blob in batch.column(0) for c in _suffixes(_unpack(blob.as_py()), depth, words)):
+            parent = np.zeros(len(cols[0]), np.int64)
+            live = np.arange(len(cols[0]))
+            for k, table in enumerate(tables):
+                found = _place(table, parent[live] * base + cols[k][live])
+                live = live[found > 0]
+                parent[live] = found[found > 0]
+            live = live[cols[len(tables)][live] > 0]
+            keys, n = np.unique(parent[live] * base + cols[len(tables)][live], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "f"])
 
     return run
 
@@ -144,44 +157,42 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return y ^ (y >> np.uint64(31))
 
 
-def _deal(tables: list[np.ndarray], base: int, depth: int, groups: int):
-    """Suffixes of a block dealt to the groups of their prefixes, equal ones as one with its count."""
+def _deal(tables: list[np.ndarray], base: int, depth: int, groups: int, words: int):
+    """Suffixes of a slice of a block dealt to the groups of their prefixes, equal ones as one with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
-                cols = _suffixes(_unpack(blob.as_py()), depth)
-                size = len(cols[0])
-                parent, key, length = np.zeros(size, np.int64), cols[0].copy(), np.ones(size, np.int64)
-                live = np.arange(size)
-                for k, table in enumerate(tables):
-                    found = _place(table, parent[live] * base + cols[k][live])
-                    live = live[found > 0]
-                    parent[live] = found[found > 0]
-                    key[live] = parent[live] * base + cols[k + 1][live]
-                    length[live] = k + 2
-                    ended = cols[k + 1][live] == 0  # the prefix itself is counted already
-                    length[live[ended]] = 0
-                    live = live[~ended]
-                keep = length > 0
-                group = (_mixed(_mixed(key[keep]) + length[keep].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
-                cols = [c[keep] for c in cols]
-                order = np.lexsort((*reversed(cols), group))
-                rows = [group[order], length[keep][order], *(c[order] for c in cols)]
-                if not len(order):
-                    continue
-                new = np.zeros(len(order), bool)
-                new[0] = True
-                for c in (rows[0], *rows[2:]):
-                    new[1:] |= c[1:] != c[:-1]
-                at = np.flatnonzero(new)
-                rows = [np.diff(np.append(at, len(order))), *(c[at] for c in rows)]
-                ends = np.flatnonzero(np.diff(rows[1], append=-1)) + 1
-                starts = np.concatenate([[0], ends[:-1]])
-                for lo in range(0, len(ends), 1024):
-                    some = list(zip(starts[lo : lo + 1024], ends[lo : lo + 1024], strict=True))
-                    blobs = [_pack(np.concatenate([rows[0][a:b], *(c[a:b] for c in rows[2:])])) for a, b in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(rows[1][a]) for a, _ in some], pa.int64()), pa.array(blobs, pa.binary())], names=["grp", "rows"])
+        for cols in (c for batch in batches for blob in batch.column(0) for c in _suffixes(_unpack(blob.as_py()), depth, words)):
+            size = len(cols[0])
+            parent, key, length = np.zeros(size, np.int64), cols[0].copy(), np.ones(size, np.int64)
+            live = np.arange(size)
+            for k, table in enumerate(tables):
+                found = _place(table, parent[live] * base + cols[k][live])
+                live = live[found > 0]
+                parent[live] = found[found > 0]
+                key[live] = parent[live] * base + cols[k + 1][live]
+                length[live] = k + 2
+                ended = cols[k + 1][live] == 0  # the prefix itself is counted already
+                length[live[ended]] = 0
+                live = live[~ended]
+            keep = length > 0
+            group = (_mixed(_mixed(key[keep]) + length[keep].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            cols = [c[keep] for c in cols]
+            order = np.lexsort((*reversed(cols), group))
+            rows = [group[order], length[keep][order], *(c[order] for c in cols)]
+            if not len(order):
+                continue
+            new = np.zeros(len(order), bool)
+            new[0] = True
+            for c in (rows[0], *rows[2:]):
+                new[1:] |= c[1:] != c[:-1]
+            at = np.flatnonzero(new)
+            rows = [np.diff(np.append(at, len(order))), *(c[at] for c in rows)]
+            ends = np.flatnonzero(np.diff(rows[1], append=-1)) + 1
+            starts = np.concatenate([[0], ends[:-1]])
+            for lo in range(0, len(ends), 1024):
+                some = list(zip(starts[lo : lo + 1024], ends[lo : lo + 1024], strict=True))
+                blobs = [_pack(np.concatenate([rows[0][a:b], *(c[a:b] for c in rows[2:])])) for a, b in some]
+                yield pa.RecordBatch.from_arrays([pa.array([int(rows[1][a]) for a, _ in some], pa.int64()), pa.array(blobs, pa.binary())], names=["grp", "rows"])
 
     return run
 
@@ -193,6 +204,7 @@ def _subtree(base: int, depth: int, min_count: int):
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack(b.as_py()).reshape(depth + 2, -1) for b in table.column("rows")]
         count, length, *cols = np.concatenate(parts, axis=1)
+        del parts
         phrases: list[list[int]] = []
         totals: list[int] = []
         node = cols[0]
@@ -231,7 +243,7 @@ def _vocabulary(counts: DataFrame, min_count: int) -> DataFrame:
     return write_shared(some.join(F.broadcast(at), "part").select("lang", "word", ids.alias("id"), "f"), "phrases-vocabulary")
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, budget: int = BUDGET, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, budget: int = BUDGET, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, slice_words: int = SLICE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words, phrases and languages of ``docs(lang, text)``: ``(lang, word, id, f)``, ``(p, f)`` with ``p`` the array of
     the word ids of each phrase of 1 to ``depth`` words that occurs ``min_count`` times or more in a language, and
     ``(lang, n)``.
@@ -240,13 +252,13 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPT
     first; one with more than ``budget`` occurrences is replaced by its extensions by a word, and so on, so that each
     prefix fits; there are at most occurrences / ``budget`` such prefixes, which is what the driver holds. The
     prefixes are dealt to groups by hash, half a budget each on average, a group's suffixes are brought together in
-    packed arrays, and its subtree is built alone. Equal suffixes of a block are one, so a phrase of any frequency is at
-    most one row a block. Beyond about 10**12 words a block sends few suffixes to each of many groups, and its rows
+    packed arrays, and its subtree is built alone. Equal suffixes of ``slice_words`` words of a block are one, so a phrase
+    of any frequency is at most one row a slice. A text longer than a block is cut at its breaks. Beyond about 10**12 words a block sends few suffixes to each of many groups, and its rows
     are then bounded by its suffixes only.
     """
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text").alias("text"))
-    blocks = write_shared(source.mapInArrow(_blocks(block_bytes), _BLOCK), "phrases-blocks")
+    blocks = write_shared(source.mapInArrow(_blocks(block_bytes, piece_bytes), _BLOCK), "phrases-blocks")
     counted = blocks.select("lang", F.explode(F.arrays_zip("words", "times")).alias("x"))
     counts = write_shared(counted.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.times").alias("f")), "phrases-words")
     langs = counts.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -270,16 +282,16 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPT
         tables.append(np.array([key for key, _ in heavy], np.int64))
         if k:
             heavy_nodes += [(p, f) for p, (_, f) in zip(paths, heavy, strict=True) if f >= min_count]
-        level = coded.mapInArrow(_below(list(tables), base, depth), "key bigint, f bigint").groupBy("key").agg(F.sum("f").alias("f"))
+        level = coded.mapInArrow(_below(list(tables), base, depth, slice_words), "key bigint, f bigint").groupBy("key").agg(F.sum("f").alias("f"))
     groups = max(1, -(-2 * total // budget))
-    dealt = coded.mapInArrow(_deal(tables, base, depth, groups), "grp bigint, rows binary")
+    dealt = coded.mapInArrow(_deal(tables, base, depth, groups, slice_words), "grp bigint, rows binary")
     nodes = dealt.groupBy("grp").applyInArrow(_subtree(base, depth, min_count), "p array<bigint>, f bigint")
     nodes = nodes.unionByName(spark.createDataFrame(heavy_nodes, "p array<bigint>, f bigint"))
     nodes = nodes.unionByName(words.select(F.array("id").alias("p"), "f"))
     return words, write_shared(nodes, "phrases-nodes"), write_shared(langs, "phrases-langs")
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, percent: int = 100, top: int = TOP, budget: int = BUDGET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, percent: int = 100, top: int = TOP, budget: int = BUDGET, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, slice_words: int = SLICE_WORDS) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the ``top`` phrases of each language of ``docs(lang, text)``.
 
     Texts are lower-cased in A-Z and cut into pieces at ``.,;:!?`` and line ends. A phrase of 2 to ``depth`` words that
@@ -287,7 +299,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH
     is dropped if it stands inside a longer one that occurs at least ``percent`` in a hundred as often. Null languages
     are ``und``; null texts are empty; repeated rows count each; an empty table gives no rows; other columns are ignored.
     """
-    words, nodes, langs = phrase_counts(docs, min_count, depth, budget, block_bytes)
+    words, nodes, langs = phrase_counts(docs, min_count, depth, budget, block_bytes, piece_bytes, slice_words)
     size = F.size("p")
     of = words.select(F.col("id").alias("head"), "lang").join(langs, "lang")
     found = nodes.where(size > 1).select("p", F.col("f").alias("a"))

@@ -62,6 +62,13 @@ def test_against_brute_force(spark, rows, budget, block):
     assert got(phrases.collocations(spark.createDataFrame(rows, SCHEMA), min_count=12, budget=budget, block_bytes=block)) == want
 
 
+@pytest.mark.parametrize("piece,words", [(1, 23), (90, 400)])
+def test_long_texts_in_slices(spark, rows, piece, words):
+    rows = [*rows, ("en", "\n".join(t or "" for lang, t in rows)), ("en", "the of new york " * 300)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert got(phrases.collocations(table, min_count=12, budget=300, block_bytes=700, piece_bytes=piece, slice_words=words)) == brute(rows, 12)
+
+
 def test_top_and_percent(spark, rows):
     assert got(phrases.collocations(spark.createDataFrame(rows, SCHEMA), min_count=12, percent=60, top=7)) == brute(rows, 12, 7, 60)
 
