@@ -101,3 +101,52 @@ def test_refresh_parses_only_what_changed(spark, tmp_path, monkeypatch):
     f.build(str(root))
     assert edge_set(f) == got and sorted(map(str, f.graph()[0].select(*sorted(f.graph()[0].columns)).collect())) == sorted(map(str, e.graph()[0].select(*sorted(e.graph()[0].columns)).collect()))
     assert not e.refresh(str(root))
+
+
+@pytest.mark.parametrize("step", ["files.write_graph", "publish"])
+def test_a_failed_build_leaves_the_last_version(spark, tmp_path, monkeypatch, step):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    import quarrygraph.engine as module
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text("def one():\n    pass\n\n\ndef two():\n    one()\n")
+    e = Engine(spark, str(tmp_path / "engine"))
+    with pytest.raises(ValueError, match="nothing is built"):
+        e.graph()
+    assert e.refresh(str(root)) and e.version().version == 1
+    before = edge_set(e)
+    (root / "a.py").write_text("def three():\n    pass\n")
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    if step == "publish":
+        whole = DataFrameWriter.parquet
+        monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: fail() if path.endswith("/versions") else whole(self, path, *a, **k))
+    else:
+        owner, name = step.split(".")
+        monkeypatch.setattr(getattr(module, owner), name, fail)
+    with pytest.raises(RuntimeError, match="lost"):
+        e.refresh(str(root))
+    monkeypatch.undo()
+    assert edge_set(e) == before and e.version().version == 1
+    assert e.check(str(root)).first().state == "changed"
+    assert e.refresh(str(root)) and not e.refresh(str(root)) and e.version().version == 2
+    assert {r.id for r in e.graph()[0].collect()} == {"a.py", "a.py#three"}
+
+
+def test_another_extractor_parses_all_files(spark, tmp_path, monkeypatch):
+    import quarrygraph.engine as module
+    from quarrygraph.operators import extract
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text("def one():\n    pass\n")
+    e = Engine(spark, str(tmp_path / "engine"))
+    e.build(str(root))
+    parsed, whole = [], extract.extract_nodes
+    monkeypatch.setattr(extract, "extract_nodes", lambda fs: parsed.extend(r.path for r in fs.select("path").collect()) or whole(fs))
+    monkeypatch.setattr(module, "extractor_stamp", lambda: "another")
+    assert e.refresh(str(root)) and parsed == ["a.py"] and not e.refresh(str(root))
