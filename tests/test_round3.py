@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarrygraph.operators import extract
+from quarrygraph.operators import extract, retrieval
 
 
 def small_files(spark):
@@ -23,3 +23,11 @@ def test_one_parse_gives_nodes_and_numbered_raw_edges(spark):
     assert sorted(map(str, raw.drop("edge").collect())) == sorted(map(str, extract.extract_raw_edges(files).collect()))
     assert raw.count() == raw.select("edge").distinct().count() == raw.agg(F.count("edge")).first()[0] > 0
     assert {(r.source, r.name, r.recv_type) for r in raw.where("relation = 'calls' and file = 'm7.py'").collect()} == {("m7.py#A.f", "C", None), ("m7.py#A.f", "g", "C"), ("m7.py#A.f", "h", None)}
+
+
+def test_equal_scores_of_equal_scopes_go_to_the_first_scope(spark):
+    rows = [(f"d{k}", scope, 1.0 + k) for k in range(40) for scope in ("c", "b", "a")] + [("e", "b", 9.0), ("e", "c", 9.0)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "id string, scope string, score double").repartition(4)
+        got = {r.id: r.scope for r in retrieval.combine_scores(docs).collect()}
+        assert got == {f"d{k}": "a" for k in range(40)} | {"e": "b"}
