@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import extract, retrieval
+from quarrygraph.plans import views
 
 
 def small_files(spark):
@@ -31,3 +32,12 @@ def test_equal_scores_of_equal_scopes_go_to_the_first_scope(spark):
         docs = spark.createDataFrame(order, "id string, scope string, score double").repartition(4)
         got = {r.id: r.scope for r in retrieval.combine_scores(docs).collect()}
         assert got == {f"d{k}": "a" for k in range(40)} | {"e": "b"}
+
+
+def test_parts_of_the_edges_follow_the_bytes_of_their_table(spark, sf_dir, monkeypatch):
+    whole = views.view(spark, sf_dir, "edges").groupBy("relation").agg(F.count("*").alias("n"), F.sum(F.xxhash64("source", "target") % 1000003).alias("h")).collect()
+    monkeypatch.setattr(views, "PART_BYTES", views._bytes(spark, f"{sf_dir}/lineitem.parquet") // 29)
+    dealt = views.view(spark, sf_dir, "edges")
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [l_orderkey") == 3 and ", 29" in plan
+    assert sorted(dealt.groupBy("relation").agg(F.count("*").alias("n"), F.sum(F.xxhash64("source", "target") % 1000003).alias("h")).collect()) == sorted(whole)
