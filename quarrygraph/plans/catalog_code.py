@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quarrygraph.operators import extract, resolve
 from quarrygraph.plans.catalog import register
 from quarrygraph.plans.catalog_more import SESSIONS
-from quarrygraph.plans.shared import cut
 from quarrygraph.plans.views import view
 from quarrygraph.sources import files, history
 from quarrygraph.streaming import jobs
@@ -76,9 +75,7 @@ def e4_extract_raw_edges(spark, sf_dir):
 
 @register("r1_resolve", EDGES_SQL)
 def r1_resolve(spark, sf_dir):
-    src = sources_of(spark, sf_dir)
-    raw = cut(extract.extract_raw_edges(src).withColumn("edge", F.monotonically_increasing_id()), "raw")  # numbers that stay
-    nodes = cut(extract.extract_nodes(src), "nodes")
+    nodes, raw = extract.extract_both(sources_of(spark, sf_dir))
     none = spark.createDataFrame([], "owner string, parent string")
     return resolve.resolve(raw, nodes, none)
 
