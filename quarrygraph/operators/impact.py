@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrygraph.functions import text as T
+from quarrygraph.plans.shared import cut
 
 from .graph import in_degree, walk
 from .intervals import changed_symbols
@@ -36,7 +37,10 @@ def modules(impacted: DataFrame, nodes: DataFrame, changed: DataFrame, module: C
     expression of the path."""
     key = T.dirname(F.col("path")) if module is None else module
     hit = impacted.join(nodes.select("id", "path"), "id").join(changed.select("path").distinct(), "path", "left_anti")
-    return hit.groupBy(key.alias("module")).agg(F.count("*").alias("symbols"), F.count_distinct("path").alias("files"), F.size(F.array_distinct(F.flatten(F.collect_set("origins")))).cast("bigint").alias("origins"))
+    alike = cut(hit.groupBy(key.alias("module"), "path", "origins").agg(F.count("*").alias("n")), "alike")  # read twice
+    sizes = alike.groupBy("module").agg(F.sum("n").alias("symbols"), F.count_distinct("path").alias("files"))
+    met = alike.select(F.col("module").alias("of"), F.explode("origins").alias("origin")).groupBy("of").agg(F.count_distinct("origin").alias("origins"))
+    return sizes.join(met, F.col("module").eqNullSafe(F.col("of")), "left").select("module", "symbols", "files", F.coalesce("origins", F.lit(0)).cast("bigint").alias("origins"))
 
 
 def areas(seed_nodes: DataFrame, nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygraph.operators import blocks, graph
+from quarrygraph.operators import blocks, graph, impact
 
 
 def plain_ranks(nodes, pairs, seeds, alpha=0.25, iterations=25):
@@ -50,3 +50,32 @@ def test_a_round_sends_numbers_without_ids(spark):
     built = blocks.build(edges, pa.table({"p": [0], "num": [7], "r": [1.0], "q": [0.0]}))
     sent = blocks.step(0, False, 0.25, 12)(built, None)
     assert [len(y.as_py()) for y in sent.column("y")] == [8 * size]
+
+
+def walked(spark):
+    edges = spark.createDataFrame([("b", "a", "references"), ("b", "a", "calls"), ("c", "b", "imports"), ("c", "a2", "extends"), ("d", "c", "calls")], "source string, target string, relation string")
+    seeds = spark.createDataFrame([("p/x", "a"), ("p/y", "a2"), (None, "c")], "origin string, id string")
+    return edges, seeds
+
+
+def test_grouped_walks_keep_groups_depths_and_first_relations(spark):
+    edges, seeds = walked(spark)
+    got = {tuple(r) for r in graph.walk(edges, seeds, 2, "in", group="origin").collect()}
+    assert got == {("p/x", "b", 1, "calls"), ("p/x", "c", 2, "imports"), ("p/y", "c", 1, "extends"), ("p/y", "d", 2, "calls"), (None, "d", 1, "calls")}
+    assert {tuple(r) for r in graph.walk(edges, seeds.where("id = 'a'"), None, "in").collect()} == {("b", 1, "calls"), ("c", 2, "imports"), ("d", 3, "calls")}
+
+
+def test_a_walks_rounds_hash_rows_and_do_not_sort_them_for_a_least_string(spark, monkeypatch):
+    plans = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    edges, seeds = walked(spark)
+    graph.walk(edges, seeds, 2, "in", group="origin")
+    assert len(plans) == 5 and not any("SortAggregate" in p for p in plans)
+
+
+def test_modules_count_origins_of_all_their_symbols(spark):
+    nodes = spark.createDataFrame([("i", "m/a.py"), ("j", "m/a.py"), ("k", "m/b.py"), ("l", "n/c.py"), ("z", "m/z.py")], "id string, path string")
+    hit = spark.createDataFrame([("i", ["p", "q"]), ("j", ["p", "q"]), ("k", ["q", "r"]), ("l", ["p"]), ("z", ["s"])], "id string, origins array<string>")
+    changed = spark.createDataFrame([("m/z.py",)], "path string")
+    assert sorted(map(tuple, impact.modules(hit, nodes, changed).collect())) == [("m", 3, 2, 3), ("n", 1, 1, 1)]
