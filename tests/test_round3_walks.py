@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygraph.operators import blocks, graph, impact
+from quarrygraph.operators import blocks, graph, impact, retrieval
 
 
 def plain_ranks(nodes, pairs, seeds, alpha=0.25, iterations=25):
@@ -79,3 +79,14 @@ def test_modules_count_origins_of_all_their_symbols(spark):
     hit = spark.createDataFrame([("i", ["p", "q"]), ("j", ["p", "q"]), ("k", ["q", "r"]), ("l", ["p"]), ("z", ["s"])], "id string, origins array<string>")
     changed = spark.createDataFrame([("m/z.py",)], "path string")
     assert sorted(map(tuple, impact.modules(hit, nodes, changed).collect())) == [("m", 3, 2, 3), ("n", 1, 1, 1)]
+
+
+def test_an_index_splits_its_texts_once(spark):
+    docs = spark.createDataFrame([("a", "readFile", "x/a.py", "open the file, readFile twice: file"), ("b", None, "x/b.py", None)], "id string, name string, path string, body string")
+    index = retrieval.build_index(docs)
+    for table in (index.postings, index.df, index.stats, index.lengths):
+        assert "split(" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, index.lengths.collect())) == [("a", 6), ("b", 0)]
+    assert tuple(index.stats.first()) == (2, 3.0)
+    assert {("a", "name", "read", 1), ("a", "body", "file", 3), ("b", "path", "py", 1)} <= set(map(tuple, index.postings.collect()))
+    assert dict(map(tuple, index.df.collect()))["file"] == 1
