@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -24,11 +26,18 @@ BLOCK_BYTES = 16 << 20
 PIECE_BYTES = 1 << 20
 #: Words of a block whose suffixes a task holds together.
 SLICE_WORDS = 1 << 19
+#: Words of blocks that a task counts together.
+BUCKET_WORDS = 1 << 19
+#: Counters of word pairs: one for so many words, at most two to the second power in all; two to the third in a task's sum.
+PAIR_SHARE, PAIR_BITS, RANGE_BITS = 16, 27, 18
 _MAP = bytearray(b + 32 if 65 <= b <= 90 else b for b in range(256))
 for _c in b".,;:!?\x0a\x0b\x0c\x0d":
     _MAP[_c] = 10
 _MAP[9] = 32
-_BLOCK = "block bigint, lang string, words array<string>, times array<bigint>, stream binary"
+_BLOCK = "block bigint, lang string, words binary, times binary, n_words bigint, n bigint, stream binary"
+_NUMBERED = "bucket bigint, block bigint, lang string, word string, f bigint, own bigint, known binary"
+_NAMES = ["block", "lang", "words", "times", "n_words", "n", "stream"]
+_KINDS = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -67,9 +76,9 @@ class _Held:
     def row(self, block: int, lang: str) -> pa.RecordBatch:
         stream = np.concatenate(self.parts)
         times = np.bincount(stream, minlength=len(self.words))[1:]
-        words = pa.array(list(self.words)[1:], pa.binary()).cast(pa.string())
-        cols = [pa.array([block]), pa.array([lang]), pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(times)], pa.array(times, pa.int64())), pa.array([_pack(stream)], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["block", "lang", "words", "times", "stream"])
+        words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(list(self.words)[1:]))
+        values = [block, lang, words, _pack(times), len(times), int(times.sum()), _pack(stream)]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS, strict=True)], names=_NAMES)
 
 
 def _blocks(block_bytes: int, piece_bytes: int):
@@ -97,28 +106,148 @@ def _blocks(block_bytes: int, piece_bytes: int):
     return run
 
 
+def _shared_out(buckets: int):
+    """A block's words with their places and times, dealt to ``buckets`` by a hash of language and word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lang, packed, times in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                plain = zstandard.ZstdDecompressor().decompress(packed)
+                words, times, seed = plain.split(b"\n") if plain else [], _unpack(times), zlib.crc32(lang.encode())
+                bucket = np.fromiter((zlib.crc32(w, seed) for w in words), np.int64, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+                cols: list[list] = [[], [], []]
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    at = order[lo:hi]
+                    cols[0].append(int(bucket[at[0]]))
+                    cols[1].append(zstandard.ZstdCompressor(level=1).compress(b"\n".join([words[i] for i in at.tolist()])))
+                    cols[2].append(_pack(np.concatenate([np.diff(at, prepend=0), times[at]])))
+                n = len(cols[0])
+                arrays = [pa.array(cols[0], pa.int64()), pa.array([block] * n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "lang", "words", "at"])
+
+    return run
+
+
+def _numbered(min_count: int):
+    """Of one bucket: a row for each word with ``min_count`` occurrences or more in its language, numbered from 0, and
+    for each block the places and numbers of those that it holds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, seen = table.column("bucket")[0].as_py(), 0
+        out: dict[str, list] = {k.split()[0]: [] for k in _NUMBERED.split(", ")}
+
+        def add(n: int, **values: list) -> None:
+            for k, v in out.items():
+                v += values.get(k, [None] * n)
+
+        for lang in pc.unique(table.column("lang")).to_pylist():
+            own = table.filter(pc.equal(table.column("lang"), lang))
+            plain = [zstandard.ZstdDecompressor().decompress(b.as_py()).split(b"\n") for b in own.column("words")]
+            held = pa.concat_arrays([pa.array(w, pa.binary()) for w in plain]).dictionary_encode()
+            sizes = [len(w) for w in plain]
+            del plain
+            which = held.indices.to_numpy()
+            places = [_unpack(b.as_py()).reshape(2, -1) for b in own.column("at")]
+            times = np.zeros(len(held.dictionary), np.int64)
+            np.add.at(times, which, np.concatenate([p[1] for p in places]))
+            often = np.flatnonzero(times >= min_count)
+            number = np.full(len(times), -1, np.int64)
+            number[often] = np.arange(seen, seen + len(often))
+            add(len(often), bucket=[bucket] * len(often), lang=[lang] * len(often), word=held.dictionary.take(pa.array(often)).cast(pa.string()).to_pylist(), f=times[often].tolist(), own=number[often].tolist())
+            seen += len(often)
+            lo = 0
+            for block, n, (gaps, _) in zip(own.column("block").to_pylist(), sizes, places, strict=True):
+                ids = number[which[lo : lo + n]]
+                lo += n
+                if (ids >= 0).any():
+                    add(1, bucket=[bucket], block=[block], lang=[lang], known=[_pack(np.concatenate([np.cumsum(gaps)[ids >= 0], ids[ids >= 0]]))])
+        kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        return pa.table({k.split()[0]: pa.array(out[k.split()[0]], kinds[k.split()[1]]) for k in _NUMBERED.split(", ")})
+
+    return run
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams of a block's own numbers to streams of vocabulary ids; a break or a rare word is 0."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            stream = _unpack(batch.column(0)[k].as_py())
+        for blob, replies in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            stream = _unpack(blob.as_py())
             table = np.zeros(int(stream.max(initial=0)) + 1, np.int64)
-            at, ids = batch.column(1)[k].values, batch.column(2)[k].values
-            if at is not None and len(at):
-                table[at.to_numpy(zero_copy_only=False) + 1] = ids.to_numpy(zero_copy_only=False)
+            for reply in replies:
+                at, own = _unpack(reply["known"]).reshape(2, -1)
+                table[at + 1] = own + reply["offset"]
             yield pa.RecordBatch.from_arrays([pa.array([_pack(table[stream])], pa.binary())], names=["stream"])
 
 
-def _suffixes(stream: np.ndarray, depth: int, words: int) -> Iterator[list[np.ndarray]]:
-    """Columns of the suffixes of two words or more, cut at ``depth`` words; 0 after the end of a piece. Those that start
-    in the same ``words`` words come together."""
+def _counter(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """The counter, of two to the power ``bits``, of each pair of words that follow one another."""
+    return (_mixed(_mixed(left) + right.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _pairs(bits: int, min_count: int, words: int):
+    """What a task adds to the counters of word pairs, by ranges of counters; no sum counts beyond ``min_count``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << bits, np.uint16 if min_count < 1 << 15 else np.int64)
+        for stream in (_unpack(blob.as_py()) for batch in batches for blob in batch.column(0)):
+            for lo in range(0, len(stream), words):
+                left, right = stream[lo : min(lo + words, len(stream) - 1)], stream[lo + 1 : lo + words + 1]
+                both = (left > 0) & (right > 0)
+                at, n = np.unique(_counter(left[both], right[both], bits), return_counts=True)
+                sums[at] = np.minimum(sums[at] + np.minimum(n, min_count), min_count)
+        wide = min(bits, RANGE_BITS)
+        for k in range(1 << bits - wide):
+            part = sums[k << wide : k + 1 << wide]
+            at = np.flatnonzero(part)
+            if len(at):
+                blob = _pack(np.concatenate([np.diff(at, prepend=0), part[at].astype(np.int64)]))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blob], pa.binary())], names=["k", "sums"])
+
+    return run
+
+
+def _frequent(bits: int, min_count: int):
+    """The counters of a range that reach ``min_count``, a bit each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << min(bits, RANGE_BITS), np.int64)
+        for blob in table.column("sums"):
+            gaps, n = _unpack(blob.as_py()).reshape(2, -1)
+            sums[np.cumsum(gaps)] += n
+        return pa.table({"k": table.column("k")[:1], "bits": pa.array([np.packbits(sums >= min_count).tobytes()], pa.binary())})
+
+    return run
+
+
+def _pair_filter(coded: DataFrame, total: int, min_count: int, words: int) -> tuple[int, np.ndarray]:
+    """Counters of pairs, as a power of two, and a bit for each: whether its pairs occur ``min_count`` times or more in sum.
+    A pair that does has its bit set; some of the others share it. At most 16 MB, whatever the input."""
+    bits = min(PAIR_BITS, max(3, (total // PAIR_SHARE).bit_length()))
+    wide = min(bits, RANGE_BITS)
+    found = np.zeros(1 << bits - 3, np.uint8)
+    sums = coded.mapInArrow(_pairs(bits, min_count, words), "k bigint, sums binary").groupBy("k")
+    for k, some in sums.applyInArrow(_frequent(bits, min_count), "k bigint, bits binary").collect():
+        found[k << wide - 3 : k + 1 << wide - 3] = np.frombuffer(some, np.uint8)
+    return bits, found
+
+
+def _suffixes(stream: np.ndarray, depth: int, words: int, pairs: tuple[int, np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Columns of the suffixes of two words or more, cut at ``depth`` words and before the first pair of words that is
+    known to be rare; 0 after the end. Those that start in the same ``words`` words come together."""
+    bits, found = pairs
     for at in range(0, len(stream), words):
         n = min(words, len(stream) - at)
         padded = np.concatenate([stream[at : at + n + depth], np.zeros(depth, np.int64)])
-        starts = np.flatnonzero((padded[:n] > 0) & (padded[1 : n + 1] > 0))
+        often = (padded[:-1] > 0) & (padded[1:] > 0)
+        some = np.flatnonzero(often)
+        counter = _counter(padded[some], padded[some + 1], bits)
+        often[some] = (found[counter >> 3] >> (7 - (counter & 7)).astype(np.uint8)) & 1 > 0
+        starts = np.flatnonzero(often[:n])
         cols = [padded[starts]]
         for k in range(1, depth):
-            cols.append(np.where(cols[-1] > 0, padded[starts + k], 0))
+            cols.append(np.where((cols[-1] > 0) & often[starts + k - 1], padded[starts + k], 0))
         yield cols
 
 
@@ -130,11 +259,11 @@ def _place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at + 1, 0)
 
 
-def _below(tables: list[np.ndarray], base: int, depth: int, words: int):
+def _below(tables: list[np.ndarray], base: int, depth: int, words: int, pairs: tuple[int, np.ndarray]):
     """Counts of the extensions, by a word, of the longest prefixes that ``tables`` name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in (c for batch in batches for blob in batch.column(0) for c in _suffixes(_unpack(blob.as_py()), depth, words)):
+        for cols in (c for batch in batches for blob in batch.column(0) for c in _suffixes(_unpack(blob.as_py()), depth, words, pairs)):
             parent = np.zeros(len(cols[0]), np.int64)
             live = np.arange(len(cols[0]))
             for k, table in enumerate(tables):
@@ -157,11 +286,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return y ^ (y >> np.uint64(31))
 
 
-def _deal(tables: list[np.ndarray], base: int, depth: int, groups: int, words: int):
+def _deal(tables: list[np.ndarray], base: int, depth: int, groups: int, words: int, pairs: tuple[int, np.ndarray]):
     """Suffixes of a slice of a block dealt to the groups of their prefixes, equal ones as one with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in (c for batch in batches for blob in batch.column(0) for c in _suffixes(_unpack(blob.as_py()), depth, words)):
+        for cols in (c for batch in batches for blob in batch.column(0) for c in _suffixes(_unpack(blob.as_py()), depth, words, pairs)):
             size = len(cols[0])
             parent, key, length = np.zeros(size, np.int64), cols[0].copy(), np.ones(size, np.int64)
             live = np.arange(size)
@@ -229,18 +358,20 @@ def _subtree(base: int, depth: int, min_count: int):
     return run
 
 
-def _vocabulary(counts: DataFrame, min_count: int) -> DataFrame:
-    """``(lang, word, id, f)`` of the words with ``min_count`` occurrences or more in their language; ids run from 1."""
-    own = F.monotonically_increasing_id()
-    some = write_shared(counts.where(F.col("f") >= min_count).withColumn("own", own), "phrases-frequent")
-    some = some.withColumn("part", F.shiftright("own", 33))
+def _vocabulary(blocks: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
+    """``(lang, word, id, f)`` of the words with ``min_count`` occurrences or more in their language, ids from 1; and for
+    each block ``(block, lang, replies)``, the ids of those that it holds. Words travel once, packed by bucket."""
+    buckets = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
+    dealt = blocks.select("block", "lang", "words", "times").mapInArrow(_shared_out(buckets), "bucket bigint, block bigint, lang string, words binary, at binary")
+    some = write_shared(dealt.groupBy("bucket").applyInArrow(_numbered(min_count), _NUMBERED), "phrases-numbered")
     before, offsets = 1, []
-    for part, n in sorted(map(tuple, some.groupBy("part").count().collect())):  # one row a partition
-        offsets.append((part, before))
+    for bucket, n in sorted(map(tuple, some.where("word is not null").groupBy("bucket").count().collect())):  # one row a bucket
+        offsets.append((bucket, before))
         before += n
-    at = counts.sparkSession.createDataFrame(offsets, "part bigint, offset bigint")
-    ids = F.col("offset") + F.col("own").bitwiseAND(F.lit((1 << 33) - 1))
-    return write_shared(some.join(F.broadcast(at), "part").select("lang", "word", ids.alias("id"), "f"), "phrases-vocabulary")
+    some = some.join(F.broadcast(blocks.sparkSession.createDataFrame(offsets, "bucket bigint, offset bigint")), "bucket")
+    words = some.where("word is not null").select("lang", "word", (F.col("offset") + F.col("own")).alias("id"), "f")
+    replies = some.where("known is not null").groupBy("block", "lang").agg(F.collect_list(F.struct("offset", "known")).alias("replies"))
+    return words, replies
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, budget: int = BUDGET, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, slice_words: int = SLICE_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -248,8 +379,8 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPT
     the word ids of each phrase of 1 to ``depth`` words that occurs ``min_count`` times or more in a language, and
     ``(lang, n)``.
 
-    A word of a phrase that is frequent is frequent, so rarer words end a suffix. Prefixes of one word are counted
-    first; one with more than ``budget`` occurrences is replaced by its extensions by a word, and so on, so that each
+    A word of a phrase that is frequent is frequent, so rarer words end a suffix; so do pairs of words whose counter,
+    which other pairs may share, stays below ``min_count``. Prefixes of one word are counted first; one with more than ``budget`` occurrences is replaced by its extensions by a word, and so on, so that each
     prefix fits; there are at most occurrences / ``budget`` such prefixes, which is what the driver holds. The
     prefixes are dealt to groups by hash, half a budget each on average, a group's suffixes are brought together in
     packed arrays, and its subtree is built alone. Equal suffixes of ``slice_words`` words of a block are one, so a phrase
@@ -259,17 +390,14 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPT
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text").alias("text"))
     blocks = write_shared(source.mapInArrow(_blocks(block_bytes, piece_bytes), _BLOCK), "phrases-blocks")
-    counted = blocks.select("lang", F.explode(F.arrays_zip("words", "times")).alias("x"))
-    counts = write_shared(counted.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.times").alias("f")), "phrases-words")
-    langs = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = _vocabulary(counts, min_count)
-    own = blocks.select("block", "lang", F.posexplode("words").alias("at", "word")).join(words, ["lang", "word"])
-    replies = own.groupBy("block", "lang").agg(F.collect_list(F.struct("at", "id")).alias("known"))
-    told = blocks.select("block", "lang", "stream").join(replies, ["block", "lang"]).select("stream", F.col("known.at").alias("at"), F.col("known.id").alias("id"))
+    langs = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
+    words, replies = _vocabulary(blocks, min_count)
+    told = blocks.select("block", "lang", "stream").join(replies, ["block", "lang"]).select("stream", "replies")
     coded = write_shared(told.mapInArrow(_coded, "stream binary"), "phrases-coded")
 
     size = words.agg(F.sum("f").alias("total"), F.max("id").alias("ids")).first()
     total, base = size["total"] or 0, (size["ids"] or 0) + 1
+    pairs = _pair_filter(coded, total, min_count, slice_words)
     tables: list[np.ndarray] = []
     paths: list[list[int]] = []
     heavy_nodes: list[tuple[list[int], int]] = []
@@ -282,9 +410,9 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPT
         tables.append(np.array([key for key, _ in heavy], np.int64))
         if k:
             heavy_nodes += [(p, f) for p, (_, f) in zip(paths, heavy, strict=True) if f >= min_count]
-        level = coded.mapInArrow(_below(list(tables), base, depth, slice_words), "key bigint, f bigint").groupBy("key").agg(F.sum("f").alias("f"))
+        level = coded.mapInArrow(_below(list(tables), base, depth, slice_words, pairs), "key bigint, f bigint").groupBy("key").agg(F.sum("f").alias("f"))
     groups = max(1, -(-2 * total // budget))
-    dealt = coded.mapInArrow(_deal(tables, base, depth, groups, slice_words), "grp bigint, rows binary")
+    dealt = coded.mapInArrow(_deal(tables, base, depth, groups, slice_words, pairs), "grp bigint, rows binary")
     nodes = dealt.groupBy("grp").applyInArrow(_subtree(base, depth, min_count), "p array<bigint>, f bigint")
     nodes = nodes.unionByName(spark.createDataFrame(heavy_nodes, "p array<bigint>, f bigint"))
     nodes = nodes.unionByName(words.select(F.array("id").alias("p"), "f"))

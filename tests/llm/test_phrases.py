@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarrygraph.llm import phrases
@@ -91,3 +92,28 @@ def test_empty_clashing_and_long(spark):
     long = "a b c " * 400_000 + "x" * 200_000
     table = spark.createDataFrame([("en", long, 1, "f", 2), ("en", long, 1, "f", 2)], SCHEMA + ", p int, word string, `a.b` int")
     assert got(phrases.collocations(table)) == brute([("en", long)] * 2, 100)
+
+
+def test_rare_pairs_end_a_suffix():
+    stream = np.array([1, 2, 3, 0, 1, 2, 4, 0, 5, 1, 2, 0], np.int64)
+    bits = 20
+    found = np.zeros(1 << bits, np.uint8)
+    found[phrases._counter(np.array([1, 2]), np.array([2, 3]), bits)] = 1
+    (cols,) = phrases._suffixes(stream, 5, 100, (bits, np.packbits(found)))
+    assert np.stack(cols[:3], axis=1).tolist() == [[1, 2, 3], [2, 3, 0], [1, 2, 0], [1, 2, 0]]
+
+
+@pytest.mark.parametrize("share,most,wide,bucket", [(1, 27, 3, 10), (16, 5, 4, 1), (10**6, 27, 18, 1 << 19)])
+def test_pair_counters_lose_nothing(spark, monkeypatch, rows, share, most, wide, bucket):
+    for name, value in {"PAIR_SHARE": share, "PAIR_BITS": most, "RANGE_BITS": wide, "BUCKET_WORDS": bucket}.items():
+        monkeypatch.setattr(phrases, name, value)
+    assert got(phrases.collocations(spark.createDataFrame(rows, SCHEMA), min_count=12, budget=300, block_bytes=2000)) == brute(rows, 12)
+
+
+def test_words_travel_once_and_packed(spark, rows):
+    blocks = phrases.write_shared(spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(lang, 'und') AS lang", "text").mapInArrow(phrases._blocks(2000, 1 << 20), phrases._BLOCK), "test-blocks")
+    words, replies = phrases._vocabulary(blocks, 12)
+    once = Counter((lang, w) for lang, text in rows for w in re.findall("[^\x20\x09.,;:!?\x0a-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) for lang in ["und" if lang is None else lang])
+    assert {(r.lang, r.word): r.f for r in words.collect()} == {k: n for k, n in once.items() if n >= 12}
+    assert sorted(r.id for r in words.collect()) == list(range(1, words.count() + 1))
+    assert replies.selectExpr("max(size(replies)) AS n").first().n == 1
