@@ -17,6 +17,8 @@ FAMILIES = {"typescript": "js", "javascript": "js", "vue": "js", "java": "jvm",
 #: Fixed order of what a relative import may leave out.
 PROBES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")
 MAX_ANCESTORS = 3
+#: Copies of a key's row over which the rows that share the key are dealt.
+COPIES = 16
 
 
 def family(language: Column) -> Column:
@@ -33,6 +35,15 @@ def _one(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(value).alias("n"), F.min(value).alias("target")).where("n = 1").drop("n")
 
 
+def _spread(many: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Inner join of ``many``, of which very many rows may share a key, with copies of the rows of ``few``. It is a merge
+    of sorted parts, since Spark takes rows that are made or exploded for smaller than they are and would build a hash
+    table on them."""
+    dealt = many.withColumn("copy", F.pmod(F.xxhash64(by), F.lit(COPIES)).cast("int"))
+    each = few.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return dealt.join(each.hint("merge"), [*on, "copy"]).drop("copy")
+
+
 def _fits(argc: Column, arity: Column, variadic: Column) -> Column:
     return argc.isNull() | arity.isNull() | F.when(F.coalesce(variadic, F.lit(False)), argc >= arity - 1).otherwise(argc == arity)
 
@@ -187,11 +198,11 @@ def go_imports(raw: DataFrame, files: DataFrame, modules: DataFrame) -> DataFram
     some = raw.where("language = 'go' and specifier is not null").select("edge", "specifier")
     parts = F.split("specifier", "/")
     heads = some.select("edge", "specifier", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("module"))
-    hit = heads.join(modules, "module").groupBy("edge", "specifier").agg(F.max_by(F.struct("module", "dir"), F.length("module")).alias("m"))
+    hit = _spread(heads, modules, ["module"], "edge").groupBy("edge", "specifier").agg(F.max_by(F.struct("module", "dir"), F.length("module")).alias("m"))
     rest = F.expr("substr(specifier, length(m.module) + 2)")
     wanted = hit.select("edge", _normal(F.concat_ws("/", "m.dir", rest)).alias("dir"))
     per_dir = files.where(F.col("path").endswith(".go")).groupBy(F.regexp_replace("path", "/?[^/]*$", "").alias("dir")).agg(F.min("path").alias("target"))
-    return wanted.join(per_dir, "dir").select("edge", "target")
+    return wanted.join(per_dir.hint("merge"), "dir").select("edge", "target")
 
 
 def _by_rule(*rules: DataFrame) -> DataFrame:
