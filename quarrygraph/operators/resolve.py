@@ -75,13 +75,17 @@ def bare_names(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.where("n = 1").select("edge", "target", F.lit("extracted").alias("confidence")).unionByName(other.withColumn("confidence", F.lit("inferred")))
 
 
-def _lineage(owners: DataFrame, parents: DataFrame) -> DataFrame:
-    """``(owner, type, depth)``: each owner and its ancestors up to three levels, at their least depth."""
-    rows = owners.withColumn("t0", F.col("owner"))
-    for d in range(MAX_ANCESTORS):
-        rows = rows.join(parents.select(F.col("owner").alias(f"t{d}"), F.col("parent").alias(f"t{d + 1}")), f"t{d}", "left")
-    each = F.array(*[F.struct(F.col(f"t{d}").alias("type"), F.lit(d).alias("depth")) for d in range(MAX_ANCESTORS + 1)])
-    return rows.select("owner", F.explode(each).alias("a")).where("a.type is not null").groupBy("owner", "a.type").agg(F.min("a.depth").alias("depth"))
+def _ancestors(owners: DataFrame, parents: DataFrame) -> DataFrame:
+    """``(owner, type, depth)``: the ancestors of each owner up to three levels, at their least depth. Types with a common
+    ancestor are dealt over copies of that ancestor's own parents."""
+    above = parents.join(parents.select(F.col("parent").alias("owner")).distinct().hint("merge"), "owner", "left_semi").select(F.col("owner").alias("type"), "parent")
+    rows = owners.join(parents.hint("merge"), "owner").select("owner", F.col("parent").alias("type"))
+    levels = [rows]
+    for _ in range(1, MAX_ANCESTORS):
+        rows = _spread(rows, above, ["type"], "owner").select("owner", F.col("parent").alias("type"))
+        levels.append(rows)
+    numbered = [r.select("owner", "type", F.lit(d).alias("depth")) for d, r in enumerate(levels, 1)]
+    return reduce(DataFrame.unionByName, numbered).where("owner <> type").groupBy("owner", "type").agg(F.min("depth").alias("depth"))
 
 
 def typed_members(raw: DataFrame, nodes: DataFrame, parents: DataFrame, traits: DataFrame | None = None) -> DataFrame:
@@ -89,15 +93,28 @@ def typed_members(raw: DataFrame, nodes: DataFrame, parents: DataFrame, traits:
     to three levels. The first level with candidates decides: one candidate, or of several the call's own file's
     (not in Swift, where they are overloads), else none. ``parents(owner, parent)``, ``traits(owner, trait)``.
 
-    Lineages are made of types, not of calls; then one join finds all candidates and the least level is taken."""
+    Ancestors are found for types, not for calls. Members of the receiver's type itself are joined at once; those of
+    ancestors and traits, which very many calls may share, are copied, and the calls are dealt over the copies."""
     calls = raw.where("via_member and recv_type is not null and name is not null").select("edge", "name", F.col("recv_type").alias("owner"), "file", "language", "arg_count")
     members = nodes.where("owner is not null").select("id", "name", F.col("owner").alias("type"), F.col("path").alias("at"), F.col("language").alias("spoken"), "arity", "variadic")
-    lineage = _lineage(calls.select("owner").distinct(), parents.distinct())
-    types = lineage.select("owner", "type", (2 * F.col("depth")).alias("level"))
+    parents = parents.where("owner is not null and parent is not null").distinct()
+    inherited = parents.select(F.col("parent").alias("type")).distinct()
+    ancestors = _ancestors(calls.select("owner").distinct(), parents)
+    # of the ancestors those that have members; of their traits those that an ancestor uses
+    having = inherited.join(members.select("type").distinct().hint("merge"), "type", "left_semi")
+    types = _spread(ancestors, having, ["type"], "owner").select("owner", "type", (2 * F.col("depth")).alias("level"))
+    lending = inherited
     if traits is not None:
-        lent = lineage.join(traits.select(F.col("owner").alias("type"), "trait").distinct(), "type").groupBy("owner", F.col("trait").alias("type")).agg(F.min(2 * F.col("depth") + 1).alias("level"))
-        types = types.unionByName(lent)
-    found = calls.join(types, "owner").join(members, ["type", "name"]).where(reachable(F.col("language"), F.col("spoken")))
+        traits = traits.where("owner is not null and trait is not null").distinct()
+        own = traits.select("owner", F.col("trait").alias("type"), F.lit(1).alias("level"))
+        used = traits.select(F.col("owner").alias("type"), "trait").join(inherited.hint("merge"), "type", "left_semi")
+        lent = _spread(ancestors, used, ["type"], "owner").select("owner", F.col("trait").alias("type"), (2 * F.col("depth") + 1).alias("level"))
+        types = types.unionByName(own.unionByName(lent).groupBy("owner", "type").agg(F.min("level").alias("level")))
+        lending = inherited.unionByName(traits.select(F.col("trait").alias("type"))).distinct()
+    lenders = members.join(lending.hint("merge"), "type", "left_semi")
+    near = calls.withColumn("type", F.col("owner")).withColumn("level", F.lit(0)).join(members.hint("merge"), ["type", "name"])
+    far = _spread(calls.join(types.hint("merge"), "owner"), lenders, ["type", "name"], "edge")
+    found = near.unionByName(far).where(reachable(F.col("language"), F.col("spoken")))
     # of a level's candidates (of a trait's alone) those that take the number of arguments, if any do; the nearest first
     fits, trait = _fits(F.col("arg_count"), F.col("arity"), F.col("variadic")), F.when(F.col("level") % 2 == 1, F.col("type"))
     best = lambda c: F.min(F.when(c, F.struct((F.col("at") != F.col("file")).alias("far"), F.col("id"))))
